@@ -62,6 +62,28 @@ def half_even(column: Column, places: int) -> Column:
     return F.bround(column, places)
 
 
+def nearest_decimal(x: Column, places: int) -> Column:
+    """Round to ``places`` decimals by the exact binary value, half-even only on a true tie.
+
+    ``bround`` sees the shortest decimal text of a double: 0.1235 is a tie to it although the
+    stored number is just below. Here the scaled value is split into a double and its rounding
+    error (both exact), and the error decides what looks like a tie.
+    """
+    scale = F.lit(float(10**places))
+    product = x * scale
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % F.lit(2.0) != 0))))
+    return (whole + up.cast("double")) / scale + F.lit(0.0)
+
+
+def fixed_text(x: Column, places: int) -> Column:
+    return F.format_string(f"%.{places}f", nearest_decimal(x, places))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom`` or null on a zero denominator."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

@@ -15,6 +15,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stayscope.functions.expr import fixed_text, nearest_decimal
 from stayscope.functions.hashing import digest
 from stayscope.operators.treeshap import TreeTables, tree_tables
 
@@ -203,8 +204,8 @@ def _ranked(column: str = "contributions") -> Column:
                 (-F.abs(c["shap"])).alias("order"),
                 c["feature"].alias("feature"),
                 c["display_name"].alias("display_name"),
-                F.bround(c["value"], 4).alias("value"),
-                F.bround(c["shap"], 4).alias("shap"),
+                nearest_decimal(c["value"], 4).alias("value"),
+                nearest_decimal(c["shap"], 4).alias("shap"),
                 F.when(c["shap"] > 0, F.lit("↑ Risk")).otherwise(F.lit("↓ Risk")).alias("direction"),
                 F.abs(c["shap"]).alias("abs_shap"),
             ),
@@ -291,7 +292,7 @@ def narrative(
             _leading(n, upward),
             lambda c: F.concat(
                 F.lit(words[0]), c["display_name"], F.lit(words[1]),
-                F.format_string("%.3f", F.bround(F.abs(c["shap"]), 3)), F.lit(words[2]),
+                fixed_text(F.abs(c["shap"]), 3), F.lit(words[2]),
             ),
         )
 
@@ -301,7 +302,7 @@ def narrative(
     protectors = lines(2, False, TEXT_PROTECTOR)
     head = F.array(
         F.concat(F.lit(TEXT_STATUS), F.when(F.col(prediction) == 1, F.lit("HIGH RISK")).otherwise(F.lit("LOW RISK"))),
-        F.concat(F.lit(TEXT_CHANCE[0]), F.format_string("%.1f", F.bround(p * 100, 1)), F.lit(TEXT_CHANCE[1])),
+        F.concat(F.lit(TEXT_CHANCE[0]), fixed_text(p * 100, 1), F.lit(TEXT_CHANCE[1])),
         F.lit(""),
         F.lit(TEXT_DRIVERS),
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from stayscope.functions.expr import nearest_decimal
 from stayscope.functions.ranges import SINGLE_RANGE_ROWS, null_safe_join, range_cuts, running_totals
 from stayscope.session import lookup_table
 
@@ -103,7 +104,7 @@ def metrics_table(evaluated: DataFrame) -> DataFrame:
     have = set(evaluated.columns)
 
     def shown(name: str):
-        return F.bround(F.col(name) if name in have else F.lit(0.0), 4)
+        return nearest_decimal(F.col(name) if name in have else F.lit(0.0), 4)
 
     return evaluated.select(
         F.col("model").alias("Model"),

@@ -102,10 +102,13 @@ def nearest(
     if groups > 1:
         asked = materialise(asked, "asked")
     meeting = ["group", "block", "to_group", "to_block"]
-    pairs = asked.select(*meeting).distinct()
+    visit = [f"visit_{c}" for c in meeting]
+    pairs = asked.select(*[F.col(c).alias(v) for c, v in zip(meeting, visit)]).distinct()
     offered = pairs.join(
-        blocked.select(F.col(key), "vec", "weight", F.col("group").alias("to_group"), F.col("block").alias("to_block")),
-        ["to_group", "to_block"],
+        blocked.select(
+            F.col(key), "vec", "weight", F.col("group").alias("visit_to_group"), F.col("block").alias("visit_to_block")
+        ),
+        ["visit_to_group", "visit_to_block"],
     )
     hit_schema = T.StructType(
         [T.StructField(key, key_type), T.StructField("d2", T.DoubleType()), T.StructField("other", key_type),
@@ -115,7 +118,7 @@ def nearest(
     def meet(queries: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         return _within_bounds(queries, base, key, k)
 
-    hits = asked.groupBy(*meeting).cogroup(offered.groupBy(*meeting)).applyInPandas(meet, hit_schema)
+    hits = asked.groupBy(*meeting).cogroup(offered.groupBy(*visit)).applyInPandas(meet, hit_schema)
     ordered = F.slice(F.array_sort(F.collect_list(F.struct("d2", "other", "weight", "other_vec"))), 1, k)
     merged = hits.groupBy(key).agg(ordered.alias("found"))
     copies = F.transform("found", lambda h: F.array_repeat(h["other_vec"], F.least(h["weight"], F.lit(k)).cast("int")))

@@ -114,14 +114,14 @@ def _node_rows(model: Model, spark: SparkSession) -> tuple[dict[int, dict[int, d
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")
     boosted = "GBT" in type(model).__name__
-    cover = F.col("nodeData.impurityStats")[0] if boosted else F.aggregate(
+    cover = F.get("nodeData.impurityStats", F.lit(0)) if boosted else F.aggregate(
         "nodeData.impurityStats", F.lit(0.0), lambda a, v: a + v
     )
     nodes = data.select(
         F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         F.col("nodeData.split.numCategories").alias("categories"),
         F.col("nodeData.prediction").alias("prediction"), cover.alias("cover"),
         F.col("nodeData.impurityStats").alias("stats"),

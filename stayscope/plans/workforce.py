@@ -124,7 +124,7 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as a scored table: returned or not, with a score from price and discount."""
     lines = read_table(spark, folder, "lineitem")
     amount = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
-    score = F.bround(F.least(F.lit(1.0), amount / F.lit(110000.0)), 6)
+    score = F.floor(F.least(F.lit(1.0), amount / F.lit(110000.0)) * F.lit(1e6)) / F.lit(1e6)
     return lines.select(
         "l_orderkey", "l_linenumber",
         (F.col("l_returnflag") == "R").cast("int").alias("label"), score.alias("score"),
