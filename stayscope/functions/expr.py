@@ -11,6 +11,7 @@ from stayscope.schema import CURRENCY_CHARS, POSITIVE_TEXTS
 
 NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 CURRENCY_PATTERN = f"[{CURRENCY_CHARS}]"
+SKETCH_BITS = 12
 CURRENCY_STRIP = rf"[{CURRENCY_CHARS}\s]"
 
 
@@ -84,6 +85,16 @@ def fixed_text(x: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", nearest_decimal(x, places))
 
 
+def about_distinct(column: Column) -> Column:
+    """Approximate distinct values, within a few percent, from one sketch buffer of fixed size.
+
+    ``approx_count_distinct`` spreads its sketch over hundreds of buffer columns, which makes an
+    aggregation over many columns slow to plan and compile.
+    """
+    hashed = F.when(column.isNotNull(), F.xxhash64(column))
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, SKETCH_BITS)), F.lit(0))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom`` or null on a zero denominator."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

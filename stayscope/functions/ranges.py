@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stayscope.functions.expr import about_distinct
 from stayscope.functions.hashing import digest
 from stayscope.session import lookup_table, materialise
 
@@ -115,7 +116,7 @@ def exact_quantiles(
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    distinct = df.agg(F.approx_count_distinct(value)).first()[0]
+    distinct = df.agg(about_distinct(F.col(value))).first()[0]
     if distinct <= rows_per_range:
         return counted.groupBy(*by).agg(
             F.percentile("_v", F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("quantiles")
@@ -185,7 +186,7 @@ def column_quantiles(
     """
     if not columns:
         return {}
-    seen = distinct or df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
+    seen = distinct or df.agg(*[about_distinct(F.col(c)).alias(c) for c in columns]).first().asDict()
     narrow = [c for c in columns if seen[c] <= rows_per_range]
     marks = F.array(*[F.lit(float(p)) for p in probs])
     found: dict[str, list[float] | None] = {}

@@ -6,12 +6,12 @@ returns them as a small record; ``apply_clean`` is map-only apart from the dupli
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from stayscope.functions.expr import means_left, money_to_number, to_number
+from stayscope.functions.expr import about_distinct, means_left, money_to_number, to_number
 from stayscope.functions.ranges import SINGLE_RANGE_ROWS, column_quantiles
 from stayscope.operators.profile import (
     ColumnProfile, droppable_columns, find_label, profile_table, spelling_map,
@@ -94,7 +94,7 @@ def table_facts(df: DataFrame, roles: Roles = HR, keep: tuple[str, ...] = ()) ->
     for i, f in enumerate(fields):
         as_is = f.name in roles.categorical or f.name == roles.label
         value = F.col(f.name) if as_is else to_number(F.col(f.name), f.dataType)
-        marks += [F.count(value).alias(f"n_{i}"), F.approx_count_distinct(value).alias(f"d_{i}")]
+        marks += [F.count(value).alias(f"n_{i}"), about_distinct(value).alias(f"d_{i}")]
     row = df.agg(*marks).first()
     return {
         f.name: {"rows": row["rows"], "usable": row[f"n_{i}"], "distinct": row[f"d_{i}"]}
@@ -153,11 +153,12 @@ def _filled(df: DataFrame, params: CleanParams) -> DataFrame:
 
 
 def winsorise(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    """Clip each column to its bounds; nulls stay null."""
+    """Clip each column the table has to its bounds; nulls stay null."""
     return df.withColumns(
         {
             c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), F.col(c).cast("double"))))
             for c, (lo, hi) in bounds.items()
+            if c in df.columns
         }
     )
 
@@ -204,13 +205,16 @@ def fit_clean(
     rows_per_range: int = SINGLE_RANGE_ROWS,
     reuse: bool = True,
     profile: dict[str, ColumnProfile] | None = None,
+    plan: CleanParams | None = None,
 ) -> tuple[CleanParams, DataFrame]:
     """Learn the cleaning parameters. Returns them with the cleaned table.
 
+    ``plan`` keeps the renames, drops and label of an earlier fit and learns only the statistics.
+
     With ``reuse`` the duplicate-free table is written to the shared folder once, so the fitting
     passes and the result read columns of files instead of repeating the shuffle.
     """
-    params = plan_clean(df, row_id, roles, strict_reference, profile)
+    params = replace(plan) if plan else plan_clean(df, row_id, roles, strict_reference, profile)
     prepared = _prepared(df, params)
     unique = drop_duplicate_rows(prepared, "row_id")
     if reuse:

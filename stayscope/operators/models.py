@@ -100,12 +100,12 @@ def cross_validate(
     df: DataFrame, name: str, settings: Settings = Settings(), key: str = "row_id"
 ) -> tuple[float, float]:
     """Mean and population deviation of the AUC over stratified folds of an assembled table."""
-    folded = stratified_folds(df, settings.folds, key=key, seed=SEED)
+    folded = materialise(stratified_folds(df, settings.folds, key=key, seed=SEED), "folded")
     scored = []
     for fold in range(settings.folds):
         model = fit_model(folded.where(F.col("fold") != fold), name, settings)
         scored.append(score(model, folded.where(F.col("fold") == fold)).select("fold", "label", "score"))
-    aucs = roc_auc(reduce(DataFrame.unionByName, scored), ["fold"])
+    aucs = roc_auc(materialise(reduce(DataFrame.unionByName, scored), "folds"), ["fold"])
     row = aucs.agg(F.avg("roc_auc"), F.stddev_pop("roc_auc")).first()
     return row[0], row[1]
 
@@ -168,7 +168,7 @@ def train_all(
         balanced.unpersist()
     if not models:
         raise RuntimeError("every model failed to train") from error
-    all_scored = reduce(DataFrame.unionByName, scored)
+    all_scored = materialise(reduce(DataFrame.unionByName, scored), "scored")
     folds = train.sparkSession.createDataFrame(cv, "model string, cv_auc_mean double, cv_auc_std double")
     evaluated = evaluate(all_scored, ["model"]).join(folds, "model")
     rows = evaluated.collect()

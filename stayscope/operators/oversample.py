@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from stayscope.functions.hashing import digest, pick, uniform
 from stayscope.operators.neighbours import BLOCK_ROWS, nearest
 from stayscope.operators.split import class_counts, hash_cuts
+from stayscope.session import materialise
 
 COPIES_PER_TASK_ROW = 10_000
 
@@ -29,11 +30,12 @@ def synthetic_rows(
     base, rest = divmod(missing, n)
     extra = (hash_cuts(rows, key, seed, counts=[rest]).part() == 0).cast("bigint") if rest else F.lit(0).cast("bigint")
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    points = (
+    points = materialise(
         rows.select(F.col(key), vec.alias("vec"), (F.lit(base) + extra).alias("copies"))
         .groupBy("vec")
         .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("weight"), F.sum("copies").alias("copies"))
-        .select(key, "vec", "weight", "copies")
+        .select(key, "vec", "weight", "copies"),
+        "points",
     )
     parents = points.where("copies > 0").select(key, "copies")
     found = nearest(points.select(key, "vec", "weight"), key, k, block_rows).join(parents, key)

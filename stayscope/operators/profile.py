@@ -12,10 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from stayscope.functions.expr import has_currency_mark, is_number, to_number
+from stayscope.functions.expr import about_distinct, has_currency_mark, is_number, to_number
 from stayscope.schema import HR, POSITIVE_TEXTS, Roles, column_key, looks_like_identifier
 
-DISTINCT_ERROR = 0.02
 CURRENCY_SHARE = 0.3
 MISSING_WARNING_PCT = 20.0
 MIN_ROWS = 10
@@ -76,7 +75,7 @@ def profile_table(df: DataFrame, columns: list[str] | None = None) -> dict[str,
         is_text = isinstance(field.dataType, T.StringType)
         marks += [
             F.count(c).alias(f"filled_{i}"),
-            F.approx_count_distinct(c, DISTINCT_ERROR).alias(f"distinct_{i}"),
+            about_distinct(c).alias(f"distinct_{i}"),
             F.min(c).cast("string").alias(f"low_{i}"),
             F.max(c).cast("string").alias(f"high_{i}"),
             (F.count_if(has_currency_mark(text)) if is_text else F.lit(0)).alias(f"currency_{i}"),

@@ -60,11 +60,10 @@ class Preparation:
         if self.fit_on == "train":
             labelled = cleaned.withColumn("_y", F.col(self.roles.label))
             kept = stratified_split(labelled, "_y")[0].select("row_id")
-            training = raw.withColumnsRenamed(params.renames).join(
-                kept.withColumnRenamed("row_id", params.row_id), params.row_id, "left_semi"
-            )
+            key = next((old for old, new in params.renames.items() if new == params.row_id), params.row_id)
+            training = raw.join(kept.withColumnRenamed("row_id", key), key, "left_semi")
             params, _ = fit_clean(
-                training, params.row_id, self.roles, self.strict_reference, self.rows_per_range, self.reuse
+                training, roles=self.roles, rows_per_range=self.rows_per_range, reuse=self.reuse, plan=params
             )
             cleaned = apply_clean(raw, params)
             basis = cleaned.join(kept, "row_id", "left_semi")
