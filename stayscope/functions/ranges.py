@@ -16,24 +16,23 @@ from stayscope.functions.expr import about_distinct
 from stayscope.functions.hashing import digest
 from stayscope.session import lookup_table, materialise
 
-SINGLE_RANGE_ROWS = 200_000
+SINGLE_RANGE_ROWS = 500_000
 MAX_RANGES = 1024
+SKETCH_ACCURACY = 10_000
 
 
 def range_cuts(df: DataFrame, order: str, rows_per_range: int = SINGLE_RANGE_ROWS) -> list[float]:
-    """Ascending cut points of a numeric column, none when one range can hold every row.
+    """Ascending cut points of a numeric column, none when one range can hold every distinct value.
 
-    One pass; the quantile sketch has a fixed size.
+    Both sketches have a fixed size.
     """
-    grid = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
-    n, marks = df.agg(
-        F.count(order), F.percentile_approx(F.col(order).cast("double"), grid, 10 * MAX_RANGES)
-    ).first()
-    ranges = min(MAX_RANGES, -(-n // rows_per_range))
+    distinct = df.agg(about_distinct(F.col(order))).first()[0]
+    ranges = min(MAX_RANGES, -(-distinct // rows_per_range))
     if ranges <= 1:
         return []
-    step = max(1, MAX_RANGES // ranges)
-    return sorted(set(marks[step - 1 :: step]))
+    grid = [i / ranges for i in range(1, ranges)]
+    marks = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, SKETCH_ACCURACY)).first()[0]
+    return sorted(set(marks or []))
 
 
 def text_cuts(df: DataFrame, order: str, ranges: int = 256) -> list[str]:
@@ -181,13 +180,18 @@ def column_quantiles(
 ) -> dict[str, list[float] | None]:
     """Exact table-wide quantiles of several numeric columns; None for a column without values.
 
-    Columns with few distinct values share one aggregation. The others are selected by range.
+    Columns with few distinct values, at most ``rows_per_range`` together, share one aggregation.
+    The others are selected by range.
     ``distinct`` passes approximate distinct counts known from an earlier pass.
     """
     if not columns:
         return {}
     seen = distinct or df.agg(*[about_distinct(F.col(c)).alias(c) for c in columns]).first().asDict()
-    narrow = [c for c in columns if seen[c] <= rows_per_range]
+    narrow, room = [], rows_per_range
+    for c in sorted(columns, key=lambda c: seen[c]):
+        if seen[c] <= room:
+            narrow.append(c)
+            room -= seen[c]
     marks = F.array(*[F.lit(float(p)) for p in probs])
     found: dict[str, list[float] | None] = {}
     if narrow:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from stayscope.functions.expr import about_distinct, means_left, money_to_number, to_number
 from stayscope.functions.ranges import SINGLE_RANGE_ROWS, column_quantiles
 from stayscope.operators.profile import (
-    ColumnProfile, droppable_columns, find_label, profile_table, spelling_map,
+    ColumnProfile, currency_by_sample, droppable_columns, find_label, profile_table, spelling_map,
 )
 from stayscope.schema import HR, Roles
 from stayscope.session import materialise
@@ -111,7 +111,7 @@ def split_extras(
     return kept, [c for c in extras if c not in kept]
 
 
-def _prepared(df: DataFrame, params: CleanParams) -> DataFrame:
+def prepare(df: DataFrame, params: CleanParams) -> DataFrame:
     """Everything before duplicate removal: renames, drops, currency, label. Map-only."""
     out = df.withColumnsRenamed(params.renames)
     key = params.row_id
@@ -127,7 +127,7 @@ def _prepared(df: DataFrame, params: CleanParams) -> DataFrame:
     return out
 
 
-def _numbers(df: DataFrame, params: CleanParams) -> DataFrame:
+def coerce_numbers(df: DataFrame, params: CleanParams) -> DataFrame:
     """Coerce the columns that must be numeric and drop the extras that are not."""
     roles = params.roles
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -135,7 +135,7 @@ def _numbers(df: DataFrame, params: CleanParams) -> DataFrame:
     return df.drop(*params.extras_dropped).withColumns({c: to_number(F.col(c), types[c]) for c in wanted})
 
 
-def _filled(df: DataFrame, params: CleanParams) -> DataFrame:
+def impute(df: DataFrame, params: CleanParams) -> DataFrame:
     """Impute: medians for numbers, modes for categories. Ordinals become whole numbers."""
     roles = params.roles
     new: dict[str, Column] = {}
@@ -190,7 +190,11 @@ def plan_clean(
     else:
         key = renames.get(key, key)
     left = {c: p for c, p in profile.items() if c not in dropped and c != key}
-    currency = [c for c, p in left.items() if p.is_currency]
+    if strict_reference and key is not None:
+        texts = [c for c, p in left.items() if p.is_text]
+        currency = [c for c, hit in currency_by_sample(named, key, texts).items() if hit]
+    else:
+        currency = [c for c, p in left.items() if p.is_currency]
     label = find_label(named.select(*left), left, roles)
     if label is None:
         raise ValueError(f"no label column found; name one {roles.label!r}")
@@ -215,14 +219,14 @@ def fit_clean(
     passes and the result read columns of files instead of repeating the shuffle.
     """
     params = replace(plan) if plan else plan_clean(df, row_id, roles, strict_reference, profile)
-    prepared = _prepared(df, params)
+    prepared = prepare(df, params)
     unique = drop_duplicate_rows(prepared, "row_id")
     if reuse:
         unique = materialise(unique, "unique")
     key = ("row_id",) if "row_id" in unique.columns else ()
     facts = table_facts(unique, roles, key)
     params.extras_kept, params.extras_dropped = split_extras(facts, roles)
-    numbers = _numbers(unique, params)
+    numbers = coerce_numbers(unique, params)
     params.missing = {
         c: f["rows"] - f["usable"] for c, f in facts.items() if c in numbers.columns and f["usable"] < f["rows"]
     }
@@ -232,7 +236,7 @@ def fit_clean(
     found = column_quantiles(numbers, measured, [0.5], rows_per_range, distinct)
     params.medians = {c: (q[0] if q else None) for c, q in found.items()}
     params.modes = modes(numbers, [c for c in params.missing if c in roles.categorical])
-    filled = _filled(numbers, params)
+    filled = impute(numbers, params)
     clip_columns = [c for c in filled.columns if c in roles.numeric]
     bounds = column_quantiles(filled, clip_columns, CLIP_PROBS, rows_per_range, distinct)
     params.clips = {c: (q[0], q[1]) for c, q in bounds.items() if q}
@@ -241,10 +245,10 @@ def fit_clean(
 
 def apply_clean(df: DataFrame, params: CleanParams, deduplicate: bool = True) -> DataFrame:
     """Clean another table with parameters fitted earlier; map-only without ``deduplicate``."""
-    prepared = _prepared(df, params)
+    prepared = prepare(df, params)
     if deduplicate:
         prepared = drop_duplicate_rows(prepared, "row_id")
-    return winsorise(_filled(_numbers(prepared, params), params), params.clips)
+    return winsorise(impute(coerce_numbers(prepared, params), params), params.clips)
 
 
 def clean(df: DataFrame, row_id: str | None = None, roles: Roles = HR, **options) -> DataFrame:

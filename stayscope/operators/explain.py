@@ -285,6 +285,10 @@ def narrative(
     explained: DataFrame, score: str = "score", prediction: str = "prediction", key: str = "row_id"
 ) -> DataFrame:
     """One explanation text per row from its contributions, score and prediction."""
+    return explained.select(key, narrative_text(score, prediction).alias("explanation"))
+
+
+def narrative_text(score: str = "score", prediction: str = "prediction") -> Column:
     p = F.col(score)
 
     def lines(n: int, upward: bool, words: tuple[str, str, str]) -> Column:
@@ -314,4 +318,4 @@ def narrative(
         .otherwise(block(ACTIONS_CALM))
     )
     text = F.concat(head, lines(3, True, TEXT_DRIVER), shield, block(("", TEXT_ACTIONS)), actions)
-    return explained.select(key, F.array_join(text, "\n").alias("explanation"))
+    return F.array_join(text, "\n")

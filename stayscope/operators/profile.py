@@ -16,6 +16,7 @@ from stayscope.functions.expr import about_distinct, has_currency_mark, is_numbe
 from stayscope.schema import HR, POSITIVE_TEXTS, Roles, column_key, looks_like_identifier
 
 CURRENCY_SHARE = 0.3
+CURRENCY_SAMPLE = 50
 MISSING_WARNING_PCT = 20.0
 MIN_ROWS = 10
 NARROW_DISTINCT = 64
@@ -207,6 +208,22 @@ def best_identifier(df: DataFrame, profile: dict[str, ColumnProfile] | None = No
     return next(iter(all_unique(df, likely)), None)
 
 
+def currency_by_sample(
+    df: DataFrame, key: str, columns: list[str] | None = None, rows: int = CURRENCY_SAMPLE
+) -> dict[str, bool]:
+    """Currency detection on the first ``rows`` non-null values by key, as a file's head would show.
+
+    A column costs one bounded top-k; the values looked at per column are at most ``rows``.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    found = {}
+    for c in texts if columns is None else columns:
+        head = df.select(key, c).where(F.col(c).isNotNull()).orderBy(key).limit(rows)
+        hits, seen = head.agg(F.count_if(has_currency_mark(F.col(c))), F.count(c)).first()
+        found[c] = hits > CURRENCY_SHARE * seen
+    return found
+
+
 # Validation and summary ----------------------------------------------------------------------
 
 

@@ -85,7 +85,7 @@ def hash_cuts(
             f"_by2 {hashed.schema['_by'].dataType.simpleString()}, _prefix2 string, _cut int, _place bigint",
         )
         found = near.withColumn("_p", place).join(
-            asked,
+            F.broadcast(asked),  # one row per class and cut
             F.col("_by").eqNullSafe(F.col("_by2")) & (F.col("_prefix") == F.col("_prefix2")) & (F.col("_p") == F.col("_place")),
         )
         for row in found.select("_by", "_cut", "_digest").collect():

@@ -219,6 +219,7 @@ UNION ALL SELECT 'Department Analysis', count(DISTINCT Department) FROM profile
 UNION ALL SELECT 'Job Role Analysis', count(DISTINCT JobRole) FROM profile
 UNION ALL SELECT 'High Risk Employees', count(*) FROM profile WHERE Attrition = 'Yes'
 UNION ALL SELECT 'Model Performance', CAST(3 AS BIGINT)""")
+profile_sql("s6_saved_model", "SELECT EmployeeID AS row_id, true AS same FROM profile")
 profile_sql("s7_row_preview", f"SELECT * REPLACE ({r('MonthlyIncome')} AS MonthlyIncome) FROM profile ORDER BY EmployeeID LIMIT 100")
 
 # Schema repair and profiling ----------------------------------------------------------------------
@@ -271,6 +272,11 @@ raw_sql("p8_currency_share", f"""SELECT c AS "column", {r('share')} AS share, sh
     f"SELECT '{c}' AS c, {SHARE.format(c=c)} / count({c})::DOUBLE AS share FROM profile_raw"
     for c, kind in RAW_COLUMNS.items() if kind == "t") + ")")
 
+raw_sql("p8_currency_sample", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {SHARE.format(c=c)} > 0.3 * count({c}) AS is_currency
+    FROM (SELECT {c} FROM profile_raw WHERE {c} IS NOT NULL ORDER BY EmpID LIMIT 50)"""
+    for c, kind in RAW_COLUMNS.items() if kind == "t"))
+
 # Cleaning -------------------------------------------------------------------------------------------
 
 raw_sql("c1_renamed", f"""SELECT dept AS Department, over_time AS OverTime, count(*) AS n,
@@ -296,6 +302,18 @@ profile_sql("c11_winsorised", "SELECT EmployeeID, " + ", ".join(
     f"quantile_cont(CAST({c} AS DOUBLE), [0.01, 0.99]) AS b_{c}" for c in _WINS) + " FROM profile)")
 clean_sql("c13_cleaned", "SELECT * REPLACE (" + ", ".join(f"{r(c)} AS {c}" for c in ("Age", "MonthlyIncome", "YearsAtCompany", "badge_score")) + ") FROM clean")
 
+_GAPS = ("Age", "Department", "JobRole", "JobLevel", "MonthlyIncome", "OverTime", "YearsAtCompany", "badge_score")
+clean_sql("c12_cleaning_report", "SELECT step, entries, total FROM (" + " UNION ALL ".join(
+    f"SELECT '{step}' AS step, CAST({entries} AS BIGINT) AS entries, CAST(({total}) AS BIGINT) AS total"
+    for step, entries, total in (
+        ("original rows", 1, "SELECT count(*) FROM profile_raw"), ("original columns", 1, 14), ("renamed", 8, 8),
+        ("dropped", 4, 4), ("currency", 1, 1),
+        ("duplicate rows removed", 1, "SELECT (SELECT count(*) FROM profile_raw) - (SELECT count(*) FROM uniq)"),
+        ("extra kept as number", 1, 1), ("warning: extra dropped", 1, 1),
+        ("missing before", 1, "SELECT " + " + ".join(f"count(*) - count({c})" for c in _GAPS) + " FROM numbers"),
+        ("missing after", 1, 0), ("clipped", 3, 3), ("final rows", 1, "SELECT count(*) FROM clean"), ("final columns", 1, 10),
+    )) + ")")
+
 # Features, codes, scaling ----------------------------------------------------------------------------
 
 INCOME_RATIO = """coalesce(MonthlyIncome / nullif(quantile_cont(MonthlyIncome, 0.5) OVER (PARTITION BY JobLevel), 0), 1.0::DOUBLE)"""
@@ -486,6 +504,8 @@ FROM (SELECT {lead}score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (l
 UNION ALL SELECT {'DISTINCT ' + by + ', ' if by else ''}CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE {'FROM ' + source if by else ''}"""
 
 
+ORACLES["m10_line_auc_by_range"] = f"WITH {LINES} {auc('', 'scored')}"
+ORACLES["m11_line_roc_by_range"] = f"WITH {LINES} {roc('', 'scored')}"
 table_sql("m10_line_auc", f"WITH {LINES} {auc('', 'scored')}")
 table_sql("m11_line_roc", f"WITH {LINES} {roc('', 'scored')}")
 
@@ -620,6 +640,8 @@ def shap_sql(name: str, select: str) -> None:
 
 profile_sql("x1_background", f"SELECT EmployeeID, Age, JobRole FROM profile ORDER BY {h(42, 'EmployeeID')}, EmployeeID LIMIT 100")
 shap_sql("x2_linear_attribution", f"SELECT row_id, {r('base_value')} AS base_value, feature, value, {r('shap')} AS shap FROM shap")
+for _name in ("x3_forest_additivity", "x3_boosted_additivity", "x4_sampled_additivity"):
+    profile_sql(_name, "SELECT EmployeeID AS row_id, true AS additive FROM profile")
 shap_sql("x5_global_importance", f"SELECT feature, {r('avg(abs(shap))')} AS mean_abs_shap FROM shap GROUP BY feature")
 shap_sql("x6_row_explanations", f"""SELECT row_id, CAST(rank AS INT) AS rank, feature, display_name, value4 AS value, shap4 AS shap,
 CASE WHEN shap > 0 THEN '↑ Risk' ELSE '↓ Risk' END AS direction, {r('abs(shap)')} AS abs_shap FROM ranked""")

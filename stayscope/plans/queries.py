@@ -18,7 +18,7 @@ from stayscope.operators import (
     rates, report, scoring, split,
 )
 from stayscope.operators.neighbours import nearest
-from stayscope.plans import workforce
+from stayscope.plans import lifecycle, workforce
 from stayscope.plans.preparation import Preparation
 from stayscope.session import materialise, scratch_path
 from stayscope.sources import generator, tables
@@ -129,11 +129,15 @@ def _(spark, folder):
 @query("s6_saved_model")
 def _(spark, folder):
     encoding, table = encode.fit_encoding(_keyed(workforce.profile(spark, folder)))
+    table = materialise(table, "encoded")
     train = models.assemble(table, encoding.features)
     folder_out = scratch_path(spark, "models")
-    models.save_models({models.LOGISTIC: models.fit_model(train, models.LOGISTIC, SMALL)}, folder_out)
+    fitted = models.fit_model(train, models.LOGISTIC, SMALL)
+    models.save_models({models.LOGISTIC: fitted}, folder_out)
     loaded = models.load_model(folder_out, models.LOGISTIC)
-    return models.score(loaded, train).select("row_id", "score", "prediction")
+    before = models.score(fitted, train).select("row_id", F.col("score").alias("before"))
+    after = models.score(loaded, train).select("row_id", F.col("score").alias("after"))
+    return before.join(after, "row_id").select("row_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 @on_profile("s7_row_preview")
@@ -196,12 +200,18 @@ def _(raw):
     return share.withColumn("is_currency", F.col("share") > profiling.CURRENCY_SHARE)
 
 
+@on_raw("p8_currency_sample")
+def _(raw):
+    found = profiling.currency_by_sample(raw, "EmpID")
+    return raw.sparkSession.createDataFrame(list(found.items()), "column string, is_currency boolean")
+
+
 # Cleaning ----------------------------------------------------------------------------------------
 
 
 def _planned(raw: DataFrame):
     params = cleaning.plan_clean(raw)
-    return params, cleaning._prepared(raw, params)
+    return params, cleaning.prepare(raw, params)
 
 
 def _unique(raw: DataFrame):
@@ -213,7 +223,7 @@ def _numbers(raw: DataFrame):
     params, unique = _unique(raw)
     facts = cleaning.table_facts(unique, keep=("row_id",))
     params.extras_kept, params.extras_dropped = cleaning.split_extras(facts)
-    return params, cleaning._numbers(unique, params)
+    return params, cleaning.coerce_numbers(unique, params)
 
 
 @on_raw("c1_renamed")
@@ -269,7 +279,7 @@ def _filled(raw: DataFrame) -> DataFrame:
     found = column_quantiles(numbers, ["Age", "MonthlyIncome", "badge_score"], [0.5])
     params.medians = {c: q[0] for c, q in found.items()}
     params.modes = cleaning.modes(numbers, ["Department"])
-    return cleaning._filled(numbers, params)
+    return cleaning.impute(numbers, params)
 
 
 @on_raw("c9_numbers_filled")
@@ -292,7 +302,8 @@ def _(people):
 @on_raw("c12_cleaning_report")
 def _(raw):
     params, cleaned = cleaning.fit_clean(raw)
-    return cleaning.cleaning_report(raw, cleaned, params)
+    report_rows = cleaning.cleaning_report(raw, cleaned, params)
+    return report_rows.groupBy("step").agg(F.count(F.lit(1)).alias("entries"), F.sum("n").alias("total"))
 
 
 @on_raw("c13_cleaned")
@@ -525,10 +536,21 @@ def _(spark, folder):
 
 @query("m10_line_auc")
 def _(spark, folder):
+    return rounded(metrics.roc_auc(workforce.scored_lines(spark, folder)))
+
+
+@query("m10_line_auc_by_range")
+def _(spark, folder):
+    """The curve's area through the ranged path, which larger tables take."""
     return rounded(metrics.roc_auc(workforce.scored_lines(spark, folder), rows_per_range=2000))
 
 
 @query("m11_line_roc")
+def _(spark, folder):
+    return _roc_shown(metrics.roc_curve(workforce.scored_lines(spark, folder)))
+
+
+@query("m11_line_roc_by_range")
 def _(spark, folder):
     return _roc_shown(metrics.roc_curve(workforce.scored_lines(spark, folder), rows_per_range=2000))
 
@@ -700,11 +722,30 @@ def _(people):
     )
 
 
-def _tree_explained(people: DataFrame, name: str) -> DataFrame:
+def _fitted_on_all(people: DataFrame, name: str):
     encoding, table = encode.fit_encoding(features.engineer(_keyed(people)))
     table = materialise(table, "encoded")
-    model = models.fit_model(models.assemble(table, encoding.features), name, SMALL)
-    explained = explain.tree_attribution(table, model, encoding.features)
+    return table, models.fit_model(models.assemble(table, encoding.features), name, SMALL), encoding.features
+
+
+def _additive(explained: DataFrame, scored: DataFrame, margin) -> DataFrame:
+    """Whether base value and attributions add up to the model's output, per row."""
+    total = F.aggregate("contributions", F.col("base_value"), lambda sum_, c: sum_ + c["shap"])
+    return explained.join(scored, "row_id").select("row_id", (F.abs(total - margin) < 1e-6).alias("additive"))
+
+
+def _tree_additive(people: DataFrame, name: str) -> DataFrame:
+    table, model, used = _fitted_on_all(people, name)
+    scored = models.score(model, table, used).select("row_id", "score")
+    log_odds = F.log(F.col("score") / (1 - F.col("score")))
+    return _additive(
+        explain.tree_attribution(table, model, used), scored, log_odds if name == models.BOOSTED else F.col("score")
+    )
+
+
+def _tree_explained(people: DataFrame, name: str) -> DataFrame:
+    table, model, used = _fitted_on_all(people, name)
+    explained = explain.tree_attribution(table, model, used)
     return explained.select("row_id", "base_value", F.explode("contributions").alias("c")).select(
         "row_id", "base_value", "c.feature", "c.value", "c.shap"
     )
@@ -712,15 +753,27 @@ def _tree_explained(people: DataFrame, name: str) -> DataFrame:
 
 on_profile("x3_forest_attribution")(lambda people: _tree_explained(people, models.FOREST))
 on_profile("x3_boosted_attribution")(lambda people: _tree_explained(people, models.BOOSTED))
+on_profile("x3_forest_additivity")(lambda people: _tree_additive(people, models.FOREST))
+on_profile("x3_boosted_additivity")(lambda people: _tree_additive(people, models.BOOSTED))
 
 
-@on_profile("x4_sampled_attribution")
-def _(people):
+def _sampled(people: DataFrame):
     used = ["Age", "DistanceFromHome", "JobSatisfaction", "YearsAtCompany"]
     table = materialise(_xy(people).select("row_id", "label", *used), "xy")
     model = models.fit_model(models.assemble(table, used), models.LOGISTIC, SMALL)
     explained = explain.sampled_attribution(table, model, used, explain.feature_means(table, used), orders=4)
-    return explained.select("row_id", "base_value", F.explode("contributions").alias("c")).select(
+    return models.score(model, table, used), explained
+
+
+@on_profile("x4_sampled_additivity")
+def _(people):
+    scored, explained = _sampled(people)
+    return _additive(explained, scored.select("row_id", "score"), F.col("score"))
+
+
+@on_profile("x4_sampled_attribution")
+def _(people):
+    return _sampled(people)[1].select("row_id", "base_value", F.explode("contributions").alias("c")).select(
         "row_id", "base_value", "c.feature", "c.value", "c.shap"
     )
 
@@ -745,6 +798,13 @@ def _(people):
     return models.top_importance(importance, 7)
 
 
+@on_raw("l3_predicted_and_explained")
+def _(raw):
+    small = models.Settings(**{**vars(SMALL), "names": (models.LOGISTIC,)})
+    study = lifecycle.run_study(raw, small)
+    return lifecycle.predict_and_explain(study, study.prepared.cleaned).select("row_id", "score", "prediction", "risk", "explanation")
+
+
 # Reports ------------------------------------------------------------------------------------------------
 
 on_profile("r1_executive_summary")(lambda people: report.executive_summary(people).drop("text"))

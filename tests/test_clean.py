@@ -74,7 +74,7 @@ def test_all_null_number_becomes_zero(spark):
                                "EmpID int, Attrition string, Age string, JobLevel int")
     assert "Age" in C.plan_clean(df).dropped  # constant: null counts as its only value
     params = C.CleanParams(C.HR, {}, {}, "EmpID", [], "Attrition")
-    filled = C._filled(C._numbers(df.withColumnRenamed("EmpID", "row_id"), params), params)
+    filled = C.impute(C.coerce_numbers(df.withColumnRenamed("EmpID", "row_id"), params), params)
     assert {r["Age"] for r in filled.collect()} == {0.0}
 
 

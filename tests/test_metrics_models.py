@@ -265,3 +265,15 @@ def test_scoring_streams(trained, world, spark):
     got = {r["row_id"]: r["score"] for r in spark.read.parquet(sink).collect()}
     want = {r["row_id"]: r["score"] for r in scorer(records).collect()}
     assert got == pytest.approx(want)
+
+
+def test_study_from_raw_table_to_report(spark):
+    from stayscope.plans.lifecycle import predict_and_explain, run_study, write_study_report
+
+    raw = materialise(generate_employees(spark, 400), "study")
+    study = run_study(raw, ML.Settings(**{**vars(SMALL), "names": (ML.LOGISTIC, ML.FOREST)}))
+    out = predict_and_explain(study, raw.withColumnRenamed("EmployeeID", "row_id")).collect()
+    assert len(out) == 400 and all(r["explanation"].startswith("Attrition Assessment: ") for r in out)
+    assert {r["risk"] for r in out} <= {"LOW", "MEDIUM", "HIGH"}
+    paths = write_study_report(study, scratch_path(spark, "report"))
+    assert len(paths) == 6 and spark.read.parquet(paths["Feature Importance"]).count() == 36
