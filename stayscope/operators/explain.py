@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayscope.functions.expr import fixed_text, nearest_decimal
 from stayscope.functions.hashing import digest
-from stayscope.operators.treeshap import TreeTables, tree_tables
+from stayscope.operators.treeshap import MAX_MODEL_NODES, TreeTables, tree_tables
 
 BACKGROUND_ROWS = 100
 FORCEFUL, WATCHFUL = 0.7, 0.4
@@ -173,8 +173,11 @@ def attribution(
     df: DataFrame, model: Model, features: list[str], training: DataFrame, key: str = "row_id",
     overrides: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Pick the attribution by model kind: trees, linear, or sampling for anything else."""
-    if hasattr(model, "trees"):
+    """Pick the attribution by model kind: trees, linear, or sampling for anything else.
+
+    A tree model too large to ship to every task is explained by sampling as well.
+    """
+    if hasattr(model, "trees") and model.totalNumNodes <= MAX_MODEL_NODES:
         return tree_attribution(df, model, features, key, overrides)
     means = feature_means(background(training, key), features)
     if hasattr(model, "coefficients"):

@@ -8,7 +8,7 @@ of them the row meets: they are tabulated per leaf for all combinations and look
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -30,40 +30,6 @@ class Leaf:
     value: float
 
 
-@dataclass
-class TreeTables:
-    """Leaves of all trees with the ensemble's expected output. As large as the model."""
-
-    trees: list[list[Leaf]]
-    base_value: float
-    _groups: list = field(default_factory=list, repr=False)
-
-    def prepared(self) -> "TreeTables":
-        """Group each tree's leaves by path length; build the tables now if they fit in memory."""
-        if not self._groups:
-            size = sum(2 ** len(leaf.features) * len(leaf.features) * 8 for t in self.trees for leaf in t)
-            for tree in self.trees:
-                for width in sorted({len(leaf.features) for leaf in tree} - {0}):
-                    leaves = [leaf for leaf in tree if len(leaf.features) == width]
-                    group = LeafGroup(
-                        np.array([leaf.features for leaf in leaves]),
-                        np.array([leaf.low for leaf in leaves]),
-                        np.array([leaf.high for leaf in leaves]),
-                        np.array([leaf.share for leaf in leaves]),
-                        np.array([leaf.value for leaf in leaves]),
-                    )
-                    if size <= TABLE_BYTES:
-                        group.keep()
-                    self._groups.append(group)
-        return self
-
-    def attribute(self, x: np.ndarray, width: int) -> np.ndarray:
-        phi = np.zeros((len(x), width))
-        for group in self._groups:
-            group.add(x, phi)
-        return phi
-
-
 @dataclass
 class LeafGroup:
     """Leaves of one tree whose paths use the same number of distinct features."""
@@ -75,6 +41,11 @@ class LeafGroup:
     value: np.ndarray
     kept: np.ndarray | None = None
 
+    @property
+    def table_bytes(self) -> int:
+        leaves, d = self.features.shape
+        return leaves * 2**d * d * 8
+
     def keep(self) -> None:
         self.kept = self.table()
 
@@ -108,6 +79,27 @@ class LeafGroup:
             phi[:, used] += table[i][combination]
 
 
+@dataclass
+class TreeTables:
+    """All leaves as arrays with the ensemble's expected output. As large as the model."""
+
+    groups: list[LeafGroup]
+    base_value: float
+
+    def prepared(self) -> "TreeTables":
+        """Build the combination tables once per task if they fit in memory, else per batch."""
+        if sum(group.table_bytes for group in self.groups) <= TABLE_BYTES:
+            for group in self.groups:
+                group.keep()
+        return self
+
+    def attribute(self, x: np.ndarray, width: int) -> np.ndarray:
+        phi = np.zeros((len(x), width))
+        for group in self.groups:
+            group.add(x, phi)
+        return phi
+
+
 def _node_rows(model: Model, spark: SparkSession) -> tuple[dict[int, dict[int, dict]], dict[int, float], bool]:
     """Nodes per tree as the saved model holds them, tree weights, and whether it is boosted."""
     path = scratch_path(spark, "trees")
@@ -166,12 +158,29 @@ def _leaves(nodes: dict[int, dict], scale: float, boosted: bool) -> list[Leaf]:
     return found
 
 
+def _grouped(leaves: list[Leaf]) -> list[LeafGroup]:
+    """The leaves of one tree by number of distinct features on their path."""
+    groups = []
+    for d in sorted({len(leaf.features) for leaf in leaves} - {0}):
+        same = [leaf for leaf in leaves if len(leaf.features) == d]
+        groups.append(LeafGroup(
+            np.array([leaf.features for leaf in same]),
+            np.array([leaf.low for leaf in same]),
+            np.array([leaf.high for leaf in same]),
+            np.array([leaf.share for leaf in same]),
+            np.array([leaf.value for leaf in same]),
+        ))
+    return groups
+
+
 def tree_tables(model: Model, spark: SparkSession) -> TreeTables:
     """Flatten a forest (probability of class 1) or boosted trees (log-odds of class 1)."""
     trees, weights, boosted = _node_rows(model, spark)
-    flattened = []
+    groups: list[LeafGroup] = []
+    base = 0.0
     for number in sorted(trees):
         scale = 2.0 * weights[number] if boosted else 1.0 / len(trees)
-        flattened.append(_leaves(trees[number], scale, boosted))
-    base = sum(leaf.value * float(np.prod(leaf.share)) for tree in flattened for leaf in tree)
-    return TreeTables(flattened, base)
+        leaves = _leaves(trees[number], scale, boosted)
+        base += sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
+        groups += _grouped(leaves)
+    return TreeTables(groups, base)

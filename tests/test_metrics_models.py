@@ -224,10 +224,12 @@ def test_tree_tables_without_the_memory_for_them(trained, world, spark, monkeypa
     prep, _, _, _, test = world
     tables = treeshap.tree_tables(trained.models[ML.BOOSTED], spark)
     x = np.array([[r[f] for f in prep.feature_names] for r in test.limit(20).collect()])
-    kept = treeshap.TreeTables(tables.trees, tables.base_value).prepared().attribute(x, 36)
     monkeypatch.setattr(treeshap, "TABLE_BYTES", 0)
-    built = treeshap.TreeTables(tables.trees, tables.base_value).prepared().attribute(x, 36)
-    assert np.allclose(kept, built)
+    built = tables.prepared().attribute(x, 36)
+    assert all(group.kept is None for group in tables.groups)
+    monkeypatch.undo()
+    kept = tables.prepared().attribute(x, 36)
+    assert all(group.kept is not None for group in tables.groups) and np.allclose(kept, built)
 
 
 def test_sampled_attribution_is_exact_for_two_features(world, spark):
