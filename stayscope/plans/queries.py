@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {}
 
 # Small model sizes for registered runs; the library defaults are the full ones.
 SMALL = models.Settings(
-    logistic_iterations=50, forest_trees=10, forest_depth=5, boosted_rounds=6, boosted_depth=4, folds=3
+    logistic_iterations=30, forest_trees=10, forest_depth=5, boosted_rounds=6, boosted_depth=4, folds=3
 )
 # Weights of the fixed linear model behind the explanation queries.
 LINEAR_WEIGHTS = {
@@ -128,8 +128,7 @@ def _(spark, folder):
 
 @query("s6_saved_model")
 def _(spark, folder):
-    encoding, table = encode.fit_encoding(_keyed(workforce.profile(spark, folder)))
-    table = materialise(table, "encoded")
+    encoding, table = _encoded(workforce.profile(spark, folder))
     train = models.assemble(table, encoding.features)
     folder_out = scratch_path(spark, "models")
     fitted = models.fit_model(train, models.LOGISTIC, SMALL)
@@ -611,9 +610,16 @@ def _(people):
     )
 
 
+def _encoded(people: DataFrame) -> tuple[encode.FittedEncoding, DataFrame]:
+    """The engineered view, written once, with its fitted encoding and the encoded table."""
+    engineered = materialise(features.engineer(_keyed(people)), "engineered")
+    encoding, table = encode.fit_encoding(engineered)
+    return encoding, materialise(table, "encoded")
+
+
 def _trained_scores(people: DataFrame, name: str) -> DataFrame:
-    encoding, table = encode.fit_encoding(features.engineer(_keyed(people)))
-    train, test = split.stratified_split(materialise(table, "encoded"))
+    encoding, table = _encoded(people)
+    train, test = split.stratified_split(table)
     model = models.fit_model(models.assemble(train, encoding.features), name, SMALL)
     return models.score(model, test, encoding.features).select("row_id", "label", "score", "prediction")
 
@@ -629,8 +635,8 @@ def _(people):
 
 
 def _trained(people: DataFrame, names=(models.LOGISTIC, models.FOREST)):
-    encoding, table = encode.fit_encoding(features.engineer(_keyed(people)))
-    train, test = split.stratified_split(materialise(table, "encoded"))
+    encoding, table = _encoded(people)
+    train, test = split.stratified_split(table)
     settings = models.Settings(**{**vars(SMALL), "names": names})
     return models.train_all(train, test, encoding.features, settings)
 
@@ -651,8 +657,8 @@ def _(people):
 
 @on_profile("m12_cross_validation")
 def _(people):
-    encoding, table = encode.fit_encoding(_keyed(people))
-    ready = models.assemble(materialise(table, "encoded"), encoding.features)
+    encoding, table = _encoded(people)
+    ready = models.assemble(table, encoding.features)
     mean, spread = models.cross_validate(ready, models.LOGISTIC, SMALL)
     return people.sparkSession.createDataFrame([(models.LOGISTIC, mean, spread)], "model string, mean double, std double")
 
@@ -668,16 +674,16 @@ def _(people):
 
 @on_profile("m15_batch_scores")
 def _(people):
-    encoding, table = encode.fit_encoding(features.engineer(_keyed(people)))
-    model = models.fit_model(models.assemble(materialise(table, "encoded"), encoding.features), models.LOGISTIC, SMALL)
+    encoding, table = _encoded(people)
+    model = models.fit_model(models.assemble(table, encoding.features), models.LOGISTIC, SMALL)
     scorer = scoring.Scorer(encoding, model, features.level_medians(people))
     return scorer(_keyed(people))
 
 
 @on_profile("m16_feature_importance")
 def _(people):
-    encoding, table = encode.fit_encoding(features.engineer(_keyed(people)))
-    model = models.fit_model(models.assemble(materialise(table, "encoded"), encoding.features), models.FOREST, SMALL)
+    encoding, table = _encoded(people)
+    model = models.fit_model(models.assemble(table, encoding.features), models.FOREST, SMALL)
     return models.feature_importance(model, encoding.features, people.sparkSession)
 
 
@@ -723,8 +729,7 @@ def _(people):
 
 
 def _fitted_on_all(people: DataFrame, name: str):
-    encoding, table = encode.fit_encoding(features.engineer(_keyed(people)))
-    table = materialise(table, "encoded")
+    encoding, table = _encoded(people)
     return table, models.fit_model(models.assemble(table, encoding.features), name, SMALL), encoding.features
 
 
