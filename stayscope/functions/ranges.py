@@ -16,17 +16,20 @@ from stayscope.functions.expr import about_distinct
 from stayscope.functions.hashing import digest
 from stayscope.session import lookup_table, materialise
 
-SINGLE_RANGE_ROWS = 500_000
+SINGLE_RANGE_ROWS = 1_000_000
 MAX_RANGES = 1024
 SKETCH_ACCURACY = 10_000
 
 
-def range_cuts(df: DataFrame, order: str, rows_per_range: int = SINGLE_RANGE_ROWS) -> list[float]:
+def range_cuts(
+    df: DataFrame, order: str, rows_per_range: int = SINGLE_RANGE_ROWS, distinct: int | None = None
+) -> list[float]:
     """Ascending cut points of a numeric column, none when one range can hold every distinct value.
 
     Both sketches have a fixed size.
     """
-    distinct = df.agg(about_distinct(F.col(order))).first()[0]
+    if distinct is None:
+        distinct = df.agg(about_distinct(F.col(order))).first()[0]
     ranges = min(MAX_RANGES, -(-distinct // rows_per_range))
     if ranges <= 1:
         return []
@@ -120,7 +123,7 @@ def exact_quantiles(
         return counted.groupBy(*by).agg(
             F.percentile("_v", F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("quantiles")
         )
-    return _selected_quantiles(counted, by, probs, range_cuts(df, value, rows_per_range))
+    return _selected_quantiles(counted, by, probs, range_cuts(df, value, rows_per_range, distinct))
 
 
 def _selected_quantiles(counted: DataFrame, by: list[str], probs: list[float], cuts: Sequence[float]) -> DataFrame:
@@ -132,27 +135,28 @@ def _selected_quantiles(counted: DataFrame, by: list[str], probs: list[float], c
         F.sum("_rows").over(group).alias("_total"),
         (F.sum("_rows").over(group.orderBy("_range")) - F.col("_rows")).alias("_start"),
     )
-    wanted = starts.withColumn("_p", F.explode(F.array(*[F.lit(i) for i in range(len(probs))])))
     position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_p") + 1) * (F.col("_total") - 1)
-    wanted = wanted.withColumn("_pos", position).withColumns(
-        {"_low": F.floor("_pos"), "_high": F.ceil("_pos")}
+    wanted = (
+        starts.withColumn("_p", F.explode(F.array(*[F.lit(i) for i in range(len(probs))])))
+        .withColumn("_pos", position)
+        .withColumns({"_low": F.floor("_pos"), "_high": F.ceil("_pos")})
     )
     end = F.col("_start") + F.col("_rows")
     touches = ((F.col("_low") >= F.col("_start")) & (F.col("_low") < end)) | (
         (F.col("_high") >= F.col("_start")) & (F.col("_high") < end)
     )
-    wanted = wanted.where(touches).select(*by, "_range", "_start", "_p", "_pos", "_low", "_high")
-    wanted = lookup_table(wanted)
-    needed = lookup_table(wanted.select(*by, "_range", "_start").distinct())
+    # One row per range that holds a wanted position: few, whatever the number of values.
+    targets = lookup_table(
+        wanted.where(touches).groupBy(*by, "_range").agg(
+            F.min("_start").alias("_start"),
+            F.collect_list(F.struct("_p", "_pos", "_low", "_high")).alias("_targets"),
+        )
+    )
     inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    candidates = null_safe_join(ranged, needed, [*by, "_range"]).withColumn(
-        "_upto", F.sum("_n").over(inside) + F.col("_start")
-    ).drop("_start")
-    targets = lookup_table(wanted.drop("_start").groupBy(*by, "_range").agg(
-        F.collect_list(F.struct("_p", "_pos", "_low", "_high")).alias("_targets")
-    ))
-    hits = null_safe_join(candidates, targets, [*by, "_range"]).select(
-        *by, "_v", "_n", "_upto", F.explode("_targets").alias("_t")
+    hits = (
+        null_safe_join(ranged, targets, [*by, "_range"])
+        .withColumn("_upto", F.sum("_n").over(inside) + F.col("_start"))
+        .select(*by, "_v", "_n", "_upto", F.explode("_targets").alias("_t"))
     )
     first = F.col("_upto") - F.col("_n")
 

@@ -7,6 +7,7 @@ narratives need no shuffle.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stayscope.functions.expr import fixed_text, nearest_decimal
 from stayscope.functions.hashing import digest
-from stayscope.operators.treeshap import MAX_MODEL_NODES, TreeTables, tree_tables
+from stayscope.operators.treeshap import TreeTables, tree_tables
+
+log = logging.getLogger(__name__)
 
 BACKGROUND_ROWS = 100
 FORCEFUL, WATCHFUL = 0.7, 0.4
@@ -175,10 +178,13 @@ def attribution(
 ) -> DataFrame:
     """Pick the attribution by model kind: trees, linear, or sampling for anything else.
 
-    A tree model too large to ship to every task is explained by sampling as well.
+    Trees that cannot be flattened (too large to ship to every task, say) are sampled as well.
     """
-    if hasattr(model, "trees") and model.totalNumNodes <= MAX_MODEL_NODES:
-        return tree_attribution(df, model, features, key, overrides)
+    if hasattr(model, "trees"):
+        try:
+            return tree_attribution(df, model, features, key, overrides)
+        except ValueError as problem:
+            log.warning("explaining by sampling instead: %s", problem)
     means = feature_means(background(training, key), features)
     if hasattr(model, "coefficients"):
         weights = dict(zip(features, (float(w) for w in model.coefficients)))

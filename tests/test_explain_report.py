@@ -128,3 +128,7 @@ def test_generator(spark):
     assert abs(m["age"] - 37) < 1 and (m["lo"], m["hi"]) == (18, 60) and abs(m["tenure"] - 6.5) < 0.5
     assert abs(m["ot"] - 0.29) < 0.03 and abs(m["sales"] - 0.35) < 0.03 and abs(m["js"] - 2.94) < 0.1
     assert 0.2 < m["left"] < 0.5 and m["income"] <= 20000 and m["bad"] == 0
+
+
+def test_present_keeps_the_wanted_order(people):
+    assert R.present(people, ("OverTime", "Nope", "Age")) == ["OverTime", "Age"]

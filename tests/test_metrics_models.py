@@ -279,3 +279,15 @@ def test_study_from_raw_table_to_report(spark):
     assert {r["risk"] for r in out} <= {"LOW", "MEDIUM", "HIGH"}
     paths = write_study_report(study, scratch_path(spark, "report"))
     assert len(paths) == 6 and spark.read.parquet(paths["Feature Importance"]).count() == 36
+
+
+def test_huge_trees_are_sampled(trained, world, monkeypatch):
+    from stayscope.operators import treeshap
+
+    prep, _, _, train, test = world
+    monkeypatch.setattr(treeshap, "MAX_MODEL_NODES", 1)
+    rows = test.orderBy("row_id").limit(3)
+    out = X.attribution(rows, trained.models[ML.FOREST], prep.feature_names, train).collect()
+    want = margins(trained.models[ML.FOREST], rows, prep.feature_names)
+    for r in out:
+        assert r["base_value"] + sum(c["shap"] for c in r["contributions"]) == pytest.approx(want[r["row_id"]][1])
