@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from stayscope.functions.expr import to_number
@@ -16,6 +16,7 @@ from stayscope.session import materialise
 MISSING_CLASS = "nan"
 UNSEEN_CODE = -1
 LOCAL_CODES = 50_000
+INLINE_CODES = 64
 
 
 class NotFittedError(RuntimeError):
@@ -30,49 +31,65 @@ def extract_label(df: DataFrame, roles: Roles = HR) -> DataFrame:
     return df.withColumn("label", hit.cast("double")).drop(roles.label)
 
 
-def fit_codes(df: DataFrame, columns: list[str], local_codes: int = LOCAL_CODES) -> DataFrame:
-    """``(column, value, code)``: codes 0..k-1 in ascending value order, null as its own class.
+@dataclass
+class Codes:
+    """Fitted dictionary ``(column, value, code)``; ``inline`` repeats the columns with few values."""
+
+    table: DataFrame
+    inline: dict[str, dict[str, int]]
+
+
+def _class_text(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(MISSING_CLASS))
+
 
-    Only distinct values are numbered. A dictionary within ``local_codes`` entries is broadcast to
-    the later joins; a larger one is numbered range by range and written to the shared folder.
+def fit_codes(df: DataFrame, columns: list[str], local_codes: int = LOCAL_CODES) -> Codes:
+    """Number the distinct values of each column 0..k-1 in ascending order, null as its own class.
+
+    A dictionary within ``local_codes`` entries is broadcast to later joins; a larger one is
+    numbered range by range and written to the shared folder.
     """
     spark = df.sparkSession
     schema = "column string, value string, code int"
     if not columns:
-        return spark.createDataFrame([], schema)
+        return Codes(spark.createDataFrame([], schema), {})
     pairs = df.select(
         F.explode(
-            F.array(*[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CLASS)).alias("value"),
-                )
-                for c in columns
-            ])
+            F.array(*[F.struct(F.lit(c).alias("column"), _class_text(F.col(c)).alias("value")) for c in columns])
         ).alias("pair")
     ).select("pair.*").distinct()
     head = pairs.limit(local_codes + 1).collect()
     if len(head) <= local_codes:
-        numbered = []
-        for c in columns:
-            values = sorted(r["value"] for r in head if r["column"] == c)
-            numbered += [(c, value, code) for code, value in enumerate(values)]
-        return F.broadcast(spark.createDataFrame(numbered, schema))
+        values = {c: sorted(r["value"] for r in head if r["column"] == c) for c in columns}
+        numbered = [(c, value, code) for c in columns for code, value in enumerate(values[c])]
+        inline = {c: {v: i for i, v in enumerate(vs)} for c, vs in values.items() if len(vs) <= INLINE_CODES}
+        return Codes(F.broadcast(spark.createDataFrame(numbered, schema)), inline)
     pairs = materialise(pairs, "classes").withColumn("one", F.lit(1))
     ranked = running_totals(pairs, "value", {"code": "one"}, ["column"], text_cuts(pairs, "value"))
-    return materialise(ranked.select("column", "value", F.col("code").cast("int")), "codes")
+    return Codes(materialise(ranked.select("column", "value", F.col("code").cast("int")), "codes"), {})
+
 
+def apply_codes(df: DataFrame, codes: Codes, columns: list[str]) -> DataFrame:
+    """Replace category texts by their codes, ``-1`` where the value or column was not fitted.
 
-def apply_codes(df: DataFrame, codes: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace category texts by their codes, ``-1`` where the value or column was not fitted."""
+    Columns with few values are looked up in a literal map, the others joined.
+    """
+    unseen = F.lit(UNSEEN_CODE)
+    inline = {}
+    for c in columns:
+        if c in codes.inline:
+            pairs = [F.lit(x) for pair in codes.inline[c].items() for x in pair]
+            inline[c] = F.coalesce(F.create_map(*pairs)[_class_text(F.col(c))], unseen).cast("int")
+    df = df.withColumns(inline)
     for c in columns:
-        lookup = codes.where(F.col("column") == c).select(
+        if c in inline:
+            continue
+        lookup = codes.table.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
-        value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_CLASS))
         df = (
-            df.join(lookup, value == F.col("_value"), "left")
-            .withColumn(c, F.coalesce(F.col("_code"), F.lit(UNSEEN_CODE)).cast("int"))
+            df.join(lookup, _class_text(F.col(c)) == F.col("_value"), "left")
+            .withColumn(c, F.coalesce(F.col("_code"), unseen).cast("int"))
             .drop("_value", "_code")
         )
     return df
@@ -108,7 +125,7 @@ def align(df: DataFrame, features: list[str], keep: tuple[str, ...] = ()) -> Dat
 class FittedEncoding:
     features: list[str]
     categorical: list[str]
-    codes: DataFrame
+    codes: Codes
     moments: dict[str, tuple[float, float]]
 
 
@@ -136,7 +153,9 @@ def apply_encoding(
     if encoding is None:
         raise NotFittedError("fit the encoding before transforming")
     labelled = extract_label(df, roles)
-    categorical = [c for c in labelled.columns if c in roles.categorical]
-    coded = apply_codes(labelled, encoding.codes, categorical)
+    unfitted = [c for c in labelled.columns if c in roles.categorical and c not in encoding.categorical]
+    fitted = [c for c in labelled.columns if c in encoding.categorical]
+    known = labelled.withColumns({c: F.lit(UNSEEN_CODE) for c in unfitted})
+    coded = apply_codes(known, encoding.codes, fitted)
     aligned = align(coded, encoding.features, (row_id, "label"))
     return apply_scale(_as_numbers(aligned, encoding.features), encoding.moments)

@@ -20,7 +20,7 @@ from stayscope.operators import (
 from stayscope.operators.neighbours import nearest
 from stayscope.plans import lifecycle, workforce
 from stayscope.plans.preparation import Preparation
-from stayscope.session import materialise, scratch_path
+from stayscope.session import lookup_table, materialise, scratch_path
 from stayscope.sources import generator, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,7 +343,7 @@ def _(people):
 
 @on_profile("e2_fitted_codes")
 def _(people):
-    return encode.fit_codes(people, ["BusinessTravel", "Department", "Gender", "JobRole", "OverTime"])
+    return encode.fit_codes(people, ["BusinessTravel", "Department", "Gender", "JobRole", "OverTime"]).table
 
 
 @on_profile("e3_applied_codes")
@@ -676,7 +676,7 @@ def _(people):
 def _(people):
     encoding, table = _encoded(people)
     model = models.fit_model(models.assemble(table, encoding.features), models.LOGISTIC, SMALL)
-    scorer = scoring.Scorer(encoding, model, features.level_medians(people))
+    scorer = scoring.Scorer(encoding, model, lookup_table(features.level_medians(people)))
     return scorer(_keyed(people))
 
 

@@ -35,17 +35,19 @@ def test_row_features(spark):
 def test_codes_with_null_and_unseen(spark):
     fit = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
     codes = E.fit_codes(fit, ["c"])
-    assert {(r["value"], r["code"]) for r in codes.collect()} == {("a", 0), ("b", 1), ("nan", 2)}
+    assert {(r["value"], r["code"]) for r in codes.table.collect()} == {("a", 0), ("b", 1), ("nan", 2)}
     out = E.apply_codes(spark.createDataFrame([("a",), ("z",), (None,)], "c string"), codes, ["c"])
     assert sorted(r["c"] for r in out.collect()) == [-1, 0, 2]
+    joined = E.apply_codes(spark.createDataFrame([("a",), ("z",), (None,)], "c string"), E.Codes(codes.table, {}), ["c"])
+    assert sorted(r["c"] for r in joined.collect()) == [-1, 0, 2]
     other = E.apply_codes(spark.createDataFrame([("a",)], "d string"), codes, ["d"])
     assert other.first()["d"] == -1
 
 
 def test_large_dictionary_is_numbered_the_same(spark):
     df = spark.range(3000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("c"), F.lit("x").alias("d"))
-    small = {tuple(r) for r in E.fit_codes(df, ["c", "d"]).collect()}
-    large = {tuple(r) for r in E.fit_codes(df, ["c", "d"], local_codes=100).collect()}
+    small = {tuple(r) for r in E.fit_codes(df, ["c", "d"]).table.collect()}
+    large = {tuple(r) for r in E.fit_codes(df, ["c", "d"], local_codes=100).table.collect()}
     assert small == large and len(small) == 3001
 
 
