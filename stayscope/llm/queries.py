@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayscope.llm import decontaminate, simhash
-from stayscope.llm.common import table
+from stayscope.llm import bpe, decontaminate, language, quality, simhash
+from stayscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +60,26 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN which USING (doc_id)
 """
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = language.train(docs.filter(~held))
+    return language.identify(docs, model, keep=("doc_id", held.alias("held_out")))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 5) == 0
+    model = quality.train(docs.filter(~held), table(spark, folder, "labels"))
+    return quality.classify(docs, model, keep=("doc_id", held.alias("held_out")))
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = bpe.public_vocabulary()
+    ids = bpe.encode(table(spark, folder, "documents"), vocabulary)
+    return bpe.decode(ids, vocabulary, digests=True)
