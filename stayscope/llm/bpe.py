@@ -16,10 +16,10 @@ import base64
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,22 +115,26 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
         kept.clear()
         new = set().union(*cut)
     letters, model, other = _byte_translation(), tokenizer.model, []
-    pieces: dict[str, list[int]] = {}
+    pieces: dict[str, bytes] = {}
     for chunk in new:
         if (plain := _PLAIN.match(chunk)) is None:
             other.append(chunk)
             continue
-        ids: list[int] = []
+        ids = b""
         for piece in plain.groups():  # one match of the split pattern each
             if piece:
                 if (found := pieces.get(piece)) is None:
-                    found = pieces[piece] = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+                    found = pieces[piece] = _packed([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))])
                 ids += found
         kept[chunk] = ids
     for at in range(0, len(other), BATCH):
         part = other[at: at + BATCH]
-        kept.update(zip(part, [e.ids for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-    return [np.fromiter(chain.from_iterable(map(kept.__getitem__, chunks)), np.int32) for chunks in cut]
+        kept.update(zip(part, [_packed(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+    return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in cut]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 @lru_cache(1)
@@ -139,7 +143,7 @@ def _byte_translation() -> dict[int, str]:
 
 
 @lru_cache(2)
-def _chunk_ids(vocabulary: Vocabulary) -> dict[str, list[int]]:
+def _chunk_ids(vocabulary: Vocabulary) -> dict[str, bytes]:
     return {}
 
 
