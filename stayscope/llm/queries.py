@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayscope.llm import bpe, decontaminate, language, quality, simhash
+from stayscope.llm import archive, bpe, decontaminate, language, neighbours, quality, simhash
 from stayscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.public_vocabulary()
     ids = bpe.encode(table(spark, folder, "documents"), vocabulary)
     return bpe.decode(ids, vocabulary, digests=True)
+
+
+@query("op1_vector_search")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op6_warc_packages")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    packages = archive.archive_pages(table(spark, folder, "pages"))
+    return archive.read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc_packages"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first
+    FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to
+FROM m
+"""
