@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayscope.llm import archive, bpe, decontaminate, language, neighbours, quality, simhash
+from stayscope.llm import archive, bpe, decontaminate, language, neighbours, quality, secrets, simhash
 from stayscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
     CASE WHEN first <> page_id THEN first END AS refers_to
 FROM m
 """
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.span_table(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
