@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayscope.llm import archive, bpe, decontaminate, language, neighbours, quality, secrets, simhash
+from stayscope.llm import archive, bpe, decontaminate, language, mixing, neighbours, quality, repeats, secrets, simhash
 from stayscope.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +114,30 @@ FROM m
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.span_table(table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.repeats(table(spark, folder, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, k, list_aggregate(ws[k:k + 34], 'string_agg', ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM d)),
+h AS (SELECT doc_id, k, md5_number(words) AS h FROM w),
+twice AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM h JOIN twice USING (h)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS words, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 5) == 1
+    return mixing.score(table(spark, folder, "documents"), ~held, keep=("doc_id", held.alias("held_out")))
