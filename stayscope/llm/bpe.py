@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayscope.llm.common import slices
 
-CHUNKS = 500_000
+CHUNKS = 300_000
 BATCH = 20_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"[^\S \n]")

@@ -129,18 +129,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))
     top = counts.filter((F.col("kind") > 0) | (F.col("n") >= LEAST)).withColumn("place", place)
     chosen = top.filter((F.col("place") <= max(KNOWN, GRAMS)) & (F.col("place") <= F.when(F.col("kind") == 0, KNOWN).otherwise(GRAMS)))
-    terms = chosen.select("kind", "term").distinct()
-    rows = counts.join(F.broadcast(terms), ["kind", "term"]).select("kind", "term", "lang", "n").toPandas()
+    terms = chosen.select("kind", "term").distinct()  # bounded by the model's sizes
+    by_language = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
+    rows = counts.join(F.broadcast(terms), ["kind", "term"]).groupBy("kind", "term").agg(*by_language).orderBy("kind", "term")
     tables = []
-    for words in (True, False):
-        part = rows[(rows.kind == 0) == words]
-        index = {t: i for i, t in enumerate(sorted(set(part.term)))}
-        logs = np.zeros((len(index), len(languages)), np.float32)
-        kinds = np.zeros(len(index), int)
-        at = part.term.map(index).to_numpy(dtype=int)
-        logs[at, part.lang.map(number).to_numpy(dtype=int)] = part.n.to_numpy()
-        kinds[at] = part.kind.to_numpy(dtype=int)
-        tables.append((index, np.log((logs + 0.5) / (total[kinds] + 0.5 * distinct[kinds])) if len(index) else logs))
+    for part in (rows.filter("kind = 0"), rows.filter("kind > 0")):
+        held = part.toArrow()
+        kinds = held.column("kind").to_numpy()
+        have = np.zeros((held.num_rows, len(languages)), np.float32)
+        for i in range(len(languages)):
+            have[:, i] = held.column(f"n{i}").to_numpy()
+        index = {t: i for i, t in enumerate(held.column("term").to_pylist())}
+        tables.append((index, np.log((have + 0.5) / (total[kinds] + 0.5 * distinct[kinds])).astype(np.float32)))
+        del held, have
     (word_index, word_logs), (gram_index, gram_logs) = tables
     return LanguageModel(languages, word_index, gram_index, word_logs, gram_logs)
 
