@@ -210,8 +210,10 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     return out.toDF(*given, "_hits", "_items", "_n_words", "_longest")
 
 
-def cut_words(text: str, hits: list[int]) -> str:
+def cut_words(text: str | None, hits: list[int]) -> str | None:
     """``text`` without the runs of hit words, from the first character of a run to its last; a line break stands in."""
+    if not hits:
+        return text
     places = [m.span() for m in _WORD.finditer(text.encode().lower().decode())]
     out, last, k = [], 0, 0
     while k < len(hits):

@@ -122,6 +122,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     counts = materialise(term_counts(docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()), text, lang), "terms")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).collect()
     languages = sorted({r.lang for r in totals})
+    if not languages:
+        return LanguageModel([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
     number = {name: i for i, name in enumerate(languages)}
     total, distinct = np.ones((ORDER + 1, len(languages))), np.ones((ORDER + 1, len(languages)))
     for r in totals:

@@ -8,7 +8,8 @@ most ``BORDER`` times as far and nearer to the vector than to the centroids chos
 
 Search: a graph over the centroids, held in memory by each worker (at most ``CENTROIDS`` of them, so its
 size is bounded), is walked from its middle towards a query; the walk goes on as long as it finds centroids
-within ``RATIO`` of the nearest, and these lists are read. Lists and the queries that
+within a distance ratio of the nearest, and these lists are read. The ratio is measured when the index is fitted: it is the least that
+reaches the share ``RECALL`` of the true neighbours of ``PROBES`` sampled vectors within the sample. Lists and the queries that
 read them meet by an equality join of bounded blocks; a block returns the best of each query only.
 
 Equal vectors are one entry that keeps the smallest ids, k + 1 of them, which is exact as ties go to smaller ids. A vector
@@ -32,7 +33,8 @@ CENTROIDS = 8_192
 LIST_ROWS = 2_048
 REPLICAS = 4
 BORDER = 1.1
-RATIO = 1.08
+RECALL = 0.98
+PROBES = 512
 BLOCK = 4_096
 DEGREE = 16
 SALTS = 64
@@ -52,6 +54,7 @@ class Index:
     graph: list[list[int]]
     start: int
     radius: float
+    ratio: float = 1.0
 
     def lift(self, vectors: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.radius ** 2 - (vectors ** 2).sum(axis=1), 0))
@@ -71,8 +74,29 @@ class Index:
             out.append(chosen)
         return out
 
-    def probe(self, query: np.ndarray, ratio: float = RATIO) -> list[int]:
-        """Lists whose centroid is within ``ratio`` of the nearest one that the walk finds."""
+    def goals(self, queries: np.ndarray) -> np.ndarray:
+        """Queries in the lifted space, at the common length."""
+        return np.column_stack([queries * (self.radius / np.linalg.norm(queries, axis=1))[:, None], np.zeros(len(queries))])
+
+    def measured(self, sample: np.ndarray, k: int, recall: float = RECALL) -> Index:
+        """This index with the ratio that finds ``recall`` of the ``k`` best of sampled queries in the sample."""
+        queries = np.arange(0, len(sample), max(1, len(sample) // PROBES))
+        scores = sample[queries] @ sample.T
+        scores[np.arange(len(queries)), queries] = -np.inf
+        few = min(k, len(sample) - 1)
+        if few < 1:
+            return self
+        best = np.argpartition(-scores, few - 1, axis=1)[:, :few]
+        holders = dict(zip(wanted := np.unique(best), self.lists(sample[wanted])))
+        far = _distances(self.goals(sample[queries]), self.centroids)
+        far /= np.maximum(far.min(axis=1, keepdims=True), 1e-12)
+        needed = np.sort([far[i, holders[j]].min() for i, row in enumerate(best) for j in row])
+        self.ratio = float(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1e-9
+        return self
+
+    def probe(self, query: np.ndarray) -> list[int]:
+        """Lists whose centroid is within the ratio of the nearest one that the walk finds."""
+        ratio = self.ratio
         scale = np.linalg.norm(query)
         goal = np.append(query * (self.radius / scale), 0.0)
         far = {self.start: float(np.linalg.norm(self.centroids[self.start] - goal))}
@@ -158,7 +182,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-            ratio: float = RATIO, list_rows: int = LIST_ROWS) -> DataFrame:
+            recall: float = RECALL, list_rows: int = LIST_ROWS) -> DataFrame:
     """(query_id, rank, ``key``, score) of the ``k`` best other rows found for each row that ``is_query`` marks.
 
     Rows with a null key, and vectors that are null, empty, zero or hold null or non-finite
@@ -183,7 +207,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("square")
     ).first()
     sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    index = build_index(_matrix(sample), facts["n"], float(np.sqrt(facts["square"])), list_rows)
+    points = _matrix(sample)
+    index = build_index(points, facts["n"], float(np.sqrt(facts["square"])), list_rows).measured(points, k, recall)
     shared = spark.sparkContext.broadcast(index)
 
     def posting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [shared.value.probe(q, ratio) for q in _matrix(batch.column("q"))]
+            lists = [shared.value.probe(q) for q in _matrix(batch.column("q"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
     postings = entries.select("entry", "v", "ids").mapInArrow(posting, "entry bigint, v array<double>, ids array<bigint>, lists array<int>")

@@ -233,12 +233,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length_c
     ends = F.concat(F.transform(spots, lambda c: c["a"]), F.array(F.length(value).cast("bigint")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substr(value, (a + 1).cast("int"), (b - a).cast("int")))
     new = F.when(spots.isNull(), value).otherwise(F.array_join(pieces, mark))
+    gone = F.aggregate(spots, F.lit(0).cast("bigint"), lambda total, c: total + c["b"] - c["a"])
+    size = F.length(value) - gone + F.size(spots) * len(mark)
     columns = []
     for name in given:
         column = F.col(f"`{name}`")
         if name == text:
             column = new
         elif name == length_column:
-            column = F.when(spots.isNull(), column).otherwise(F.length(new)).cast(docs.schema[name].dataType)
+            column = F.when(spots.isNull(), column).otherwise(size).cast(docs.schema[name].dataType)
         columns.append(column.alias(name))
     return joined.select(*columns)
