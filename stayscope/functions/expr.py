@@ -51,7 +51,8 @@ def has_currency_mark(text: Column) -> Column:
 
 def means_left(column: Column) -> Column:
     """True for the label texts that mean "left"; null and everything else are False."""
-    return F.coalesce(F.lower(F.trim(column.cast("string"))).isin(*POSITIVE_TEXTS), F.lit(False))
+    text = F.regexp_replace(column.cast("string"), r"^\s+|\s+$", "")
+    return F.coalesce(F.lower(text).isin(*POSITIVE_TEXTS), F.lit(False))
 
 
 def rate_pct(hit: Column) -> Column:

@@ -7,7 +7,6 @@ narratives need no shuffle.
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,6 @@ from stayscope.functions.expr import fixed_text, nearest_decimal
 from stayscope.functions.hashing import digest
 from stayscope.operators.treeshap import TreeTables, tree_tables
 
-log = logging.getLogger(__name__)
-
 BACKGROUND_ROWS = 100
 FORCEFUL, WATCHFUL = 0.7, 0.4
 RISK, PROTECTIVE = "risk", "protective"
@@ -102,10 +99,9 @@ def tree_attribution(
     key_type = df.schema[key].dataType.simpleString()
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker = tables.prepared()
         for batch in batches:
             if len(batch):
-                phi = worker.attribute(np.stack(batch["_x"].to_numpy()), width)
+                phi = tables.attribute(np.stack(batch["_x"].to_numpy()), width)
                 yield batch.assign(_phi=list(phi))
 
     out = rows.mapInPandas(attribute, f"`{key}` {key_type}, _x array<double>, _phi array<double>")
@@ -176,16 +172,10 @@ def attribution(
     df: DataFrame, model: Model, features: list[str], training: DataFrame, key: str = "row_id",
     overrides: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Pick the attribution by model kind: trees, linear, or sampling for anything else.
-
-    Trees that cannot be flattened (too large to ship to every task, say) are sampled as well.
-    """
+    """Pick the attribution by model kind: trees, linear, or sampling for anything else."""
     if hasattr(model, "trees"):
-        try:
-            return tree_attribution(df, model, features, key, overrides)
-        except ValueError as problem:
-            log.warning("explaining by sampling instead: %s", problem)
-    means = feature_means(background(training, key), features)
+        return tree_attribution(df, model, features, key, overrides)
+    means = feature_means(training, features)
     if hasattr(model, "coefficients"):
         weights = dict(zip(features, (float(w) for w in model.coefficients)))
         return linear_attribution(df, weights, means, float(model.intercept), key, overrides)
@@ -195,10 +185,9 @@ def attribution(
 # Tables made from contributions -------------------------------------------------------------
 
 
-def global_importance(explained: DataFrame, sample: int | None = None, key: str = "row_id") -> DataFrame:
+def global_importance(explained: DataFrame) -> DataFrame:
     """Mean absolute attribution per feature over all rows, greatest first."""
-    rows = explained if sample is None else explained.orderBy(key).limit(sample)
-    each = rows.select(F.explode("contributions").alias("c")).select("c.feature", F.abs("c.shap").alias("size"))
+    each = explained.select(F.explode("contributions").alias("c")).select("c.feature", F.abs("c.shap").alias("size"))
     return each.groupBy("feature").agg(F.avg("size").alias("mean_abs_shap")).orderBy(
         F.col("mean_abs_shap").desc(), "feature"
     )

@@ -145,27 +145,23 @@ def train_all(
     balanced = plain
     if use_smote:
         balanced = assemble(materialise(smote(plain.drop("features"), features, key=key, seed=SEED), "balanced"), features)
-    balanced = balanced.persist()
     held_out = assemble(test, features)
     models: dict[str, Model] = {}
     scored, cv, failures = [], [], {}
     error: Exception | None = None
-    try:
-        for name in settings.names:
-            try:
-                model = fit_model(balanced, name, settings)
-                mean, spread = cross_validate(plain, name, settings, key)
-            except Exception as problem:  # one failing model must not stop the others
-                log.error("training %s failed: %s", name, problem)
-                failures[name], error = str(problem), problem
-                continue
-            models[name] = model
-            cv.append((name, float(mean), float(spread)))
-            scored.append(
-                score(model, held_out).select(key, "label", "score", "prediction").withColumn("model", F.lit(name))
-            )
-    finally:
-        balanced.unpersist()
+    for name in settings.names:
+        try:
+            model = fit_model(balanced, name, settings)
+            mean, spread = cross_validate(plain, name, settings, key)
+        except Exception as problem:  # one failing model must not stop the others
+            log.error("training %s failed: %s", name, problem)
+            failures[name], error = str(problem), problem
+            continue
+        models[name] = model
+        cv.append((name, float(mean), float(spread)))
+        scored.append(
+            score(model, held_out).select(key, "label", "score", "prediction").withColumn("model", F.lit(name))
+        )
     if not models:
         raise RuntimeError("every model failed to train") from error
     all_scored = materialise(reduce(DataFrame.unionByName, scored), "scored")

@@ -19,7 +19,6 @@ CURRENCY_SHARE = 0.3
 CURRENCY_SAMPLE = 50
 MISSING_WARNING_PCT = 20.0
 MIN_ROWS = 10
-NARROW_DISTINCT = 64
 MIN_COLUMNS = 2
 
 
@@ -126,10 +125,10 @@ def label_by_name(columns: list[str], roles: Roles = HR) -> str | None:
 def two_valued_columns(df: DataFrame, profile: dict[str, ColumnProfile]) -> list[str]:
     """Columns with one or two distinct lower-cased values, one of which means "left".
 
-    The sketch rules out wide columns. A remaining column qualifies when no value differs from
-    both its least and its greatest one, which needs no distinct count.
+    A column qualifies when no value differs from both its least and its greatest one, which needs
+    no distinct count and no bound on the spellings.
     """
-    narrow = [p.name for p in profile.values() if p.filled and p.about_distinct <= NARROW_DISTINCT]
+    narrow = [p.name for p in profile.values() if p.filled]
     if not narrow:
         return []
     lowered = df.select(*[F.lower(F.col(f"`{c}`").cast("string")).alias(c) for c in narrow])

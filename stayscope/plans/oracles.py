@@ -660,9 +660,9 @@ ELSE '✅ Monitor in next quarterly review' || chr(10) || '• Maintain current
 FROM scored s LEFT JOIN said USING (row_id)""")
 ORACLES["x8_narratives"] = ORACLES["x8_narratives"].replace("WHERE shap4 <> 0)\n, said", "WHERE shap4 <> 0), said")
 shap_sql("x9_waterfall", """SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY shap4, feature) AS INT) AS position, feature,
-display_name, shap4 AS shap FROM ranked WHERE rank <= 6""")
+display_name, shap4 AS shap FROM ranked WHERE rank <= 10""")
 shap_sql("x10_top_importance", f"""SELECT feature, {r('s')} AS importance FROM (SELECT feature, avg(abs(shap)) AS s FROM shap GROUP BY feature)
-ORDER BY s DESC, feature LIMIT 7""")
+ORDER BY s DESC, feature LIMIT 15""")
 
 # Reports --------------------------------------------------------------------------------------------------------
 

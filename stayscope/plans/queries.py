@@ -634,7 +634,7 @@ def _(people):
     return split.class_weights(_xy(people).select("row_id", "label"))
 
 
-def _trained(people: DataFrame, names=(models.LOGISTIC, models.FOREST)):
+def _trained(people: DataFrame, names=(models.LOGISTIC, models.FOREST, models.BOOSTED)):
     encoding, table = _encoded(people)
     train, test = split.stratified_split(table)
     settings = models.Settings(**{**vars(SMALL), "names": names})
@@ -794,13 +794,13 @@ def _(people):
     return explain.narrative(_explained(people).join(scored, "row_id"))
 
 
-on_profile("x9_waterfall")(lambda people: explain.waterfall(_explained(people), 6))
+on_profile("x9_waterfall")(lambda people: explain.waterfall(_explained(people), 10))
 
 
 @on_profile("x10_top_importance")
 def _(people):
     importance = explain.global_importance(_explained(people)).withColumnRenamed("mean_abs_shap", "importance")
-    return models.top_importance(importance, 7)
+    return models.top_importance(importance, 15)
 
 
 @on_raw("l3_predicted_and_explained")

@@ -102,3 +102,17 @@ def test_ranged_quantiles_give_the_same_cleaning(raw):
     assert plain.medians == pytest.approx(ranged.medians) and plain.modes == ranged.modes
     for c, bounds in plain.clips.items():
         assert ranged.clips[c] == pytest.approx(bounds)
+
+
+def test_gaps_that_first_appear_after_fitting(spark):
+    from stayscope.functions.expr import means_left
+    from stayscope.operators.clean import apply_clean, fit_clean
+
+    rows = [(i, 20 + i, "Sales" if i % 3 else "Research", "Yes" if i % 2 else "No") for i in range(30)]
+    whole = spark.createDataFrame(rows, "EmployeeID int, Age int, Department string, Attrition string")
+    params, _ = fit_clean(whole, row_id="EmployeeID")
+    gaps = spark.createDataFrame([(100, None, None, "Yes")], whole.schema)
+    got = apply_clean(gaps, params).first()
+    assert got["Age"] == 34.5 and got["Department"] == "Sales"
+    padded = spark.createDataFrame([("\tYes",), (" no\n",), (None,)], "t string")
+    assert [r[0] for r in padded.select(means_left(padded.t)).collect()] == [True, False, False]

@@ -218,18 +218,44 @@ def test_tree_attribution_equals_enumeration(trained, world, spark):
             assert got[r["row_id"]][i] == pytest.approx(phi, abs=1e-9)
 
 
-def test_tree_tables_without_the_memory_for_them(trained, world, spark, monkeypatch):
+def test_tree_blocks_do_not_change_attributions(trained, world, spark, monkeypatch):
     from stayscope.operators import treeshap
 
     prep, _, _, _, test = world
     tables = treeshap.tree_tables(trained.models[ML.BOOSTED], spark)
     x = np.array([[r[f] for f in prep.feature_names] for r in test.limit(20).collect()])
-    monkeypatch.setattr(treeshap, "TABLE_BYTES", 0)
-    built = tables.prepared().attribute(x, 36)
-    assert all(group.kept is None for group in tables.groups)
-    monkeypatch.undo()
-    kept = tables.prepared().attribute(x, 36)
-    assert all(group.kept is not None for group in tables.groups) and np.allclose(kept, built)
+    whole = tables.attribute(x, 36)
+    monkeypatch.setattr(treeshap, "BLOCK_CELLS", 1)
+    assert np.allclose(tables.attribute(x, 36), whole)
+
+
+def test_deep_leaves_are_exact():
+    """Paths of 15 features: attributions add up, and equal the definition where few features matter."""
+    from itertools import combinations
+    from math import factorial
+
+    from stayscope.operators.treeshap import LeafGroup
+
+    draw = np.random.default_rng(4)
+    for d in (1, 2, 5, 15):
+        low, share = draw.normal(size=(3, d)), draw.uniform(0, 1, (3, d))
+        group = LeafGroup(np.tile(np.arange(d), (3, 1)), low, np.full((3, d), np.inf), share, np.array([1.0, -2.0, 0.5]))
+        x = draw.normal(size=(6, d))
+        phi = np.zeros((6, d))
+        group.add(x, phi)
+        met = x[:, None, :] > low
+        assert np.allclose(phi.sum(axis=1), ((met.prod(axis=2) - share.prod(axis=1)) * group.value).sum(axis=1))
+        if d > 5:
+            continue
+        for row in range(6):
+            for i in range(d):
+                want = 0.0
+                for size in range(d):
+                    for known in combinations([j for j in range(d) if j != i], size):
+                        rest = [j for j in range(d) if j != i and j not in known]
+                        base = met[row][:, list(known)].prod(axis=1) * share[:, rest].prod(axis=1) * group.value
+                        want += factorial(size) * factorial(d - 1 - size) / factorial(d) * (base * (met[row][:, i] - share[:, i])).sum()
+                assert abs(phi[row, i] - want) < 1e-12
 
 
 def test_sampled_attribution_is_exact_for_two_features(world, spark):
@@ -279,15 +305,3 @@ def test_study_from_raw_table_to_report(spark):
     assert {r["risk"] for r in out} <= {"LOW", "MEDIUM", "HIGH"}
     paths = write_study_report(study, scratch_path(spark, "report"))
     assert len(paths) == 6 and spark.read.parquet(paths["Feature Importance"]).count() == 36
-
-
-def test_huge_trees_are_sampled(trained, world, monkeypatch):
-    from stayscope.operators import treeshap
-
-    prep, _, _, train, test = world
-    monkeypatch.setattr(treeshap, "MAX_MODEL_NODES", 1)
-    rows = test.orderBy("row_id").limit(3)
-    out = X.attribution(rows, trained.models[ML.FOREST], prep.feature_names, train).collect()
-    want = margins(trained.models[ML.FOREST], rows, prep.feature_names)
-    for r in out:
-        assert r["base_value"] + sum(c["shap"] for c in r["contributions"]) == pytest.approx(want[r["row_id"]][1])
