@@ -6,6 +6,7 @@ returns them as a small record; ``apply_clean`` is map-only apart from the dupli
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from stayscope.functions.expr import about_distinct, means_left, money_to_number, to_number
 from stayscope.functions.ranges import SINGLE_RANGE_ROWS, column_quantiles
 from stayscope.operators.profile import (
-    ColumnProfile, currency_by_sample, droppable_columns, find_label, profile_table, spelling_map,
+    ColumnProfile, currency_by_sample, droppable_columns, find_label, plain_names, profile_table, spelling_map,
 )
 from stayscope.schema import HR, Roles
 from stayscope.session import materialise
@@ -55,6 +56,37 @@ def standardise_label(df: DataFrame, source: str, roles: Roles = HR) -> DataFram
     return renamed if source == roles.label else renamed.drop(roles.label).withColumnRenamed(source, roles.label)
 
 
+def row_digest(df: DataFrame) -> Column:
+    """A text key made from all columns of a row: equal for equal rows only, whatever the partitioning.
+
+    Fields keep their name and null stays apart from the empty text. A zero has one sign.
+    """
+    parts = []
+    for f in df.schema.fields:
+        value = F.col(f.name)
+        if isinstance(f.dataType, T.BinaryType):
+            value = F.hex(value)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value))
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(value == 0, F.lit("0")).otherwise(value.cast("string"))
+        parts.append(value.cast("string").alias(f.name))
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def is_row_key(prepared: DataFrame, key: str = "row_id") -> bool:
+    """Whether every row has a key and no two different rows share one.
+
+    Rows that repeat as a whole may share a key: duplicate removal leaves one of them. A key value
+    reaches its reducer as three numbers per map task however many rows carry it.
+    """
+    body = F.xxhash64(*[F.col(c) for c in prepared.columns if c != key])
+    spread = prepared.select(F.col(key), body.alias("_body")).groupBy(key).agg(
+        F.min("_body").alias("_low"), F.max("_body").alias("_high")
+    )
+    return spread.where(F.col(key).isNull() | (F.col("_low") != F.col("_high"))).limit(1).count() == 0
+
+
 def drop_duplicate_rows(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
     """Keep one row per combination of attributes, with the least key.
 
@@ -112,7 +144,10 @@ def split_extras(
 
 
 def prepare(df: DataFrame, params: CleanParams) -> DataFrame:
-    """Everything before duplicate removal: renames, drops, currency, label. Map-only."""
+    """Everything before duplicate removal: renames, drops, currency, label. Map-only.
+
+    A table without a key column gets the digest of the row as it stands here as its ``row_id``.
+    """
     out = df.withColumnsRenamed(params.renames)
     key = params.row_id
     drops = [c for c in params.dropped if c in out.columns and c != key]
@@ -124,7 +159,7 @@ def prepare(df: DataFrame, params: CleanParams) -> DataFrame:
     out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
     if params.label_source in out.columns:
         out = standardise_label(out, params.label_source, params.roles)
-    return out
+    return out if key is not None else out.withColumn("row_id", row_digest(out))
 
 
 def coerce_numbers(df: DataFrame, params: CleanParams) -> DataFrame:
@@ -173,8 +208,13 @@ def plan_clean(
     strict_reference: bool = False,
     profile: dict[str, ColumnProfile] | None = None,
 ) -> CleanParams:
-    """Decide renames, drops, currency columns and the label from one profile of the raw table."""
+    """Decide renames, drops, currency columns, the label and the row key from one profile of the raw table.
+
+    The key is ``row_id``, or else the first identifier or row index, that is verified to tell rows
+    apart. Where none does, ``CleanParams.row_id`` is None and rows are known by their digest.
+    """
     renames = spelling_map(df.columns, roles)
+    renames |= plain_names([c for c in df.columns if c not in renames], set(renames.values()))
     named = df.withColumnsRenamed(renames)
     if profile is None:
         profile = profile_table(named)
@@ -183,13 +223,12 @@ def plan_clean(
             renames.get(c, c): ColumnProfile(**{**vars(p), "name": renames.get(c, c)}) for c, p in profile.items()
         }
     dropped = droppable_columns(named, profile, roles, strict_reference)
-    key = row_id
-    if key is None:
-        key = next((c for c, why in dropped.items() if why in ("identifier", "row index")
-                    and profile[c].about_distinct > 1), None)
+    if row_id is None:
+        keys = [c for c, why in dropped.items() if why in ("identifier", "row index") and profile[c].about_distinct > 1]
     else:
-        key = renames.get(key, key)
-    left = {c: p for c, p in profile.items() if c not in dropped and c != key}
+        keys = [renames.get(row_id, row_id)]
+    left = {c: p for c, p in profile.items() if c not in dropped and c not in keys}
+    key = next(iter(keys), None)
     if strict_reference and key is not None:
         texts = [c for c, p in left.items() if p.is_text]
         currency = [c for c, hit in currency_by_sample(named, key, texts).items() if hit]
@@ -198,7 +237,15 @@ def plan_clean(
     label = find_label(named.select(*left), left, roles)
     if label is None:
         raise ValueError(f"no label column found; name one {roles.label!r}")
-    return CleanParams(roles, renames, dropped, key, currency, label)
+    params = CleanParams(roles, renames, dropped, key, currency, label)
+    for key in keys:
+        params.row_id = key
+        if is_row_key(prepare(df, params)):
+            return params
+        dropped.setdefault(key, "identifier")
+        warnings.warn(f"{key!r} does not tell rows apart; it is not used as their key", stacklevel=2)
+    params.row_id = None
+    return params
 
 
 def fit_clean(
@@ -210,16 +257,20 @@ def fit_clean(
     reuse: bool = True,
     profile: dict[str, ColumnProfile] | None = None,
     plan: CleanParams | None = None,
+    only: DataFrame | None = None,
 ) -> tuple[CleanParams, DataFrame]:
     """Learn the cleaning parameters. Returns them with the cleaned table.
 
     ``plan`` keeps the renames, drops and label of an earlier fit and learns only the statistics.
+    ``only``, a table of ``row_id``, limits the fit to those rows.
 
     With ``reuse`` the duplicate-free table is written to the shared folder once, so the fitting
     passes and the result read columns of files instead of repeating the shuffle.
     """
     params = replace(plan) if plan else plan_clean(df, row_id, roles, strict_reference, profile)
     prepared = prepare(df, params)
+    if only is not None:
+        prepared = prepared.join(only, "row_id", "left_semi")
     unique = drop_duplicate_rows(prepared, "row_id")
     if reuse:
         unique = materialise(unique, "unique")
@@ -267,6 +318,7 @@ def cleaning_report(raw: DataFrame, cleaned: DataFrame, params: CleanParams) ->
     rows += [("renamed", f"{old} -> {new}", 1) for old, new in params.renames.items()]
     rows += [("dropped", f"{c}: {why}", 1) for c, why in params.dropped.items()]
     rows += [("currency", c, 1) for c in params.currency]
+    rows.append(("row key", params.row_id or "digest of the row", 1))
     if params.label_source != params.roles.label:
         rows.append(("label renamed", params.label_source, 1))
     rows.append(("duplicate rows removed", "", n_raw - n_clean))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from stayscope.functions.expr import fixed_text, nearest_decimal
 from stayscope.functions.hashing import digest
@@ -44,18 +45,6 @@ def contribution_array(
     )
 
 
-def from_long(df: DataFrame, key: str = "row_id", overrides: dict[str, str] | None = None) -> DataFrame:
-    """Pack a long (key, feature, value, shap) table; one row per key afterwards.
-
-    A key has one row per feature, so a group is as small as the feature list.
-    """
-    shown = F.initcap(F.regexp_replace("feature", "_", " "))
-    for name, text in (overrides or {}).items():
-        shown = F.when(F.col("feature") == name, F.lit(text)).otherwise(shown)
-    one = F.struct("feature", shown.alias("display_name"), "value", "shap")
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("contributions"))
-
-
 def background(df: DataFrame, key: str = "row_id", n: int = BACKGROUND_ROWS, seed: object = 42) -> DataFrame:
     """At most ``n`` rows, picked by the digest of their key."""
     return df.orderBy(digest(seed, F.col(key)), key).limit(n)
@@ -68,17 +57,19 @@ def feature_means(df: DataFrame, features: list[str]) -> dict[str, float]:
 
 def linear_attribution(
     df: DataFrame, weights: dict[str, float], means: dict[str, float], intercept: float = 0.0,
-    key: str = "row_id", overrides: dict[str, str] | None = None,
+    key: str = "row_id", overrides: dict[str, str] | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Log-odds attributions of a linear model, weight x (value - background mean).
 
-    ``base_value`` plus the attributions is the margin. Plain column arithmetic.
+    ``base_value`` plus the attributions is the margin. Plain column arithmetic. Columns in
+    ``keep`` stay beside the result, here and in the other attributions.
     """
     features = list(weights)
     shaps = [F.lit(float(weights[f])) * (F.col(f) - F.lit(float(means[f]))) for f in features]
     base = intercept + sum(weights[f] * means[f] for f in features)
     return df.select(
         key,
+        *keep,
         F.lit(float(base)).alias("base_value"),
         contribution_array([F.col(f) for f in features], shaps, features, overrides).alias("contributions"),
     )
@@ -86,7 +77,7 @@ def linear_attribution(
 
 def tree_attribution(
     df: DataFrame, model: Model, features: list[str], key: str = "row_id",
-    overrides: dict[str, str] | None = None, tables: TreeTables | None = None,
+    overrides: dict[str, str] | None = None, tables: TreeTables | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Path-dependent tree attributions, one batch of rows at a time.
 
@@ -95,8 +86,8 @@ def tree_attribution(
     """
     tables = tables or tree_tables(model, df.sparkSession)
     width = len(features)
-    rows = df.select(key, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
-    key_type = df.schema[key].dataType.simpleString()
+    rows = df.select(key, *keep, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    schema = T.StructType(rows.schema.fields + [T.StructField("_phi", T.ArrayType(T.DoubleType()))])
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,9 +95,10 @@ def tree_attribution(
                 phi = tables.attribute(np.stack(batch["_x"].to_numpy()), width)
                 yield batch.assign(_phi=list(phi))
 
-    out = rows.mapInPandas(attribute, f"`{key}` {key_type}, _x array<double>, _phi array<double>")
+    out = rows.mapInPandas(attribute, schema)
     return out.select(
         key,
+        *keep,
         F.lit(float(tables.base_value)).alias("base_value"),
         contribution_array(
             [F.col("_x")[i] for i in range(width)], [F.col("_phi")[i] for i in range(width)], features, overrides
@@ -116,7 +108,7 @@ def tree_attribution(
 
 def sampled_attribution(
     df: DataFrame, model: Model, features: list[str], reference: dict[str, float], key: str = "row_id",
-    orders: int = 16, seed: object = 42, overrides: dict[str, str] | None = None,
+    orders: int = 16, seed: object = 42, overrides: dict[str, str] | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Attributions of P(class 1) for any model, by sampled feature orders.
 
@@ -133,7 +125,7 @@ def sampled_attribution(
     )
     order = F.transform(F.array_sort(picks), lambda s: s["i"])
     walked = (
-        df.select(key, x.alias("_x"))
+        df.select(key, *keep, x.alias("_x"))
         .withColumn("_order", F.explode(F.sequence(F.lit(1), F.lit(orders))))
         .withColumn("_perm", order)
         .withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
@@ -148,9 +140,10 @@ def sampled_attribution(
     scored = model.transform(points).withColumn("_p", vector_to_array("probability")[1])
     enters = F.when(F.col("_step") > 0, F.element_at("_perm", F.col("_step")))
     leaves = F.when(F.col("_step") < d, F.element_at("_perm", F.col("_step") + 1))
-    # A step adds its score to the feature that just entered and takes it from the next one.
-    totals = scored.groupBy(key).agg(
-        F.max("_x").alias("_x"),
+    # A step adds its score to the feature that just entered and takes it from the next one. All
+    # buffers are numbers, so rows are combined by hash before the shuffle.
+    totals = scored.groupBy(key, *keep).agg(
+        *[F.first(F.element_at("_x", i + 1)).alias(f"_x{i}") for i in range(d)],
         F.avg(F.when(F.col("_step") == 0, F.col("_p"))).alias("base_value"),
         *[
             (
@@ -161,25 +154,25 @@ def sampled_attribution(
         ],
     )
     return totals.select(
-        key, "base_value",
+        key, *keep, "base_value",
         contribution_array(
-            [F.col("_x")[i] for i in range(d)], [F.col(f"_s{i}") for i in range(d)], features, overrides
+            [F.col(f"_x{i}") for i in range(d)], [F.col(f"_s{i}") for i in range(d)], features, overrides
         ).alias("contributions"),
     )
 
 
 def attribution(
     df: DataFrame, model: Model, features: list[str], training: DataFrame, key: str = "row_id",
-    overrides: dict[str, str] | None = None,
+    overrides: dict[str, str] | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Pick the attribution by model kind: trees, linear, or sampling for anything else."""
     if hasattr(model, "trees"):
-        return tree_attribution(df, model, features, key, overrides)
+        return tree_attribution(df, model, features, key, overrides, keep=keep)
     means = feature_means(training, features)
     if hasattr(model, "coefficients"):
         weights = dict(zip(features, (float(w) for w in model.coefficients)))
-        return linear_attribution(df, weights, means, float(model.intercept), key, overrides)
-    return sampled_attribution(df, model, features, means, key, overrides=overrides)
+        return linear_attribution(df, weights, means, float(model.intercept), key, overrides, keep)
+    return sampled_attribution(df, model, features, means, key, overrides=overrides, keep=keep)
 
 
 # Tables made from contributions -------------------------------------------------------------

@@ -60,6 +60,11 @@ class ColumnProfile:
         return self.nulls / self.rows * 100 if self.rows else 0.0
 
 
+def quoted(name: str) -> str:
+    """A column name as a column expression reads it back unchanged."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _missing(column, dtype):
     return column.isNull() | F.isnan(column) if isinstance(dtype, (T.DoubleType, T.FloatType)) else column.isNull()
 
@@ -69,7 +74,7 @@ def profile_table(df: DataFrame, columns: list[str] | None = None) -> dict[str,
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     marks = [F.count(F.lit(1)).alias("rows")]
     for i, field in enumerate(fields):
-        c = F.col(f"`{field.name}`")
+        c = F.col(quoted(field.name))
         c = F.when(~_missing(c, field.dataType), c)
         text = c.cast("string")
         is_text = isinstance(field.dataType, T.StringType)
@@ -111,6 +116,25 @@ def spelling_map(columns: list[str], roles: Roles = HR) -> dict[str, str]:
     return mapping
 
 
+def plain_names(columns: list[str], taken: set[str] = frozenset()) -> dict[str, str]:
+    """``{column: new name}`` for names with a dot or a backtick, which column expressions misread.
+
+    The marks become underscores; a name that is in use already gets a number.
+    """
+    used = {c.lower() for c in columns} | {c.lower() for c in taken}
+    mapping: dict[str, str] = {}
+    for column in columns:
+        if "." not in column and "`" not in column:
+            continue
+        base = name = column.replace(".", "_").replace("`", "_")
+        number = 2
+        while name.lower() in used:
+            name, number = f"{base}_{number}", number + 1
+        used.add(name.lower())
+        mapping[column] = name
+    return mapping
+
+
 def rename_spellings(df: DataFrame, roles: Roles = HR) -> DataFrame:
     return df.withColumnsRenamed(spelling_map(df.columns, roles))
 
@@ -131,10 +155,10 @@ def two_valued_columns(df: DataFrame, profile: dict[str, ColumnProfile]) -> list
     narrow = [p.name for p in profile.values() if p.filled]
     if not narrow:
         return []
-    lowered = df.select(*[F.lower(F.col(f"`{c}`").cast("string")).alias(c) for c in narrow])
+    lowered = df.select(*[F.lower(F.col(quoted(c)).cast("string")).alias(c) for c in narrow])
     ends = lowered.agg(
-        *[F.min(f"`{c}`").alias(f"lo_{i}") for i, c in enumerate(narrow)],
-        *[F.max(f"`{c}`").alias(f"hi_{i}") for i, c in enumerate(narrow)],
+        *[F.min(quoted(c)).alias(f"lo_{i}") for i, c in enumerate(narrow)],
+        *[F.max(quoted(c)).alias(f"hi_{i}") for i, c in enumerate(narrow)],
     ).first()
     hopeful = [
         (c, ends[f"lo_{i}"], ends[f"hi_{i}"])
@@ -144,7 +168,7 @@ def two_valued_columns(df: DataFrame, profile: dict[str, ColumnProfile]) -> list
     if not hopeful:
         return []
     others = lowered.agg(
-        *[F.count_if(~F.col(f"`{c}`").isin(lo, hi)).alias(f"n_{i}") for i, (c, lo, hi) in enumerate(hopeful)]
+        *[F.count_if(~F.col(quoted(c)).isin(lo, hi)).alias(f"n_{i}") for i, (c, lo, hi) in enumerate(hopeful)]
     ).first()
     return [c for i, (c, _, _) in enumerate(hopeful) if others[f"n_{i}"] == 0]
 
@@ -166,7 +190,7 @@ def find_label(df: DataFrame, profile: dict[str, ColumnProfile] | None = None, r
 
 def all_unique(df: DataFrame, names: list[str]) -> list[str]:
     """The columns among ``names`` in which no value repeats; map-side combined per value."""
-    return [c for c in names if df.groupBy(c).count().where("count > 1").limit(1).count() == 0]
+    return [c for c in names if df.groupBy(F.col(quoted(c))).count().where("count > 1").limit(1).count() == 0]
 
 
 def droppable_columns(

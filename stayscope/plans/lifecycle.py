@@ -42,15 +42,14 @@ def run_study(raw: DataFrame, settings: Settings = Settings(), **options) -> Stu
 def predict_and_explain(study: Study, records: DataFrame, key: str = "row_id") -> DataFrame:
     """Score, risk band, contributions and text for every record.
 
-    The encoded records are written once: scoring and attribution then read the same files.
+    Scores travel beside the features into the attribution: nothing is joined, so records that
+    share a key, or have none, keep their own rows.
     """
     scorer = study.scorer
-    encoded = materialise(scorer.features(records, key), "records")
     names = scorer.encoding.features
-    scores = score(scorer.model, encoded, names).select(
-        key, "score", "prediction", risk_band(F.col("score")).alias("risk")
-    )
-    explained = attribution(encoded, scorer.model, names, study.train, key).join(scores, key)
+    scored = score(scorer.model, scorer.features(records, key), names).withColumn("risk", risk_band(F.col("score")))
+    kept = ("score", "prediction", "risk")
+    explained = attribution(scored, scorer.model, names, study.train, key, keep=kept)
     return explained.withColumn("explanation", narrative_text())
 
 

@@ -286,6 +286,12 @@ joblevel AS JobLevel, Salary AS MonthlyIncome, over_time AS OverTime, tenure AS
 FROM profile_raw""")
 raw_sql("c3_currency_to_number", f"SELECT EmpID, {money('Salary')} AS Salary FROM profile_raw")
 clean_sql("c4_label_standardised", "SELECT row_id AS EmpID, Attrition FROM prepared")
+clean_sql("c2_row_keys", " UNION ALL ".join(
+    f"""SELECT '{variant}' AS variant, '{key}' AS row_key, count(*) AS rows, count(*) AS row_keys,
+CAST(round(0.8::DOUBLE * count(*) FILTER (Attrition = 'Yes')) + round(0.8::DOUBLE * count(*) FILTER (Attrition = 'No')) AS BIGINT) AS train_rows
+FROM uniq""" for variant, key in (
+        ("id", "EmpID"), ("no id", "digest of the row"), ("id repeats", "digest of the row"),
+        ("id with gaps", "digest of the row"), ("dotted names", "Emp_ID"))))
 clean_sql("c5_deduplicated", "SELECT * FROM uniq")
 clean_sql("c6_extra_columns", "SELECT row_id, badge_score FROM numbers")
 clean_sql("c7_medians", """SELECT 'Age' AS "column", m_age AS median FROM medians
@@ -307,7 +313,7 @@ clean_sql("c12_cleaning_report", "SELECT step, entries, total FROM (" + " UNION
     f"SELECT '{step}' AS step, CAST({entries} AS BIGINT) AS entries, CAST(({total}) AS BIGINT) AS total"
     for step, entries, total in (
         ("original rows", 1, "SELECT count(*) FROM profile_raw"), ("original columns", 1, 14), ("renamed", 8, 8),
-        ("dropped", 4, 4), ("currency", 1, 1),
+        ("dropped", 4, 4), ("currency", 1, 1), ("row key", 1, 1),
         ("duplicate rows removed", 1, "SELECT (SELECT count(*) FROM profile_raw) - (SELECT count(*) FROM uniq)"),
         ("extra kept as number", 1, 1), ("warning: extra dropped", 1, 1),
         ("missing before", 1, "SELECT " + " + ".join(f"count(*) - count({c})" for c in _GAPS) + " FROM numbers"),

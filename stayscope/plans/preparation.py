@@ -60,10 +60,8 @@ class Preparation:
         if self.fit_on == "train":
             labelled = cleaned.withColumn("_y", F.col(self.roles.label))
             kept = stratified_split(labelled, "_y")[0].select("row_id")
-            key = next((old for old, new in params.renames.items() if new == params.row_id), params.row_id)
-            training = raw.join(kept.withColumnRenamed("row_id", key), key, "left_semi")
             params, _ = fit_clean(
-                training, roles=self.roles, rows_per_range=self.rows_per_range, reuse=self.reuse, plan=params
+                raw, roles=self.roles, rows_per_range=self.rows_per_range, reuse=self.reuse, plan=params, only=kept
             )
             cleaned = apply_clean(raw, params)
             basis = cleaned.join(kept, "row_id", "left_semi")

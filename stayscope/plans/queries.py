@@ -239,6 +239,31 @@ def _(raw):
     return profiling.rename_spellings(raw).drop(*params.dropped)
 
 
+@on_raw("c2_row_keys")
+def _(raw):
+    people = materialise(raw, "raw")
+    variants = {
+        "id": people,
+        "no id": people.drop("EmpID"),
+        "id repeats": people.withColumn("EmpID", F.col("EmpID") % 3),
+        "id with gaps": people.withColumn("EmpID", F.when(F.col("EmpID") % 5 != 0, F.col("EmpID"))),
+        "dotted names": people.withColumnsRenamed({"EmpID": "Emp.ID", "badge_score": "badge.score", "dept": "dept.name"}),
+    }
+    found = []
+    for name, table in variants.items():
+        params = cleaning.plan_clean(table)
+        kept = materialise(cleaning.drop_duplicate_rows(cleaning.prepare(table, params)), "unique")
+        train = split.stratified_split(kept.select("row_id", "Attrition"), "Attrition")[0]
+        found.append(kept.agg(
+            F.lit(name).alias("variant"), F.lit(params.row_id or "digest of the row").alias("row_key"),
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("row_id").alias("row_keys"),
+        ).crossJoin(F.broadcast(train.agg(F.count(F.lit(1)).alias("train_rows")))))  # one row each
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @on_raw("c3_currency_to_number")
 def _(raw):
     return raw.select("EmpID", money_to_number(F.col("Salary")).alias("Salary"))

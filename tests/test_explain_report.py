@@ -15,7 +15,12 @@ def explained(spark):
         (1, "job_level", 2.0, 0.5), (1, "Age", 1.0, -0.2), (1, "OverTime", 0.0, 0.0), (1, "Stock", 3.0, 0.00004), (1, "Years", 3.0, 0.2),
         (2, "job_level", 2.0, -0.5), (2, "Age", 1.0, -0.2), (2, "OverTime", 1.0, -0.3), (2, "Stock", 0.0, -0.1), (2, "Years", 1.0, -0.1),
     ]
-    return X.from_long(spark.createDataFrame(rows, "row_id long, feature string, value double, shap double"), overrides={"Stock": "Stock Options"})
+    shown = {name: X.display_name(name, {"Stock": "Stock Options"}) for _, name, _, _ in rows}
+    packed = [
+        (key, [(name, shown[name], value, shap) for owner, name, value, shap in sorted(rows) if owner == key]) for key in (1, 2)
+    ]
+    one = "struct<feature: string, display_name: string, value: double, shap: double>"
+    return spark.createDataFrame(packed, f"row_id long, contributions array<{one}>")
 
 
 def test_row_explanations(explained):
