@@ -13,8 +13,9 @@ by equality joins.
    is a repeat, too; every window across a factor's border has been looked up itself, so
    a factor ends exactly where nothing in the reference continues it. Factors' words are the duplicate spans.
 
-Equal texts are one row with a count. Counts are partial aggregates and joins are left to run-time skew splitting, so
-a passage that most documents share is no hot task. Hashes are 64 bits of the window beside 64 of its seed.
+Equal texts are one row with a count. Counts are partial aggregates. Rows of frequent seeds, those of passages that many
+documents share, are dealt over ``SALTS`` join keys by their text, and what they look up is repeated for each; which seeds are frequent is
+estimated from a sample of runs, which steers the work and does not touch the result. Hashes are 64 bits of the window beside 64 of its seed.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ from stayscope.session import materialise
 
 WINDOW = 35
 SEED_WORDS = 12
+SALTS = 16
+FREQUENT_SAMPLE = 1 << 20
+FREQUENT_SHARE = 1 << 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,6 +109,28 @@ def runs_of(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
     return texts.mapInArrow(run, "text_id bigint, start int, size int, seed bigint, run bigint, places bigint, copies bigint")
 
 
+def frequent_seeds(runs: DataFrame) -> DataFrame:
+    """(seed, frequent) of the seeds with more than 1 / ``FREQUENT_SHARE`` of the runs, estimated; that many at most."""
+    total = max(1, runs.count())
+    part = min(1.0, FREQUENT_SAMPLE / total)
+    counted = runs.select("seed").sample(part, seed=7).groupBy("seed").count()
+    rows = counted.filter(F.col("count") > part * total / FREQUENT_SHARE).select("seed", F.lit(True)).collect()
+    return runs.sparkSession.createDataFrame(rows, "seed bigint, frequent boolean")
+
+
+def dealt(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` with a ``salt`` by text where the seed is frequent, 0 elsewhere."""
+    marked = rows.join(F.broadcast(frequent), "seed", "left")
+    return marked.withColumn("salt", F.when(F.col("frequent"), F.pmod("text_id", F.lit(SALTS))).otherwise(0).cast("int")).drop("frequent")
+
+
+def repeated_per_salt(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` once for each ``salt`` that ``dealt`` can give their seed."""
+    marked = rows.join(F.broadcast(frequent), "seed", "left")
+    salts = F.when(F.col("frequent"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return marked.withColumn("salt", F.explode(salts)).drop("frequent")
+
+
 def windows_of(texts: DataFrame, window: int, seed_words: int) -> DataFrame:
     """(text_id, copies, starts, seeds, hashes) of the windows in the runs that ``texts`` lists in ``runs``."""
 
@@ -160,7 +186,10 @@ def repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.sum("places").alias("places"), F.min("run").alias("a"), F.max("run").alias("b"), F.max("size").alias("most"), F.count("*").alias("n"),
         F.min("copies").alias("copies"),
     ).filter("places > 1").select("seed", F.expr("copies > 1 or (a = b and (n > 1 or most = 1))").alias("alike"))
-    shared = materialise(runs.join(seeds, "seed").select("text_id", "start", "size", "alike"), "shared-runs")
+    frequent = frequent_seeds(runs)
+    drop_unreachable(spark)
+    matched = dealt(runs, frequent).join(repeated_per_salt(seeds, frequent), ["seed", "salt"])
+    shared = materialise(matched.select("text_id", "start", "size", "alike"), "shared-runs")
     drop_unreachable(spark)
     listed = shared.filter("not alike").groupBy("text_id").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
     windows = windows_of(distinct.select("text_id", "copies", "text").join(listed, "text_id"), window, seed_words)
@@ -170,7 +199,7 @@ def repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         "text_id", "copies", F.col("w.starts").alias("start"), F.col("w.seeds").alias("seed"), F.col("w.hashes").alias("hash")
     )
     twice = each.groupBy("seed", "hash").agg(F.sum("copies").alias("places")).filter("places > 1").select("seed", "hash")
-    found = each.join(twice, ["seed", "hash"]).select("text_id", "start", F.lit(1).alias("size"))
+    found = dealt(each, frequent).join(repeated_per_salt(twice, frequent), ["seed", "hash", "salt"]).select("text_id", "start", F.lit(1).alias("size"))
     found = materialise(
         shared.filter("alike").select("text_id", "start", "size").unionByName(found)
         .groupBy("text_id").agg(F.collect_list(F.struct("start", "size")).alias("runs")), "repeated-windows"
