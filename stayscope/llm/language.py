@@ -2,7 +2,8 @@
 
 Training counts all words of all training texts per language. The words that a language has at least
 ``LEAST`` times, the ``KNOWN`` most frequent ones of each, are the known words; character n-grams of one
-to ``ORDER`` characters (with word borders) are counted over all words. A text's score for a language is the sum over its words of
+to ``ORDER`` characters (with word borders) are counted over all words, the ``GRAMS`` most frequent of an order and language are kept.
+Terms of equal frequency are kept or left out together, so a model may be smaller than its bounds. A text's score for a language is the sum over its words of
 the log frequency: a known word counts as a word, an unseen one backs off to its longest
 n-grams that any language has, shorter ones in turn, at a penalty per step that is the same for all languages. ``KNOWN`` and ``GRAMS``
 bound what is broadcast; they are sizes of the model, and every word of every text is scored.
@@ -128,9 +129,12 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageMo
     total, distinct = np.ones((ORDER + 1, len(languages))), np.ones((ORDER + 1, len(languages)))
     for r in totals:
         total[r.kind, number[r.lang]], distinct[r.kind, number[r.lang]] = r.total, r.distinct
-    place = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))
-    top = counts.filter((F.col("kind") > 0) | (F.col("n") >= LEAST)).withColumn("place", place)
-    chosen = top.filter((F.col("place") <= max(KNOWN, GRAMS)) & (F.col("place") <= F.when(F.col("kind") == 0, KNOWN).otherwise(GRAMS)))
+    # Terms are counted by frequency first, so that no language's terms are gathered and ordered in one task.
+    usable = counts.filter((F.col("kind") > 0) | (F.col("n") >= LEAST))
+    above = F.sum("terms").over(Window.partitionBy("lang", "kind").orderBy(F.desc("n")))
+    steps = usable.groupBy("lang", "kind", "n").agg(F.count("*").alias("terms")).withColumn("above", above)
+    least = steps.filter(F.col("above") <= F.when(F.col("kind") == 0, KNOWN).otherwise(GRAMS)).groupBy("lang", "kind").agg(F.min("n").alias("least"))
+    chosen = usable.join(F.broadcast(least), ["lang", "kind"]).filter("n >= least")  # a row per language and kind
     terms = chosen.select("kind", "term").distinct()  # bounded by the model's sizes
     by_language = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
     rows = counts.join(F.broadcast(terms), ["kind", "term"]).groupBy("kind", "term").agg(*by_language).orderBy("kind", "term")
