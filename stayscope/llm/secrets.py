@@ -1,8 +1,9 @@
 """Secret scans with DataFrame functions only.
 
 Base spans follow three patterns (assignments of passwords and keys, access keys, long hexadecimal runs). A
-randomness battery adds spans of kind ``random``: runs of ``LEAST`` or more token characters with a digit. From
-its characters a run's encoding is inferred, and three statistics are tested against uniform draws
+randomness battery adds spans of kind ``random``: runs of ``LEAST`` or more token characters with a digit and a letter. An
+equals sign ends a run, unless it is padding. From its characters a run's encoding is inferred; a run that fits no alphabet
+is replaced by its longest parts in each alphabet (``fitted``). Three statistics are tested against uniform draws
 from that alphabet: chi-squared over the symbols, runs above and below the middle of the
 alphabet, and lag-one serial correlation. A run that fails one of them (level ``REJECT``) is ordinary.
 
@@ -31,8 +32,21 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 
 LEAST = 16
-_TOKEN = "[A-Za-z0-9+/_=-]"
-RANDOM = rf"(?<!{_TOKEN})(?={_TOKEN}*[0-9])(?={_TOKEN}*[A-Za-z]){_TOKEN}{{{LEAST},}}"
+
+
+def _runs(characters: str) -> str:
+    """Pattern of the longest runs of these characters, with a digit and a letter, and the padding that ends the token.
+
+    With the padding a run has ``LEAST`` characters or more; equals signs between two runs belong to neither.
+    """
+    one, any_ = f"[{characters}]", f"[={characters}]"
+    return (
+        rf"(?<!{one})(?={one}*[0-9])(?={one}*[A-Za-z])"
+        rf"(?:{one}{{{LEAST},}}(?:=+(?!{any_}))?|(?={any_}{{{LEAST}}}){one}+=+(?!{any_}))"
+    )
+
+
+RANDOM = _runs("A-Za-z0-9+/_-")
 KINDS = ("assign", "access", "hex", "random")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # encoding: pattern, alphabet, collisions of ordinary tokens over those of uniform draws
@@ -60,21 +74,50 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.when(F.size(hits) > 0, F.transform(zipped, lambda z: F.struct(z["gap"].alias("gap"), z["hit"].alias("hit"))))
 
 
+def _placed(parts: DataFrame, *keys: str) -> DataFrame:
+    """The ``keys`` columns, start, end and hit of ``parts`` (``keys``, place, piece), whose texts the keys tell apart."""
+    before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("piece.gap") + F.length("piece.hit")).over(before)
+    return parts.withColumn("end", end.cast("bigint")).select(
+        *keys, (F.col("end") - F.length("piece.hit")).cast("bigint").alias("start"), "end", F.col("piece.hit").alias("hit")
+    )
+
+
 def matches(rows: DataFrame) -> DataFrame:
     """(row, kind, start, end, hit) of all matches in ``rows`` (row, pieces_<kind>...), kind as a number."""
     parts = None
     for number, kind in enumerate(KINDS):
         part = rows.select("row", F.lit(number).alias("kind"), F.posexplode(f"pieces_{kind}").alias("place", "piece"))
         parts = part if parts is None else parts.unionByName(part)
-    before = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.col("piece.gap") + F.length("piece.hit")).over(before)
-    found = parts.withColumn("end", end.cast("bigint")).select(
-        "row", "kind", (F.col("end") - F.length("piece.hit")).cast("bigint").alias("start"), "end", F.col("piece.hit").alias("hit")
-    )
+    found = _placed(parts, "row", "kind")
     value = F.length(F.regexp_extract("hit", ASSIGN, 2))
     return found.filter((F.col("kind") != 0) | (value >= ASSIGN_LEAST))
 
 
+def _encoding(token: Column) -> Column:
+    """The first encoding whose alphabet has all characters of ``token`` before its padding; null if none has."""
+    found = F.lit(None).cast("string")
+    for name, (pattern, _, _) in reversed(ENCODINGS.items()):
+        found = F.when(F.regexp_replace(token, "=+$", "").rlike(pattern), F.lit(name)).otherwise(found)
+    return found
+
+
+def fitted(found: DataFrame) -> DataFrame:
+    """``found`` (row, kind, start, end, hit) with each hit that fits no alphabet replaced by its longest runs in each alphabet.
+
+    A part that is the longest run of several alphabets comes once.
+    """
+    known = found.withColumn("fits", _encoding(F.col("hit")).isNotNull())
+    mixed, parts = known.filter(~F.col("fits")), None
+    for number, (pattern, _, _) in enumerate(ENCODINGS.values()):
+        pieces = _pieces(F.col("hit"), _runs(pattern[2:-3]))
+        part = mixed.select("row", "kind", F.col("start").alias("from"), F.lit(number).alias("alphabet"), F.posexplode(pieces).alias("place", "piece"))
+        parts = part if parts is None else parts.unionByName(part)
+    inner = _placed(parts, "row", "kind", "from", "alphabet")
+    inner = inner.select("row", "kind", (F.col("from") + F.col("start")).alias("start"), (F.col("from") + F.col("end")).alias("end"), "hit")
+    return known.filter("fits").drop("fits").unionByName(inner.dropDuplicates(["row", "kind", "start", "end"]))
+
+
 def _normal(z: Column) -> Column:
     """The normal distribution function, to about 1e-4."""
     bounded = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
@@ -91,14 +134,11 @@ def battery(tokens: DataFrame, token: str = "hit") -> DataFrame:
     The encoding is null, and so are all p-values, for a token that fits no alphabet.
     """
     body = F.regexp_replace(F.col(token), "=+$", "")
-    encoding = F.lit(None).cast("string")
-    for name, (pattern, _, _) in reversed(ENCODINGS.items()):
-        encoding = F.when(F.col("body").rlike(pattern), F.lit(name)).otherwise(encoding)
 
     def fixed(pick):
         return F.create_map(*chain.from_iterable((F.lit(n), F.lit(pick(v))) for n, v in ENCODINGS.items()))[F.col("encoding")]
 
-    rows = tokens.withColumn("body", body).withColumn("encoding", encoding)
+    rows = tokens.withColumn("body", body).withColumn("encoding", _encoding(F.col(token)))
     rows = rows.withColumns({
         "alphabet": fixed(lambda v: v[1]), "halves": fixed(lambda v: "a" * (len(v[1]) // 2) + "b" * (len(v[1]) - len(v[1]) // 2)),
         "k": fixed(lambda v: float(len(v[1]))), "uneven": fixed(lambda v: v[2]), "n": F.length("body").cast("double"),
@@ -172,7 +212,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     ), "secret-scan")
     found = materialise(matches(rows), "secret-matches")
     base = found.filter(F.col("kind") < 3)
-    tested = battery(found.filter(F.col("kind") == 3)).filter("encoding is not null")
+    tested = battery(fitted(found.filter(F.col("kind") == 3)))
     even = (F.col("p_even") >= REJECT) & (F.col("p_runs") >= REJECT) & (F.col("p_serial") >= REJECT)
     # a run that fails counts among the tested with p = 1
     tested = tested.withColumn("p_ordinary", F.when(even, F.col("p_ordinary")).otherwise(1.0))
@@ -181,7 +221,10 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     limit = F.lit(0.0)
     for band, value in limits.items():
         limit = F.when(F.col("band") == band, value).otherwise(limit)
-    passed = tested.filter(F.col("p_ordinary") <= limit).select("row", "kind", "start", "end")
+    # parts of one run in different alphabets may hold each other: the outer one is reported
+    wider = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    passed = tested.filter(F.col("p_ordinary") <= limit).select("row", "kind", "start", "end", F.max("end").over(wider).alias("reach"))
+    passed = passed.filter(F.col("end") > F.coalesce("reach", F.lit(0))).drop("reach")
     # a run that meets a base span is reported already
     both = base.select("row", "kind", "start", "end").unionByName(passed)
     ordered = Window.partitionBy("row").orderBy("start", "end", "kind")

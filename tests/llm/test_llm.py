@@ -204,6 +204,31 @@ def test_randomness_battery_separates_keys_from_names(spark):
     assert sum(found[i] for i in range(60)) >= 50 and sum(found[i] for i in range(60, 120)) == 0
 
 
+def test_keys_glued_to_other_characters_are_tested(spark):
+    draw = random.Random(4)
+    keys = ["".join(draw.choices(string.ascii_letters + string.digits, k=48)) for _ in range(40)]
+    forms = ["ACCESS_VALUE={}", "sig={}&x=1", "/v1/keys-x/{}", "a=b={}==", "see {}=="]
+    lines = [(i, "é " + forms[i % 5].format(w) + " end") for i, w in enumerate(keys)]
+    frame = spark.createDataFrame(lines, "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in secrets.span_table(frame).collect()}
+    covered = collections.Counter()
+    for i, text in lines:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in found[i].split(",") if s]
+        at = text.index(keys[i])
+        covered[i % 5] += any(a <= at and b >= at + 48 for a, b in spans)
+        if i % 5 in (0, 1):
+            assert all((a, b) == (at, at + 48) for a, b in spans)
+        if i % 5 in (3, 4):
+            assert all((a, b) == (at, at + 50) for a, b in spans)
+    assert all(covered[form] >= 6 for form in range(5)), covered
+    left = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert sum(keys[i] in left[i] for i, _ in lines) == 40 - sum(covered.values())
+
+
+def test_parts_of_mixed_runs():
+    assert re.findall(secrets.RANDOM, "k=abcdefgh12345678 abcdefgh123456== 0123456789012345 x1=abcdefgh1234567=y") == ["abcdefgh12345678", "abcdefgh123456=="]
+
+
 def test_redaction_replaces_spans(spark, odd, none):
     frame = spark.createDataFrame([(1, "é password=abcdefgh0123456789abcdef01234567 end", 46), (2, None, None), (3, "clean", 5)], "doc_id bigint, text string, n_chars bigint")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(frame, length_column="n_chars").collect()}
