@@ -330,6 +330,33 @@ def test_block_learning_is_a_probability():
     assert sum(2 ** x for x in logs) < 1
 
 
+def small_mixer():
+    coder = mixing.Coder.fit([b"a", b"b", mixing.END, mixing.ESCAPE], [200, 20, 5, 1], np.ones(256, int))
+    return mixing.Mixer.of(coder, np.zeros(mixing.SLOTS, np.float32), np.zeros(mixing.SLOTS, np.float32))
+
+
+def test_short_texts_learn_online():
+    mixer = small_mixer()
+    texts = [b"b " * 150, b"a b " * 3, b"b " * 300, b"", b"b " * 1500]
+    together, alone = mixer.log2(texts)[0], [float(mixer.log2([t])[0][0]) for t in texts]
+    assert list(together) == pytest.approx(alone, rel=1e-9)  # a text learns from itself only
+    assert alone[2] > 1.92 * alone[0] and alone[4] > 8.5 * alone[0]
+
+
+def test_start_state_is_fitted_on_all_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 2_000)
+    draw = random.Random(6)
+    rows = [(" ".join(draw.choices("ab", (1, 4), k=50)),) for _ in range(1_600)] + [(" ".join(draw.choices("ab", (4, 1), k=50)),) for _ in range(1_600)]
+    mixer = small_mixer()
+    none = np.zeros(mixing.SLOTS, np.float32)
+    frame = spark.createDataFrame(rows, "text string")
+    copies = frame.unionByName(spark.createDataFrame(rows[:1] * 1_000, "text string"))
+    fitted = [mixing.fit_state(f, mixer, none, none, 163_200) for f in (frame, copies.repartition(5), frame.limit(1_500), frame.limit(0))]
+    assert np.allclose(fitted[0].refine, fitted[1].refine) and np.allclose(fitted[0].weights, fitted[1].weights)
+    assert not np.allclose(fitted[0].refine, fitted[2].refine, atol=1e-3)
+    assert np.array_equal(fitted[3].refine, mixing.State.start().refine)
+
+
 def brute_repeats(texts, window):
     place = collections.defaultdict(set)
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in texts]
