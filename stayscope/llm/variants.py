@@ -1,7 +1,7 @@
 """Spelling variants: words one edit apart, found by dynamic programming over a sorted vocabulary.
 
 A word's edit matrix against a sorted list is filled row by row, one row per letter of the listed word, in a band of three
-cells. The next listed word keeps the rows of the prefix it shares with the one before, and as soon as a row holds
+cells (each counted up to 2, so a row is one of 27). The next listed word keeps the rows of the prefix it shares with the one before, and as soon as a row holds
 no cell of at most one edit, all words that share this prefix are skipped.
 
 The list is cut into blocks of neighbouring words. Of two words one edit apart, the shorter having m letters, either the
@@ -31,8 +31,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 COUNTED = 200_000
 #: Words of a block, and the number of blocks of a list beyond which blocks grow instead.
 BLOCK, BLOCKS = 2048, 1 << 15
-#: Searched words that meet a block in one task.
-CHUNK = 8192
+#: Searched words that meet a block in one group, and blocks that a task takes.
+CHUNK, BLOCKS_A_TASK = 8192, 8
 #: Letters of a block's first word that are kept to find the blocks of a range.
 EDGE = 64
 LAST = chr(0x10FFFF)
@@ -78,17 +78,29 @@ def shared_prefix(a: str, b: str) -> int:
     return n
 
 
+def _step(row: int, equal: int) -> int:
+    """The next row of the matrix. A row is a base-3 number of its three cells, each at most 2; ``equal`` has a bit per cell
+    that says whether the listed word's letter equals the query's letter above that cell."""
+    a, b, c = row // 9, row // 3 % 3, row % 3
+    a = min(a + (not equal & 1), b + 1, 2)
+    b = min(b + (not equal & 2), c + 1, a + 1, 2)
+    c = min(c + (not equal & 4), b + 1, 2)
+    return 9 * a + 3 * b + c
+
+
+STEPS = [_step(row, equal) for row in range(27) for equal in range(8)]
+#: Equal prefixes: one edit to the prefix one shorter, none, one; and a row without a cell of at most one edit.
+EQUAL, OVER = 9 * 1 + 3 * 0 + 1, 26
+
+
 def within_one(prefix: str, word: str) -> bool:
     """Whether a word that begins with ``prefix`` can be within one edit of ``word``."""
-    padded = word + "\0\0\0"
-    a, b, c = 1, 0, 1
+    padded, row = "\0" + word + "\0\0\0", EQUAL
     for d, letter in enumerate(prefix):
         if d > len(word):
             return False
-        a = min(a + (d == 0 or padded[d - 1] != letter), b + 1)
-        b = min(b + (padded[d] != letter), c + 1, a + 1)
-        c = min(c + (padded[d + 1] != letter), b + 1)
-        if a > 1 and b > 1 and c > 1:
+        row = STEPS[8 * row + (padded[d] == letter) + 2 * (padded[d + 1] == letter) + 4 * (padded[d + 2] == letter)]
+        if row == OVER:
             return False
     return True
 
@@ -96,34 +108,29 @@ def within_one(prefix: str, word: str) -> bool:
 def near_in_list(words: list[str], lcps: list[int], query: str, start: int) -> list[int]:
     """Positions of the words one edit from ``query`` among those that share its first ``start`` letters.
 
-    ``words`` is sorted, ``lcps`` holds the shared prefix of each word with the one before. A row for d letters of a
-    listed word holds the distances to the first d-1, d and d+1 letters of the query; cells beyond the query's end
-    never reach those before it.
+    ``words`` is sorted and holds words of about the query's length (one letter more or less at most); ``lcps`` holds the
+    shared prefix of each with the one before. A row for d letters of a listed word holds the distances to
+    the first d-1, d and d+1 letters of the query; cells beyond the query's end never reach those before it.
     """
     prefix = query[:start]
     at, end = bisect_left(words, prefix), bisect_right(words, prefix + LAST)
-    length, padded = len(query), query + "\0\0\0\0"
-    rows = [(1, 0, 1)] * (length + 3)
+    length, padded = len(query), "\0" + query + "\0\0\0"
+    rows = [EQUAL] * (length + 2)
     found, kept = [], start
     while at < end:
         word = words[at]
-        size = len(word)
-        a, b, c = rows[kept]
-        d, dead = kept, False
+        size, row, d = len(word), rows[kept], kept
         while d < size:
             letter = word[d]
-            a = min(a + (padded[d - 1] != letter), b + 1)
-            b = min(b + (padded[d] != letter), c + 1, a + 1)
-            c = min(c + (padded[d + 1] != letter), b + 1)
+            row = STEPS[8 * row + (padded[d] == letter) + 2 * (padded[d + 1] == letter) + 4 * (padded[d + 2] == letter)]
             d += 1
-            if (a > 1 and b > 1 and c > 1) or d > length + 1:
-                dead = True
+            if row == OVER:
                 break
-            rows[d] = (a, b, c)
-        if not dead and -1 <= length - size <= 1 and (a, b, c)[length - size + 1] == 1:
+            rows[d] = row
+        if row != OVER and row // (3, 9, 1)[size - length] % 3 == 1:
             found.append(at)
         at += 1
-        if dead:
+        if row == OVER:
             while at < end and lcps[at] >= d:
                 at += 1
         if at < end:
@@ -142,12 +149,17 @@ def search_block(words: list[str], counts: list[int], queries: list[str], revers
     A pair belongs to the list of words if its first m // 2 letters are equal, m being the shorter length, and to the list of
     reversed words otherwise, so none counts twice.
     """
-    lcps = [0, *(shared_prefix(a, b) for a, b in zip(words, words[1:]))]
+    lists: dict[int, tuple[list[int], list[str], list[int]]] = {}
     for query in sorted(queries):
         length = len(query)
+        if length not in lists:
+            places = [at for at, word in enumerate(words) if -1 <= len(word) - length <= 1]
+            fit = [words[at] for at in places]
+            lists[length] = places, fit, [0, *(shared_prefix(a, b) for a, b in zip(fit, fit[1:]))]
+        places, fit, lcps = lists[length]
         near, best = 0, (0, "")
-        for at in near_in_list(words, lcps, query, _halves(length)[reverse]):
-            other = words[at]
+        for found in near_in_list(fit, lcps, query, _halves(length)[reverse]):
+            other, n = fit[found], counts[places[found]]
             half = min(length, len(other)) // 2
             if reverse:
                 if query[length - half:] == other[len(other) - half:]:
@@ -156,8 +168,8 @@ def search_block(words: list[str], counts: list[int], queries: list[str], revers
             elif query[:half] != other[:half]:
                 continue
             near += 1
-            if (-counts[at], other) < (-best[0], best[1]):
-                best = (counts[at], other)
+            if (-n, other) < (-best[0], best[1]):
+                best = (n, other)
         if near:
             yield query[::-1] if reverse else query, near, *best
 
@@ -200,6 +212,8 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     visits = F.broadcast(routed.groupBy("side", "block").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("copies")))
     asked = routed.join(visits, ["side", "block"]).withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies"))).drop("copies")
     copied = listed.join(visits, ["side", "block"]).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).drop("copies")
+    # Little data, much work: a count of partitions keeps the tasks from being merged by their bytes.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(map(len, edges)) // BLOCKS_A_TASK)
 
     def search(block: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[str, int, int, str]] = []
@@ -210,6 +224,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["word", "near", "n", "best"])
 
     keys = ("side", "block", "copy")
+    copied, asked = copied.repartition(tasks, *keys), asked.repartition(tasks, *keys)
     found = copied.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "word string, near long, n long, best string")
     best = F.min(F.struct((-F.col("n")).alias("less"), F.col("best").alias("best")))
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("_best")).select(
