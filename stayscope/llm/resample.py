@@ -24,6 +24,8 @@ from stayscope.llm.common import slices, utf8
 from stayscope.llm.ordering import running
 from stayscope.session import materialise
 
+#: Bytes that a step of a task works on at once.
+SLICE = 1 << 20
 #: A line that holds more than one in HOT of all line occurrences is looked up from a broadcast table: HOT lines at most.
 HOT = 4096
 #: Capital letters become small ones, what cannot be part of a word becomes a blank; newlines stay.
@@ -82,7 +84,7 @@ def _mapped(df: DataFrame, schema: StructType, make: Callable[[pa.RecordBatch, i
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, SLICE):
             columns = [c if kind is None else pa.array(c, kind) for c, kind in zip(make(batch, row), types)]
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays(columns, names=[field.name for field in schema.fields])
@@ -142,7 +144,7 @@ def bucket_counts(packed: DataFrame, buckets: int) -> DataFrame:
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(buckets, np.int64)
-        for batch in slices(batches, "packed"):
+        for batch in slices(batches, "packed", SLICE):
             found, lengths = _unpack(batch.column("packed"), buckets)
             times = np.repeat(batch.column("times").to_numpy(zero_copy_only=False), lengths)
             counts += np.bincount(found, times, buckets).astype(np.int64)
@@ -176,7 +178,7 @@ def _summed(df: DataFrame, packed: str, schema: StructType, table, buckets: int)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = table.value
-        for batch in slices(batches, packed):
+        for batch in slices(batches, packed, SLICE):
             found, lengths = _unpack(batch.column(packed), buckets)
             ends = np.cumsum(lengths)
             so_far = np.concatenate([[0], np.cumsum(gain[found])])
@@ -202,10 +204,11 @@ def weigh(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     shared = spark.sparkContext.broadcast(gain)
 
     line_schema = StructType([StructField("digest", BinaryType()), StructField("times", LongType()), StructField("gain", LongType())])
-    valued = materialise(_summed(lines, "packed", line_schema, shared, buckets), "line-gains")
-    often = (valued.agg(F.sum("times")).first()[0] or 0) // HOT
-    hot = valued.filter(F.col("times") > often).select(F.col("digest").alias("_hot"), F.col("gain").alias("_gain"))
-    rare = valued.filter(F.col("times") <= often).select("digest", "gain")
+    often = (lines.agg(F.sum("times")).first()[0] or 0) // HOT
+    hot = _summed(lines.filter(F.col("times") > often).select("digest", "times", "packed"), "packed", line_schema, shared, buckets)
+    hot = hot.select(F.col("digest").alias("_hot"), F.col("gain").alias("_gain"))
+    rare = _summed(lines.filter(F.col("times") <= often).select("digest", "times", "packed"), "packed", line_schema, shared, buckets)
+    rare = rare.select("digest", "gain")
 
     row_schema = StructType([*outlined.schema.fields[:4], StructField("_across_gain", LongType())])
     rows = _summed(outlined, "_across", row_schema, shared, buckets)
