@@ -7,6 +7,7 @@ supplies what came before. Cut points only steer the work: results are exact for
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -180,29 +181,96 @@ def _selected_quantiles(counted: DataFrame, by: list[str], probs: list[float], c
 
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows_per_range: int = SINGLE_RANGE_ROWS,
-    distinct: dict[str, int] | None = None,
+    accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float] | None]:
-    """Exact table-wide quantiles of several numeric columns; None for a column without values.
+    """Exact table-wide quantiles of several numeric columns; None for a column without values. NaN counts as missing.
 
-    Columns with few distinct values, at most ``rows_per_range`` together, share one aggregation.
-    The others are selected by range.
-    ``distinct`` passes approximate distinct counts known from an earlier pass.
+    Two reads whatever the number of columns. The first merges rank sketches of fixed size, a reducer per column, and
+    brackets each wanted position between two values. The second counts, for all columns together, the rows below, between
+    and above the brackets, and the values inside them. A bracket holds about 6 / ``accuracy`` of a column's
+    rows, one row per distinct value; only there positions are looked up, range by range.
     """
     if not columns:
         return {}
-    seen = distinct or df.agg(*[about_distinct(F.col(c)).alias(c) for c in columns]).first().asDict()
-    narrow, room = [], rows_per_range
-    for c in sorted(columns, key=lambda c: seen[c]):
-        if seen[c] <= room:
-            narrow.append(c)
-            room -= seen[c]
-    marks = F.array(*[F.lit(float(p)) for p in probs])
-    found: dict[str, list[float] | None] = {}
-    if narrow:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), marks).alias(c) for c in narrow]).first()
-        found.update({c: row[c] for c in narrow})
-    for c in columns:
-        if c not in narrow:
-            row = exact_quantiles(df, c, probs, rows_per_range=rows_per_range).first()
-            found[c] = row["quantiles"] if row else None
+    probs = [float(p) for p in probs]
+    values = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns]
+    sizes, spans = _brackets(df, values, probs, accuracy)
+    found: dict[str, list[float] | None] = {c: None for i, c in enumerate(columns) if i not in sizes}
+    left = set(sizes)
+    while left:
+        ranks = {
+            i: sorted({r for p in probs for r in (math.floor(p * (sizes[i] - 1)), math.ceil(p * (sizes[i] - 1)))}) for i in left
+        }
+        at = _values_at(df, {i: values[i] for i in left}, {i: spans[i] for i in left}, ranks, rows_per_range)
+        for i in sorted(left):
+            if any((i, rank) not in at for rank in ranks[i]):
+                spans[i] = [(-math.inf, math.inf)]  # outside a sketch's promise: look at all values
+                continue
+            left.discard(i)
+            found[columns[i]] = [_between(at, i, p * (sizes[i] - 1)) for p in probs]
     return found
+
+
+def _between(at: dict[tuple[int, int], float], i: int, position: float) -> float:
+    low, high = math.floor(position), math.ceil(position)
+    if at[i, low] == at[i, high]:
+        return at[i, low]
+    return (high - position) * at[i, low] + (position - low) * at[i, high]
+
+
+def _unpivoted(df: DataFrame, fields: dict[int, list[Column]]) -> DataFrame:
+    """A row per row and column, with the column's number and its fields."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), *made) for i, made in fields.items()])).alias("at")).select("at.*")
+
+
+def _brackets(
+    df: DataFrame, values: list[Column], probs: list[float], accuracy: int
+) -> tuple[dict[int, int], dict[int, list[tuple[float, float]]]]:
+    """Rows with a value, and disjoint ascending (low, high) around the wanted positions, per column that has values."""
+    slack = 3.0 / accuracy
+    marks = [m for p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
+    long = _unpivoted(df, {i: [v.alias("value")] for i, v in enumerate(values)}).where("value is not null")
+    rows = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("value", marks, accuracy).alias("at")).collect()
+    spans: dict[int, list[tuple[float, float]]] = {}
+    for row in rows:
+        kept: list[tuple[float, float]] = []
+        for j, p in enumerate(sorted(probs)):
+            at = 2 * sorted(range(len(probs)), key=probs.__getitem__)[j]
+            low = -math.inf if p <= slack or row["n"] <= accuracy else row["at"][at]
+            high = math.inf if p >= 1 - slack or row["n"] <= accuracy else row["at"][at + 1]
+            if kept and low <= kept[-1][1]:
+                kept[-1] = (kept[-1][0], max(high, kept[-1][1]))
+            else:
+                kept.append((low, high))
+        spans[row["column"]] = kept
+    return {row["column"]: row["n"] for row in rows}, spans
+
+
+def _values_at(
+    df: DataFrame, values: dict[int, Column], spans: dict[int, list[tuple[float, float]]], ranks: dict[int, list[int]],
+    rows_per_range: int,
+) -> dict[tuple[int, int], float]:
+    """The value at each wanted rank (from 0) that lies inside a bracket of its column."""
+    fields = {}
+    for i, v in values.items():
+        # Even outside the brackets, odd inside: 0 below the first, 1 in it, 2 after it, and so on.
+        region = sum(((v >= low).cast("int") + (v > high).cast("int") for low, high in spans[i]), F.lit(0))
+        fields[i] = [v.isNotNull().alias("there"), region.alias("region"), F.when(region % 2 == 1, v).alias("value")]
+    counted = materialise(
+        _unpivoted(df, fields).where("there").groupBy("column", "region", "value").agg(F.count(F.lit(1)).alias("n")), "brackets"
+    )
+    totals = counted.groupBy("column", "region").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).orderBy("column", "region").collect()
+    wanted, ends = [], dict.fromkeys(values, 0)
+    for row in totals:
+        i, start = row["column"], ends[row["column"]]
+        ends[i] += row["n"]
+        if row["region"] % 2:
+            wanted += [(i, row["region"], rank, rank - start) for rank in ranks[i] if start <= rank < ends[i]]
+    inside = counted.where("region % 2 = 1")
+    many = sum(row["distinct"] for row in totals if row["region"] % 2)
+    cuts = range_cuts(inside, "value", rows_per_range, many) if many > rows_per_range else []
+    placed = running_totals(inside, "value", {"before": "n"}, ["column", "region"], cuts)
+    asked = df.sparkSession.createDataFrame(wanted, "column int, region int, rank bigint, place bigint")
+    near = placed.join(F.broadcast(asked), ["column", "region"])  # two rows a column and probability at most
+    hits = near.where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
+    return {(row["column"], row["rank"]): row["value"] for row in hits.collect()}

@@ -281,16 +281,14 @@ def fit_clean(
     params.missing = {
         c: f["rows"] - f["usable"] for c, f in facts.items() if c in numbers.columns and f["usable"] < f["rows"]
     }
-    # One more for the imputed value.
-    distinct = {c: f["distinct"] + 1 for c, f in facts.items()}
     # for every column: rows to come may have gaps where the fitted ones have none
     measured = [c for c in numbers.columns if c in roles.numeric or c in roles.ordinal or c in params.extras_kept]
-    found = column_quantiles(numbers, measured, [0.5], rows_per_range, distinct)
+    found = column_quantiles(numbers, measured, [0.5], rows_per_range)
     params.medians = {c: (q[0] if q else None) for c, q in found.items()}
     params.modes = modes(numbers, [c for c in numbers.columns if c in roles.categorical])
     filled = impute(numbers, params)
     clip_columns = [c for c in filled.columns if c in roles.numeric]
-    bounds = column_quantiles(filled, clip_columns, CLIP_PROBS, rows_per_range, distinct)
+    bounds = column_quantiles(filled, clip_columns, CLIP_PROBS, rows_per_range)
     params.clips = {c: (q[0], q[1]) for c, q in bounds.items() if q}
     return params, winsorise(filled, params.clips)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stayscope.functions.hashing import digest, pick, uniform
-from stayscope.operators.neighbours import BLOCK_ROWS, nearest
+from stayscope.operators.forest import nearest_by_forest
+from stayscope.operators.neighbours import nearest
 from stayscope.operators.split import class_counts, hash_cuts
 from stayscope.session import materialise
 
@@ -14,7 +15,7 @@ COPIES_PER_TASK_ROW = 10_000
 
 def synthetic_rows(
     df: DataFrame, features: list[str], minority: float, missing: int, label: str = "label",
-    key: str = "row_id", k: int = 5, seed: object = 42, block_rows: int = BLOCK_ROWS,
+    key: str = "row_id", k: int = 5, seed: object = 42, block_rows: int | None = None,
     copies_per_row: int = COPIES_PER_TASK_ROW,
 ) -> DataFrame:
     """Exactly ``missing`` new minority rows, each between a minority row and one of its k nearest.
@@ -22,6 +23,9 @@ def synthetic_rows(
     Every minority row is a parent equally often; the remainder goes to the rows with the least
     digests. Rows with equal features share one neighbour search. A point with very many copies
     to make is cut into portions first, so it does not fall to one task.
+
+    Neighbours come from a forest, whose work grows in proportion to the rows in any number of dimensions. With
+    ``block_rows`` they come from the exact search in blocks of so many rows, which suits few dimensions.
     """
     rows = df.where(F.col(label) == F.lit(minority))
     n = rows.count()
@@ -38,7 +42,9 @@ def synthetic_rows(
         "points",
     )
     parents = points.where("copies > 0").select(key, "copies")
-    found = nearest(points.select(key, "vec", "weight"), key, k, block_rows).join(parents, key)
+    vectors = points.select(key, "vec", "weight")
+    near = nearest(vectors, key, k, block_rows) if block_rows else nearest_by_forest(vectors, key, k)
+    found = near.join(parents, key)
     most = points.agg(F.max("copies")).first()[0]
     if most > copies_per_row:
         portions = F.ceil(F.col("copies") / F.lit(copies_per_row)).cast("bigint")
@@ -68,7 +74,7 @@ def synthetic_rows(
 
 def smote(
     df: DataFrame, features: list[str], label: str = "label", key: str = "row_id",
-    k: int = 5, seed: object = 42, block_rows: int = BLOCK_ROWS,
+    k: int = 5, seed: object = 42, block_rows: int | None = None,
 ) -> DataFrame:
     """The table with both classes equally large. New rows have a null key and ``synthetic`` set."""
     counts = class_counts(df, label)

@@ -547,42 +547,66 @@ profile_sql("m12_folds", f"""SELECT row_id, label, CAST((place > round(0.2::DOUB
 SELECT EmployeeID AS row_id, CAST(Attrition = 'Yes' AS INT)::DOUBLE AS label,
 row_number() OVER (PARTITION BY Attrition ORDER BY {h(42, 'EmployeeID')}) AS place, count(*) OVER (PARTITION BY Attrition) AS n FROM profile)""")
 
-_F = ", ".join(NEIGHBOUR_FEATURES)
-_FD = ", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate(NEIGHBOUR_FEATURES))
-_FS = ", ".join(f"f{i}" for i in range(len(NEIGHBOUR_FEATURES)))
-_D2 = " + ".join(f"(p.f{i} - q.f{i}) * (p.f{i} - q.f{i})" for i in range(len(NEIGHBOUR_FEATURES)))
+EMPLOYEE_TEXTS = ["BusinessTravel", "Department", "EducationField", "Gender", "JobRole", "MaritalStatus", "OverTime"]
+EMPLOYEE_FEATURES = [c for c in gen.COLUMNS if c not in ("EmployeeID", "Attrition")]
+
 
+def _squares(n: int) -> str:
+    return " + ".join(f"(p.f{i} - q.f{i}) * (p.f{i} - q.f{i})" for i in range(n))
 
-def _neighbours(k: int = 5) -> str:
+
+def _neighbours(n: int, k: int = 5) -> str:
     """CTEs ``cand`` and ``near`` over a CTE ``points`` (row_id, weight, f0..)."""
-    other = ", ".join(f"q.f{i} AS g{i}" for i in range(len(NEIGHBOUR_FEATURES)))
-    own = ", ".join(f"p.f{i} AS g{i}" for i in range(len(NEIGHBOUR_FEATURES)))
+    other = ", ".join(f"q.f{i} AS g{i}" for i in range(n))
+    own = ", ".join(f"p.f{i} AS g{i}" for i in range(n))
     return f"""cand AS (
 SELECT p.row_id, 0 AS stage, 0.0::DOUBLE AS d2, p.row_id AS other, c.copy, {own}
 FROM points p, range(0, {k}) c(copy) WHERE c.copy < least(p.weight - 1, {k})
 UNION ALL
-SELECT p.row_id, 1, {_D2}, q.row_id, c.copy, {other}
+SELECT p.row_id, 1, {_squares(n)}, q.row_id, c.copy, {other}
 FROM points p JOIN points q ON p.row_id <> q.row_id, range(0, {k}) c(copy) WHERE c.copy < least(q.weight, {k})),
 near AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY stage, d2, other, copy) - 1 AS place FROM cand
 QUALIFY place < {k})"""
 
 
-_SMOTE = f""", minority AS (SELECT EmployeeID AS row_id, {_FD} FROM profile WHERE Attrition = 'Yes'),
-sizes AS (SELECT count(*) FILTER (Attrition = 'Yes') AS m, count(*) FILTER (Attrition = 'No') - count(*) FILTER (Attrition = 'Yes') AS missing FROM profile),
+def _smote(source: str, names: list[str], places: int | None) -> str:
+    """Oversampled rows of a CTE with row_id, Attrition and f0.., the features under their names."""
+    n = len(names)
+    fs = ", ".join(f"f{i}" for i in range(n))
+    mixed = [f'd.f{i} + {u("draw", 0)} * (n.g{i} - d.f{i})' for i in range(n)]
+    made = ", ".join(f"{r(x) if places else x} AS {c}" for x, c in zip(mixed, names))
+    return f"""minority AS (SELECT row_id, {fs} FROM {source} WHERE Attrition = 'Yes'),
+sizes AS (SELECT count(*) FILTER (Attrition = 'Yes') AS m, count(*) FILTER (Attrition = 'No') - count(*) FILTER (Attrition = 'Yes') AS missing FROM {source}),
 allotted AS (SELECT a.*, missing // m + CAST(row_number() OVER (ORDER BY {h(42, 'row_id')}) <= missing % m AS INT) AS copies FROM minority a CROSS JOIN sizes),
-points AS (SELECT min(row_id) AS row_id, count(*) AS weight, CAST(sum(copies) AS BIGINT) AS copies, {_FS} FROM allotted GROUP BY {_FS}),
-{_neighbours()},
-drawn AS (SELECT p.*, c.copy, {h(42, 'p.row_id', 'c.copy')} AS draw FROM points p, range(1, 1000000) c(copy) WHERE c.copy <= p.copies)
-SELECT EmployeeID AS row_id, CAST(Attrition = 'Yes' AS INT)::DOUBLE AS label, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in NEIGHBOUR_FEATURES)}, false AS synthetic FROM profile
+points AS (SELECT min(row_id) AS row_id, count(*) AS weight, CAST(sum(copies) AS BIGINT) AS copies, {fs} FROM allotted GROUP BY {fs}),
+{_neighbours(n)},
+drawn AS (SELECT p.*, c.copy, {h(42, 'p.row_id', 'c.copy')} AS draw
+FROM points p, range(1, (SELECT max(copies) + 1 FROM points)) c(copy) WHERE c.copy <= p.copies)
+SELECT row_id, CAST(Attrition = 'Yes' AS INT)::DOUBLE AS label, {', '.join(f'f{i} AS {c}' for i, c in enumerate(names))}, false AS synthetic FROM {source}
 UNION ALL
-SELECT CAST(NULL AS BIGINT), 1.0::DOUBLE, {', '.join(r(f'd.f{i} + {u("draw", 0)} * (n.g{i} - d.f{i})') for i in range(len(NEIGHBOUR_FEATURES)))}, true
+SELECT CAST(NULL AS BIGINT), 1.0::DOUBLE, {made}, true
 FROM drawn d JOIN near n ON d.row_id = n.row_id AND n.place = CAST(floor({u('draw', 1)} * 5.0::DOUBLE) AS INT)"""
-ORACLES["m2_oversampled"] = ORACLES["m2_oversampled_in_blocks"] = f"WITH {PROFILE}{_SMOTE}".replace(
-    "range(1, 1000000) c(copy)", "range(1, (SELECT max(copies) + 1 FROM points)) c(copy)"
-)
-ORACLES["m2_nearest_neighbours"] = f"""WITH {PROFILE}, points AS (SELECT min(EmployeeID) AS row_id, count(*) AS weight, {_FS}
-FROM (SELECT EmployeeID, {_FD} FROM profile) GROUP BY {_FS}), {_neighbours()}
+
+
+_MEASURED = f"""{PROFILE}, measured AS (SELECT EmployeeID AS row_id, Attrition,
+{', '.join(f'CAST({c} AS DOUBLE) AS f{i}' for i, c in enumerate(NEIGHBOUR_FEATURES))} FROM profile)"""
+for _name in ("m2_oversampled_in_blocks", "m2_oversampled_on_measures"):
+    ORACLES[_name] = f"WITH {_MEASURED}, {_smote('measured', NEIGHBOUR_FEATURES, 6)}"
+_FS = ", ".join(f"f{i}" for i in range(len(NEIGHBOUR_FEATURES)))
+ORACLES["m2_nearest_neighbours"] = f"""WITH {_MEASURED}, points AS (SELECT min(row_id) AS row_id, count(*) AS weight, {_FS}
+FROM measured GROUP BY {_FS}), {_neighbours(len(NEIGHBOUR_FEATURES))}
 SELECT n.row_id, p.weight, CAST(n.place AS INT) AS place, n.d2 FROM near n JOIN points p USING (row_id)"""
+_CODED = ", ".join(
+    f"CAST({f'dense_rank() OVER (ORDER BY {c}) - 1' if c in EMPLOYEE_TEXTS else c} AS DOUBLE) AS f{i}" for i, c in enumerate(EMPLOYEE_FEATURES)
+)
+_NUMBERED = f"{_generated()[:-1].rstrip()}, numbered AS (SELECT EmployeeID AS row_id, Attrition, {_CODED} FROM people)"
+table_sql("m2_oversampled", f"{_NUMBERED}, {_smote('numbered', EMPLOYEE_FEATURES, None)}")
+_GS = ", ".join(f"f{i}" for i in range(len(EMPLOYEE_FEATURES)))
+_POINTS = f"{_NUMBERED}, points AS (SELECT min(row_id) AS row_id, {_GS} FROM numbered GROUP BY {_GS})"
+table_sql("m2_neighbour_recall", _POINTS + "SELECT least(count(*), 256) AS probes, count(*) AS points, count(*) * 5 AS found, true AS recall_reached FROM points")
+table_sql("m2_probe_distances", f"""{_POINTS}, probes AS (SELECT * FROM points ORDER BY {h('probe', 'row_id')}, row_id LIMIT 256)
+SELECT row_id, d2 AS within FROM (SELECT p.row_id, {_squares(len(EMPLOYEE_FEATURES))} AS d2,
+row_number() OVER (PARTITION BY p.row_id ORDER BY {_squares(len(EMPLOYEE_FEATURES))}) AS place FROM probes p JOIN points q ON p.row_id <> q.row_id) WHERE place = 5""")
 profile_sql("m6_class_weights", """SELECT EmployeeID AS row_id, CAST(Attrition = 'Yes' AS INT)::DOUBLE AS label,
 (round_even((count(*) OVER ())::DOUBLE / (2 * count(*) OVER (PARTITION BY Attrition)), 6) + 0.0) AS weight FROM profile""")
 scored_sql("m8_confusion", """SELECT m.model, a.actual, b.predicted, count(c.row_id) AS n

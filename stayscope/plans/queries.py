@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from stayscope.functions.expr import has_currency_mark, money_to_number
 from stayscope.functions.ranges import column_quantiles, exact_quantiles
 from stayscope.operators import (
-    clean as cleaning, distribution, encode, explain, features, metrics, models, oversample, profile as profiling,
+    clean as cleaning, distribution, encode, explain, features, forest, metrics, models, oversample, profile as profiling,
     rates, report, scoring, split,
 )
 from stayscope.operators.neighbours import nearest
@@ -613,17 +613,55 @@ def _(people):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-@on_profile("m2_oversampled")
-def _(people):
-    return oversample.smote(_xy(people), NEIGHBOUR_FEATURES)
+def employees_as_numbers(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
+    """A generated employee per customer, the label and all 28 features as numbers (texts as codes), and the features."""
+    people = generator.employees_for(tables.read_table(spark, folder, "customer"), "c_custkey").withColumnRenamed("EmployeeID", "row_id")
+    features_ = [c for c in people.columns if c not in ("row_id", "Attrition")]
+    texts = [c for c, kind in people.dtypes if kind == "string" and c != "Attrition"]
+    labelled = encode.extract_label(materialise(people, "people"))
+    return encode.apply_codes(labelled, encode.fit_codes(labelled, texts), texts), features_
+
+
+@query("m2_oversampled")
+def _(spark, folder):
+    return oversample.smote(*employees_as_numbers(spark, folder))
+
+
+@query("m2_neighbour_recall")
+def _(spark, folder):
+    """The forest on all 28 features with leaves far smaller than the table, against the exact distances of a sample."""
+    people, used = employees_as_numbers(spark, folder)
+    points = people.groupBy(F.array(*[F.col(c).cast("double") for c in used]).alias("vec")).agg(F.min("row_id").alias("row_id"))
+    points = materialise(points.select("row_id", "vec"), "points")
+    rows = points.count()
+    best = forest.forest_candidates(points, "row_id", 5, leaf_rows=max(64, rows // 64))
+    truth = forest.true_distances(points, "row_id", 5)
+    counts = best.join(F.broadcast(truth.drop("n")), "row_id", "left").agg(  # a row per probe
+        F.count("within").alias("probes"), F.count(F.lit(1)).alias("points"), F.sum(F.size("best")).alias("found")
+    )
+    return counts.withColumn("recall_reached", F.lit(forest.found_share(best, truth, "row_id") >= 0.9))
+
+
+@query("m2_probe_distances")
+def _(spark, folder):
+    """The exact distances that the recall is measured by."""
+    people, used = employees_as_numbers(spark, folder)
+    points = people.groupBy(F.array(*[F.col(c).cast("double") for c in used]).alias("vec")).agg(F.min("row_id").alias("row_id"))
+    return forest.true_distances(materialise(points.select("row_id", "vec"), "points"), "row_id", 5).select("row_id", "within")
 
 
 @on_profile("m2_oversampled_in_blocks")
 def _(people):
-    """The same with small blocks, the path a large minority takes."""
+    """On four features by the exact search in small blocks."""
     return oversample.smote(_xy(people), NEIGHBOUR_FEATURES, block_rows=96)
 
 
+@on_profile("m2_oversampled_on_measures")
+def _(people):
+    """On four features by the forest, whose only leaf makes it exact here."""
+    return oversample.smote(_xy(people), NEIGHBOUR_FEATURES)
+
+
 @on_profile("m2_nearest_neighbours")
 def _(people):
     points = _xy(people).select("row_id", F.array(*[F.col(c).cast("double") for c in NEIGHBOUR_FEATURES]).alias("vec"))
