@@ -1,4 +1,4 @@
-"""Path-dependent attributions for Spark ML tree ensembles.
+"""Path-dependent attributions for tree ensembles.
 
 A leaf pays its value when a row meets the conditions on its path. If a feature is unknown, its
 conditions hold with the share of training weight that went that way. For one leaf this is a
@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Model
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stayscope.operators.boosting import BoostedTrees
 from stayscope.session import scratch_path
 
 BLOCK_CELLS = 1 << 21
@@ -79,28 +80,40 @@ class TreeTables:
         return phi
 
 
-def _node_rows(model: Model, spark: SparkSession) -> tuple[dict[int, dict[int, dict]], dict[int, float], bool]:
-    """Nodes per tree as the saved model holds them, tree weights, and whether it is boosted."""
+def _node_rows(model: Model | BoostedTrees, spark: SparkSession) -> tuple[dict[int, dict[int, dict]], float, bool]:
+    """Nodes per tree, what a tree's leaves are scaled by, and whether it is boosted."""
+    if isinstance(model, BoostedTrees):
+        boosted = {
+            number: {
+                i: {
+                    "left": tree.left[i], "right": tree.right[i], "feature": tree.feature[i], "threshold": tree.threshold[i],
+                    "categories": -1, "prediction": tree.value[i], "cover": tree.cover[i],
+                }
+                for i in range(len(tree.value))
+            }
+            for number, tree in enumerate(model.trees)
+        }
+        return boosted, 1.0, True
+    trees: dict[int, dict[int, dict]] = {}
+    for row in forest_nodes(model, spark).collect():
+        trees.setdefault(row["tree"], {})[row["id"]] = row.asDict()
+    return trees, 1.0 / len(trees), False
+
+
+def forest_nodes(model: Model, spark: SparkSession) -> DataFrame:
+    """A row per node of a Spark ML forest, as the saved model holds them."""
     path = scratch_path(spark, "trees")
     model.write().save(path)
-    data = spark.read.parquet(f"{path}/data")
-    boosted = "GBT" in type(model).__name__
-    cover = F.get("nodeData.impurityStats", F.lit(0)) if boosted else F.aggregate(
-        "nodeData.impurityStats", F.lit(0.0), lambda a, v: a + v
-    )
-    nodes = data.select(
+    return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), F.col("nodeData.id").alias("id"),
         F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         F.col("nodeData.split.numCategories").alias("categories"),
-        F.col("nodeData.prediction").alias("prediction"), cover.alias("cover"),
+        F.col("nodeData.prediction").alias("prediction"),
+        F.aggregate("nodeData.impurityStats", F.lit(0.0), lambda a, v: a + v).alias("cover"),
         F.col("nodeData.impurityStats").alias("stats"),
     )
-    trees: dict[int, dict[int, dict]] = {}
-    for row in nodes.collect():
-        trees.setdefault(row["tree"], {})[row["id"]] = row.asDict()
-    return trees, dict(enumerate(model.treeWeights)), boosted
 
 
 def _leaf_value(node: dict, boosted: bool) -> float:
@@ -150,13 +163,12 @@ def _grouped(leaves: list[Leaf]) -> list[LeafGroup]:
     return groups
 
 
-def tree_tables(model: Model, spark: SparkSession) -> TreeTables:
+def tree_tables(model: Model | BoostedTrees, spark: SparkSession) -> TreeTables:
     """Flatten a forest (probability of class 1) or boosted trees (log-odds of class 1)."""
-    trees, weights, boosted = _node_rows(model, spark)
+    trees, scale, boosted = _node_rows(model, spark)
     groups: list[LeafGroup] = []
-    base = 0.0
+    base = model.base if boosted else 0.0
     for number in sorted(trees):
-        scale = 2.0 * weights[number] if boosted else 1.0 / len(trees)
         leaves = _leaves(trees[number], scale, boosted)
         base += sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
         groups += _grouped(leaves)
