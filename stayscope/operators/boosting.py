@@ -86,10 +86,24 @@ class BoostedTrees:
     base: float = 0.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        total, columns = np.full(len(x), self.base), np.ascontiguousarray(x.T)
-        for tree in self.trees:
-            total += np.array(tree.value)[tree.places(columns, tree.threshold, self.depth)]
-        return total
+        """All trees go down together; a leaf leads to itself, and a right child follows its left one."""
+        sizes = [len(tree.value) for tree in self.trees]
+        roots = np.cumsum([0, *sizes])[:-1].astype(np.int64)
+        if not sizes:
+            return np.full(len(x), self.base)
+        left, feature, threshold, value = (np.concatenate([np.array(getattr(tree, c)) for tree in self.trees]) for c in ("left", "feature", "threshold", "value"))
+        leaf = left < 0
+        left = np.where(leaf, np.arange(len(left)), left + np.repeat(roots, sizes))
+        feature, threshold = np.where(leaf, 0, feature), np.where(leaf, np.inf, threshold)
+        out = np.empty(len(x))
+        for start in range(0, len(x), 256):
+            part = x[start: start + 256]
+            flat, first = part.ravel(), (np.arange(len(part)) * part.shape[1])[:, None]
+            node = np.tile(roots, (len(part), 1))
+            for _ in range(self.depth):
+                node = left[node] + (flat[first + feature[node]] > threshold[node])
+            out[start: start + 256] = value[node].sum(axis=1)
+        return self.base + out
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add rawPrediction (half the log-odds, as Spark's boosted trees do), probability and prediction. Map-only."""
@@ -203,22 +217,24 @@ class BoostedTreesClassifier:
 
     def _grow(self, held: RDD, recent: list[Tree], number: int, drawn: list[int], cuts: list[np.ndarray]) -> Tree:
         tree = Tree(drawn)
+        # the drawn columns' bins lie side by side: column j has those from ends[j] on
+        ends = np.cumsum([0, *(len(cuts[feature]) + 1 for feature in drawn)])
         open_ = [tree.add(0.0, 0.0)]
         for level in range(self.depth):
-            sums = self._histograms(held, recent, tree, open_, number, level)
+            sums = self._histograms(held, recent, tree, open_, number, level, ends)
             opened = []
             for at, node in enumerate(open_):
-                total = sums[at, 0].sum(axis=0)
+                total = sums[at, : ends[1]].sum(axis=0)
                 if level == 0:
                     tree.value[node], tree.cover[node] = self._leaf(*total), float(total[1])
-                gain, column, place, lower = self._best(sums[at], total, cuts, drawn)
+                gain, cell, lower = self._best(sums[at], total, ends)
                 if gain <= 1e-12:
                     continue
-                upper = total - lower
-                children = [tree.add(self._leaf(*side), float(side[1])) for side in (lower, upper)]
-                feature = drawn[column]
+                children = [tree.add(self._leaf(*side), float(side[1])) for side in (lower, total - lower)]
+                column = int(np.searchsorted(ends, cell, side="right")) - 1
+                feature, place = drawn[column], int(cell - ends[column])
                 tree.feature[node], tree.bin[node], tree.threshold[node] = feature, place, float(cuts[feature][place])
-                tree.left[node], tree.right[node], tree.gain[node] = *children, float(gain)
+                tree.left[node], tree.right[node], tree.gain[node] = *children, gain
                 opened += children
             open_ = opened
             if not open_:
@@ -228,39 +244,39 @@ class BoostedTreesClassifier:
     def _leaf(self, gradient: float, curvature: float) -> float:
         return float(-gradient / (curvature + self.penalty) * self.step)
 
-    def _best(self, sums: np.ndarray, total: np.ndarray, cuts: list[np.ndarray], drawn: list[int]) -> tuple[float, int, int, np.ndarray]:
-        """The best split of a node from its histogram (columns x bins x 2)."""
-        below = sums.cumsum(axis=1)
+    def _best(self, sums: np.ndarray, total: np.ndarray, ends: np.ndarray) -> tuple[float, int, np.ndarray]:
+        """The best cut of a node from its histogram (bins x 2): gain, bin, and the sums on its lower side."""
+        running = sums.cumsum(axis=0)
+        before = np.concatenate([np.zeros((1, 2)), running])[ends[:-1]]
+        below = running - np.repeat(before, np.diff(ends), axis=0)
         above = total - below
 
         def worth(part: np.ndarray) -> np.ndarray:
             return part[..., 0] ** 2 / (part[..., 1] + self.penalty)
 
-        gain = worth(below) + worth(above) - worth(total)
-        usable = (below[..., 1] >= self.least) & (above[..., 1] >= self.least)
-        usable &= np.arange(BINS)[None, :] < np.array([len(cuts[f]) for f in drawn])[:, None]
-        gain = np.where(usable, gain, -np.inf)
-        column, place = np.unravel_index(int(gain.argmax()), gain.shape)
-        return float(gain[column, place]), int(column), int(place), below[column, place]
+        usable = (below[:, 1] >= self.least) & (above[:, 1] >= self.least)
+        usable[ends[1:] - 1] = False  # beyond the last cut of a column
+        gain = np.where(usable, worth(below) + worth(above) - worth(total), -np.inf)
+        cell = int(gain.argmax())
+        return float(gain[cell]), cell, below[cell]
 
-    def _histograms(self, held: RDD, recent: list[Tree], tree: Tree, open_: list[int], number: int, level: int) -> np.ndarray:
-        """Gradient and curvature by open node, drawn column and bin, over the drawn rows of all blocks."""
+    def _histograms(
+        self, held: RDD, recent: list[Tree], tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray
+    ) -> np.ndarray:
+        """Gradient and curvature by open node and bin, over the drawn rows of all blocks."""
         slot = np.full(len(tree.value), -1)
         slot[open_] = np.arange(len(open_))
-        nodes, drawn, depth, sample = len(open_), tree.drawn, self.depth, self.sample
+        nodes, cells, drawn, depth, sample = len(open_), int(ends[-1]), tree.drawn, self.depth, self.sample
 
         def add_up(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
-            sums = np.zeros((nodes, len(drawn), BINS, 2))
+            sums = np.zeros((nodes, cells, 2))
             for bins, label, weight, draws, margin in blocks:
-                margin = margin + _sum_of(recent, bins, depth)
-                p = 1.0 / (1.0 + np.exp(-margin))
+                p = 1.0 / (1.0 + np.exp(-margin - _sum_of(recent, bins, depth)))
                 at = slot[tree.places(bins, tree.bin, level)]
                 rows = np.flatnonzero((at >= 0) & (_noise(draws, number) < sample))
-                first = at[rows] * BINS
-                for j, feature in enumerate(drawn):
-                    cell = first + bins[feature, rows]
-                    for k, amount in enumerate((weight * (p - label), weight * p * (1 - p))):
-                        sums[:, j, :, k] += np.bincount(cell, amount[rows], nodes * BINS).reshape(nodes, BINS)
+                cell = (at[rows] * cells + ends[:-1, None] + bins[drawn][:, rows]).ravel()
+                for k, amount in enumerate((weight * (p - label), weight * p * (1 - p))):
+                    sums[:, :, k] += np.bincount(cell, np.tile(amount[rows], len(drawn)), nodes * cells).reshape(nodes, cells)
             yield sums
 
         parts = held.mapPartitions(add_up)

@@ -38,7 +38,7 @@ class Settings:
 
     inverse_penalty: float = 0.1
     logistic_iterations: int = 1000
-    logistic_tolerance: float = 1e-12
+    logistic_tolerance: float = 1e-10
     forest_trees: int = 200
     forest_depth: int = 8
     forest_leaf_rows: int = 5

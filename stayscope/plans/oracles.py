@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from stayscope.plans.queries import LINEAR_INTERCEPT, LINEAR_WEIGHTS, METERS, NEIGHBOUR_FEATURES
+from itertools import combinations
+from math import factorial
+
+from stayscope.plans.queries import (
+    FOLDS, KERNEL_FEATURES, LINEAR_INTERCEPT, LINEAR_WEIGHTS, METERS, MODEL_NAMES, NEIGHBOUR_FEATURES, SMALL_TREE, SMALL_TREE_FEATURES,
+)
 from stayscope.schema import POSITIVE_TEXTS, SCORING_BOUNDS, SCORING_CHOICES
 from stayscope.sources import generator as gen
 
@@ -219,7 +224,8 @@ UNION ALL SELECT 'Department Analysis', count(DISTINCT Department) FROM profile
 UNION ALL SELECT 'Job Role Analysis', count(DISTINCT JobRole) FROM profile
 UNION ALL SELECT 'High Risk Employees', count(*) FROM profile WHERE Attrition = 'Yes'
 UNION ALL SELECT 'Model Performance', CAST(3 AS BIGINT)""")
-profile_sql("s6_saved_model", "SELECT EmployeeID AS row_id, true AS same FROM profile")
+profile_sql("s6_saved_model", f"""SELECT model, EmployeeID AS row_id, true AS same
+FROM profile, (VALUES {', '.join(f"('{name}')" for name in MODEL_NAMES)}) m(model)""")
 profile_sql("s7_row_preview", f"SELECT * REPLACE ({r('MonthlyIncome')} AS MonthlyIncome) FROM profile ORDER BY EmployeeID LIMIT 100")
 
 # Schema repair and profiling ----------------------------------------------------------------------
@@ -607,6 +613,19 @@ table_sql("m2_neighbour_recall", _POINTS + "SELECT least(count(*), 256) AS probe
 table_sql("m2_probe_distances", f"""{_POINTS}, probes AS (SELECT * FROM points ORDER BY {h('probe', 'row_id')}, row_id LIMIT 256)
 SELECT row_id, d2 AS within FROM (SELECT p.row_id, {_squares(len(EMPLOYEE_FEATURES))} AS d2,
 row_number() OVER (PARTITION BY p.row_id ORDER BY {_squares(len(EMPLOYEE_FEATURES))}) AS place FROM probes p JOIN points q ON p.row_id <> q.row_id) WHERE place = 5""")
+_PARTS = split_sql("EmployeeID", "label", "(SELECT EmployeeID, CAST(Attrition = 'Yes' AS INT)::DOUBLE AS label FROM profile)")
+for _name in ("m4_forest_walk", "m5_boosted_walk"):
+    profile_sql(_name, f"SELECT row_id, label, true AS same FROM ({_PARTS}) WHERE part = 'test'")
+profile_sql("m3_logistic_convergence", f"SELECT '{MODEL_NAMES[0]}' AS model, count(*) AS rows, true AS converged FROM ({_PARTS}) WHERE part = 'train'")
+table_sql("m5_training_loss", "SELECT CAST(range * 50 AS INT) AS trees, true AS fell FROM range(7)")
+table_sql("m5_tree_columns", "SELECT CAST(range AS INT) AS tree, CAST(20 AS INT) AS drawn, true AS within_draw FROM range(300)")
+_MODELS = f"(VALUES {', '.join(f"('{name}')" for name in MODEL_NAMES)}) m(model)"
+profile_sql("m7_comparison_recomputed", f"SELECT model, count(*) AS rows, true AS same FROM ({_PARTS}), {_MODELS} WHERE part = 'test' GROUP BY model")
+_CUTS = " + ".join(f"(place > round({(i + 1) / FOLDS!r}::DOUBLE * n))::INT" for i in range(FOLDS - 1))
+profile_sql("m12_fold_aucs", f"""SELECT model, CAST({_CUTS} AS INT) AS fold, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, true AS same
+FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY {h(42, 'row_id')}) AS place, count(*) OVER (PARTITION BY label) AS n
+FROM ({_PARTS}) WHERE part = 'train'), {_MODELS} GROUP BY ALL""")
+profile_sql("m15_batch_walk", f"SELECT EmployeeID AS row_id, true AS same, model FROM profile, {_MODELS} WHERE model <> '{MODEL_NAMES[0]}'")
 profile_sql("m6_class_weights", """SELECT EmployeeID AS row_id, CAST(Attrition = 'Yes' AS INT)::DOUBLE AS label,
 (round_even((count(*) OVER ())::DOUBLE / (2 * count(*) OVER (PARTITION BY Attrition)), 6) + 0.0) AS weight FROM profile""")
 scored_sql("m8_confusion", """SELECT m.model, a.actual, b.predicted, count(c.row_id) AS n
@@ -670,6 +689,38 @@ def shap_sql(name: str, select: str) -> None:
 
 profile_sql("x1_background", f"SELECT EmployeeID, Age, JobRole FROM profile ORDER BY {h(42, 'EmployeeID')}, EmployeeID LIMIT 100")
 shap_sql("x2_linear_attribution", f"SELECT row_id, {r('base_value')} AS base_value, feature, value, {r('shap')} AS shap FROM shap")
+
+
+def _expected(known: frozenset[int], at: int = 0) -> str:
+    """The small tree's output where only the known features count, the others by their share of the cover."""
+    feature, threshold, left, right, value, cover = SMALL_TREE[at]
+    if left < 0:
+        return f"{value}::DOUBLE"
+    low, high = _expected(known, left), _expected(known, right)
+    if feature in known:
+        return f"(CASE WHEN {SMALL_TREE_FEATURES[feature]} <= {threshold} THEN {low} ELSE {high} END)"
+    return f"({SMALL_TREE[left][5] / cover!r}::DOUBLE * {low} + {SMALL_TREE[right][5] / cover!r}::DOUBLE * {high})"
+
+
+def _shapley(i: int) -> str:
+    others = [j for j in range(len(SMALL_TREE_FEATURES)) if j != i]
+    terms = []
+    for size in range(len(others) + 1):
+        share = factorial(size) * factorial(len(others) - size) / factorial(len(others) + 1)
+        terms += [
+            f"{share!r}::DOUBLE * ({_expected(frozenset({*known, i}))} - {_expected(frozenset(known))})" for known in combinations(others, size)
+        ]
+    return " + ".join(terms)
+
+
+profile_sql("x3_small_tree_values", " UNION ALL ".join(
+    f"""SELECT EmployeeID AS row_id, {r(f'0.25::DOUBLE + {_expected(frozenset())}')} AS base_value, '{f}' AS feature,
+    CAST({f} AS DOUBLE) AS value, {r(_shapley(i))} AS shap FROM profile""" for i, f in enumerate(SMALL_TREE_FEATURES)
+))
+for _name in ("logistic", "forest", "boosted"):
+    profile_sql(f"x4_kernel_{_name}", " UNION ALL ".join(
+        f"SELECT EmployeeID AS row_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, true AS equal FROM profile" for f in KERNEL_FEATURES
+    ))
 for _name in ("x3_forest_additivity", "x3_boosted_additivity", "x4_sampled_additivity"):
     profile_sql(_name, "SELECT EmployeeID AS row_id, true AS additive FROM profile")
 shap_sql("x5_global_importance", f"SELECT feature, {r('avg(abs(shap))')} AS mean_abs_shap FROM shap GROUP BY feature")

@@ -7,15 +7,17 @@ differ in the last digits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from stayscope.functions.expr import has_currency_mark, money_to_number
 from stayscope.functions.ranges import column_quantiles, exact_quantiles
 from stayscope.operators import (
-    clean as cleaning, distribution, encode, explain, features, forest, metrics, models, oversample, profile as profiling,
-    rates, report, scoring, split,
+    boosting, clean as cleaning, distribution, encode, explain, features, forest, metrics, models, oversample,
+    profile as profiling, rates, report, scoring, split, treewalk,
 )
 from stayscope.operators.neighbours import nearest
 from stayscope.plans import lifecycle, workforce
@@ -26,10 +28,6 @@ from stayscope.sources import generator, tables
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Small model sizes for registered runs; the library defaults are the full ones.
-SMALL = models.Settings(
-    logistic_iterations=30, forest_trees=10, forest_depth=5, boosted_rounds=6, boosted_depth=4, folds=3
-)
 # Weights of the fixed linear model behind the explanation queries.
 LINEAR_WEIGHTS = {
     "Age": -0.03, "DistanceFromHome": 0.02, "EnvironmentSatisfaction": -0.25, "JobLevel": -0.1,
@@ -128,15 +126,17 @@ def _(spark, folder):
 
 @query("s6_saved_model")
 def _(spark, folder):
-    encoding, table = _encoded(workforce.profile(spark, folder))
-    train = models.assemble(table, encoding.features)
-    folder_out = scratch_path(spark, "models")
-    fitted = models.fit_model(train, models.LOGISTIC, SMALL)
-    models.save_models({models.LOGISTIC: fitted}, folder_out)
-    loaded = models.load_model(folder_out, models.LOGISTIC)
-    before = models.score(fitted, train).select("row_id", F.col("score").alias("before"))
-    after = models.score(loaded, train).select("row_id", F.col("score").alias("after"))
-    return before.join(after, "row_id").select("row_id", (F.col("before") == F.col("after")).alias("same"))
+    """All three models, saved, loaded and applied to the whole table."""
+    fits = [fitted(spark, folder, name) for name in MODEL_NAMES]
+    path = scratch_path(spark, "models")
+    models.save_models({fit.name: fit.model for fit in fits}, path)
+    shown = []
+    for fit in fits:
+        before = models.score(fit.model, fit.table, fit.features).select("row_id", F.col("score").alias("before"))
+        loaded = models.load_model(path, fit.name)
+        after = models.score(loaded, fit.table, fit.features).select("row_id", F.col("score").alias("after"))
+        shown.append(before.join(after, "row_id").select(F.lit(fit.name).alias("model"), "row_id", (F.col("before") == F.col("after")).alias("same")))
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 @on_profile("s7_row_preview")
@@ -680,16 +680,117 @@ def _encoded(people: DataFrame) -> tuple[encode.FittedEncoding, DataFrame]:
     return encoding, materialise(table, "encoded")
 
 
-def _trained_scores(people: DataFrame, name: str) -> DataFrame:
-    encoding, table = _encoded(people)
-    train, test = split.stratified_split(table)
-    model = models.fit_model(models.assemble(train, encoding.features), name, SMALL)
-    return models.score(model, test, encoding.features).select("row_id", "label", "score", "prediction")
+MODEL_NAMES = (models.LOGISTIC, models.FOREST, models.BOOSTED)
+FOLDS = models.Settings().folds
+
+
+@dataclass(frozen=True)
+class Fit:
+    """A model of default size, fitted on the training part of the encoded view."""
+
+    name: str
+    encoding: encode.FittedEncoding
+    table: DataFrame
+    train: DataFrame
+    test: DataFrame
+    model: object
+
+    @property
+    def features(self) -> list[str]:
+        return self.encoding.features
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, folder: str, what: object, make: Callable[[], object]):
+    """What was fitted once in a session for a folder of tables; queries that show the same model share it."""
+    key = (spark.sparkContext.applicationId, folder, what)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def encoded_parts(spark: SparkSession, folder: str):
+    encoding, table = kept(spark, folder, "encoded", lambda: _encoded(workforce.profile(spark, folder)))
+    return encoding, table, *split.stratified_split(table)
+
+
+def fitted(spark: SparkSession, folder: str, name: str) -> Fit:
+    def make() -> Fit:
+        encoding, table, train, test = encoded_parts(spark, folder)
+        return Fit(name, encoding, table, train, test, models.fit_model(models.assemble(train, encoding.features), name))
+
+    return kept(spark, folder, name, make)
+
+
+def compared(spark: SparkSession, folder: str) -> models.Trained:
+    def make() -> models.Trained:
+        encoding, _, train, test = encoded_parts(spark, folder)
+        return models.train_all(train, test, encoding.features)
+
+    return kept(spark, folder, "compared", make)
+
+
+def _test_scores(name: str) -> Query:
+    def run(spark, folder):
+        fit = fitted(spark, folder, name)
+        return rounded(models.score(fit.model, fit.test, fit.features).select("row_id", "label", "score", "prediction"))
 
+    return run
 
-on_profile("m3_logistic_scores")(lambda people: _trained_scores(people, models.LOGISTIC))
-on_profile("m4_forest_scores")(lambda people: _trained_scores(people, models.FOREST))
-on_profile("m5_boosted_scores")(lambda people: _trained_scores(people, models.BOOSTED))
+
+def _walked(name: str) -> Query:
+    """Whether each held-out row's score equals that of the node tables, walked by joins."""
+
+    def run(spark, folder):
+        fit = fitted(spark, folder, name)
+        scored = models.score(fit.model, fit.test, fit.features).select("row_id", "label", "score")
+        walked = treewalk.walked_scores(fit.test, fit.features, fit.model)
+        return scored.join(walked, "row_id").select("row_id", "label", (F.abs(F.col("score") - F.col("walked")) < 1e-9).alias("same"))
+
+    return run
+
+
+QUERIES["m3_logistic_scores"] = _test_scores(models.LOGISTIC)
+QUERIES["m4_forest_scores"] = _test_scores(models.FOREST)
+QUERIES["m5_boosted_scores"] = _test_scores(models.BOOSTED)
+QUERIES["m4_forest_walk"] = _walked(models.FOREST)
+QUERIES["m5_boosted_walk"] = _walked(models.BOOSTED)
+
+
+@query("m3_logistic_convergence")
+def _(spark, folder):
+    """Whether the penalised loss is flat at the fitted parameters: its gradient's length is below 1e-6."""
+    fit = fitted(spark, folder, models.LOGISTIC)
+    table = models.weighted(models.assemble(fit.train, fit.features), models.LOGISTIC)
+    gradient = models.logistic_gradient(fit.model, table)
+    return spark.createDataFrame([(models.LOGISTIC, fit.train.count(), gradient < 1e-6)], "model string, rows bigint, converged boolean")
+
+
+@query("m5_training_loss")
+def _(spark, folder):
+    """The training loss after every 50 trees, recomputed from scores, and whether it fell."""
+    fit = fitted(spark, folder, models.BOOSTED)
+    table = materialise(models.weighted(models.assemble(fit.train, fit.features), models.BOOSTED), "weighted")
+    rows, last = [], float("inf")
+    for n in range(0, len(fit.model.trees) + 1, 50):
+        part = replace(fit.model, trees=fit.model.trees[:n])
+        models.score(part, table).select("label", "weight", "score").createOrReplaceTempView("scored_rows")
+        loss = spark.sql(
+            "SELECT sum(-weight * CASE WHEN label = 1 THEN ln(score) ELSE ln(1 - score) END) / sum(weight) AS loss FROM scored_rows"
+        ).first()["loss"]
+        rows.append((n, loss < last))
+        last = loss
+    return spark.createDataFrame(rows, "trees int, fell boolean")
+
+
+@query("m5_tree_columns")
+def _(spark, folder):
+    """Per tree how many columns were drawn, and whether it splits on none outside its draw."""
+    nodes = fitted(spark, folder, models.BOOSTED).model.node_table(spark)
+    within = F.every((F.col("left") < 0) | F.array_contains("drawn", F.col("feature")))
+    return nodes.groupBy("tree").agg(F.max(F.size("drawn")).alias("drawn"), within.alias("within_draw"))
 
 
 @on_profile("m6_class_weights")
@@ -697,14 +798,22 @@ def _(people):
     return split.class_weights(_xy(people).select("row_id", "label"))
 
 
-def _trained(people: DataFrame, names=(models.LOGISTIC, models.FOREST, models.BOOSTED)):
-    encoding, table = _encoded(people)
-    train, test = split.stratified_split(table)
-    settings = models.Settings(**{**vars(SMALL), "names": names})
-    return models.train_all(train, test, encoding.features, settings)
+QUERIES["m7_trained_comparison"] = lambda spark, folder: rounded(compared(spark, folder).evaluated)
+
+
+@query("m7_comparison_recomputed")
+def _(spark, folder):
+    """Per model the held-out rows, and whether accuracy and AUC equal those that SQL computes from the written scores."""
+    trained = compared(spark, folder)
+    trained.scored.createOrReplaceTempView("held_out_scores")
+    again = spark.sql("""SELECT model, count(*) AS rows, avg(CAST(prediction = label AS INT)) AS accuracy2,
+        (sum(CASE WHEN label = 1 THEN place END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)) AS auc2
+        FROM (SELECT *, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2 AS place
+        FROM held_out_scores) GROUP BY model""")
+    same = (F.abs(F.col("accuracy") - F.col("accuracy2")) < 1e-9) & (F.abs(F.col("roc_auc") - F.col("auc2")) < 1e-9)
+    return trained.evaluated.join(again, "model").select("model", "rows", same.alias("same"))
 
 
-on_profile("m7_trained_comparison")(lambda people: _trained(people).evaluated)
 on_profile("m8_confusion")(lambda people: metrics.confusion_matrix(_model_scores(people), ["model"]))
 on_profile("m9_threshold_metrics")(lambda people: metrics.threshold_metrics(_model_scores(people), ["model"]))
 on_profile("m10_auc")(lambda people: metrics.roc_auc(_model_scores(people), ["model"]))
@@ -718,12 +827,22 @@ def _(people):
     return split.stratified_folds(_xy(people).select("row_id", "label"))
 
 
-@on_profile("m12_cross_validation")
-def _(people):
-    encoding, table = _encoded(people)
-    ready = models.assemble(table, encoding.features)
-    mean, spread = models.cross_validate(ready, models.LOGISTIC, SMALL)
-    return people.sparkSession.createDataFrame([(models.LOGISTIC, mean, spread)], "model string, mean double, std double")
+@query("m12_cross_validation")
+def _(spark, folder):
+    return rounded(compared(spark, folder).evaluated.select("model", F.col("cv_auc_mean").alias("mean"), F.col("cv_auc_std").alias("std")))
+
+
+@query("m12_fold_aucs")
+def _(spark, folder):
+    """Per model and fold the scored rows, and whether the fold's AUC equals the one that SQL computes from the written scores."""
+    trained = compared(spark, folder)
+    trained.fold_scores.createOrReplaceTempView("fold_scores")
+    again = spark.sql("""SELECT model, fold, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives,
+        (sum(CASE WHEN label = 1 THEN place END) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)) AS auc2
+        FROM (SELECT *, rank() OVER (PARTITION BY model, fold ORDER BY score) + (count(*) OVER (PARTITION BY model, fold, score) - 1) / 2 AS place
+        FROM fold_scores) GROUP BY model, fold""")
+    joined = models.fold_aucs(trained.fold_scores).join(again, ["model", "fold"])
+    return joined.select("model", "fold", "rows", "positives", (F.abs(F.col("roc_auc") - F.col("auc2")) < 1e-9).alias("same"))
 
 
 on_profile("m13_metrics_table")(lambda people: metrics.metrics_table(metrics.evaluate(_model_scores(people))))
@@ -735,19 +854,37 @@ def _(people):
     return people.sparkSession.createDataFrame([(best,)], "model string")
 
 
-@on_profile("m15_batch_scores")
-def _(people):
-    encoding, table = _encoded(people)
-    model = models.fit_model(models.assemble(table, encoding.features), models.LOGISTIC, SMALL)
-    scorer = scoring.Scorer(encoding, model, lookup_table(features.level_medians(people)))
-    return scorer(_keyed(people))
+def _batch_scores(spark, folder, name):
+    fit = fitted(spark, folder, name)
+    people = workforce.profile(spark, folder)
+    return fit, scoring.Scorer(fit.encoding, fit.model, lookup_table(features.level_medians(people))), _keyed(people)
 
 
-@on_profile("m16_feature_importance")
-def _(people):
-    encoding, table = _encoded(people)
-    model = models.fit_model(models.assemble(table, encoding.features), models.FOREST, SMALL)
-    return models.feature_importance(model, encoding.features, people.sparkSession)
+@query("m15_batch_scores")
+def _(spark, folder):
+    _, scorer, records = _batch_scores(spark, folder, models.LOGISTIC)
+    return rounded(scorer(records))
+
+
+@query("m15_batch_walk")
+def _(spark, folder):
+    """Whole records scored in one batch by both tree models; each score equals that of the node tables."""
+    shown = []
+    for name in (models.FOREST, models.BOOSTED):
+        fit, scorer, records = _batch_scores(spark, folder, name)
+        walked = treewalk.walked_scores(scorer.features(records), fit.features, fit.model)
+        same = scorer(records).join(walked, "row_id").select("row_id", (F.abs(F.col("score") - F.col("walked")) < 1e-9).alias("same"))
+        shown.append(same.withColumn("model", F.lit(name)))
+    return shown[0].unionByName(shown[1])
+
+
+@query("m16_feature_importance")
+def _(spark, folder):
+    tables_ = [
+        models.feature_importance(fit.model, fit.features, spark).withColumn("model", F.lit(fit.name))
+        for fit in (fitted(spark, folder, name) for name in MODEL_NAMES)
+    ]
+    return rounded(tables_[0].unionByName(tables_[1]).unionByName(tables_[2]))
 
 
 on_profile("m17_radar")(lambda people: metrics.best_flags(metrics.metrics_table(metrics.evaluate(_model_scores(people)))))
@@ -791,59 +928,109 @@ def _(people):
     )
 
 
-def _fitted_on_all(people: DataFrame, name: str):
-    encoding, table = _encoded(people)
-    return table, models.fit_model(models.assemble(table, encoding.features), name, SMALL), encoding.features
-
-
 def _additive(explained: DataFrame, scored: DataFrame, margin) -> DataFrame:
     """Whether base value and attributions add up to the model's output, per row."""
     total = F.aggregate("contributions", F.col("base_value"), lambda sum_, c: sum_ + c["shap"])
     return explained.join(scored, "row_id").select("row_id", (F.abs(total - margin) < 1e-6).alias("additive"))
 
 
-def _tree_additive(people: DataFrame, name: str) -> DataFrame:
-    table, model, used = _fitted_on_all(people, name)
-    scored = models.score(model, table, used).select("row_id", "score")
-    log_odds = F.log(F.col("score") / (1 - F.col("score")))
-    return _additive(
-        explain.tree_attribution(table, model, used), scored, log_odds if name == models.BOOSTED else F.col("score")
-    )
+def _tree_additive(name: str) -> Query:
+    def run(spark, folder):
+        fit = fitted(spark, folder, name)
+        scored = models.score(fit.model, fit.table, fit.features).select("row_id", "score")
+        log_odds = F.log(F.col("score") / (1 - F.col("score")))
+        explained = explain.tree_attribution(fit.table, fit.model, fit.features)
+        return _additive(explained, scored, log_odds if name == models.BOOSTED else F.col("score"))
 
+    return run
 
-def _tree_explained(people: DataFrame, name: str) -> DataFrame:
-    table, model, used = _fitted_on_all(people, name)
-    explained = explain.tree_attribution(table, model, used)
+
+def _shown(explained: DataFrame) -> DataFrame:
     return explained.select("row_id", "base_value", F.explode("contributions").alias("c")).select(
         "row_id", "base_value", "c.feature", "c.value", "c.shap"
     )
 
 
-on_profile("x3_forest_attribution")(lambda people: _tree_explained(people, models.FOREST))
-on_profile("x3_boosted_attribution")(lambda people: _tree_explained(people, models.BOOSTED))
-on_profile("x3_forest_additivity")(lambda people: _tree_additive(people, models.FOREST))
-on_profile("x3_boosted_additivity")(lambda people: _tree_additive(people, models.BOOSTED))
+def _tree_explained(name: str) -> Query:
+    def run(spark, folder):
+        fit = fitted(spark, folder, name)
+        return rounded(_shown(explain.tree_attribution(fit.table, fit.model, fit.features)))
+
+    return run
 
 
-def _sampled(people: DataFrame):
-    used = ["Age", "DistanceFromHome", "JobSatisfaction", "YearsAtCompany"]
-    table = materialise(_xy(people).select("row_id", "label", *used), "xy")
-    model = models.fit_model(models.assemble(table, used), models.LOGISTIC, SMALL)
-    explained = explain.sampled_attribution(table, model, used, explain.feature_means(table, used), orders=4)
-    return models.score(model, table, used), explained
+QUERIES["x3_forest_attribution"] = _tree_explained(models.FOREST)
+QUERIES["x3_boosted_attribution"] = _tree_explained(models.BOOSTED)
+QUERIES["x3_forest_additivity"] = _tree_additive(models.FOREST)
+QUERIES["x3_boosted_additivity"] = _tree_additive(models.BOOSTED)
 
+# A tree whose attributions SQL computes by enumerating coalitions: node: (feature, threshold, left, right, value, cover).
+SMALL_TREE_FEATURES = ["Age", "JobLevel", "YearsAtCompany", "DistanceFromHome"]
+SMALL_TREE = [
+    (0, 35.0, 1, 2, 0.0, 100.0), (1, 2.0, 3, 4, 0.0, 60.0), (2, 3.0, 5, 6, 0.0, 40.0), (3, 10.0, 7, 8, 0.0, 24.0), (-1, 0.0, -1, -1, -0.4, 36.0),
+    (0, 50.0, 9, 10, 0.0, 10.0), (-1, 0.0, -1, -1, -1.1, 30.0), (-1, 0.0, -1, -1, 0.2, 15.0), (-1, 0.0, -1, -1, 0.9, 9.0),
+    (-1, 0.0, -1, -1, 0.5, 6.0), (-1, 0.0, -1, -1, -0.7, 4.0),
+]
 
-@on_profile("x4_sampled_additivity")
+
+@on_profile("x3_small_tree_values")
 def _(people):
-    scored, explained = _sampled(people)
+    tree = boosting.Tree([0, 1, 2, 3])
+    for feature, threshold, left, right, value, cover in SMALL_TREE:
+        at = tree.add(value, cover)
+        tree.feature[at], tree.threshold[at], tree.left[at], tree.right[at] = feature, threshold, left, right
+    model = boosting.BoostedTrees([tree], 4, 3, base=0.25)
+    return _shown(explain.tree_attribution(_keyed(people), model, SMALL_TREE_FEATURES))
+
+
+KERNEL_FEATURES = [
+    "Age", "DistanceFromHome", "EnvironmentSatisfaction", "JobLevel", "JobSatisfaction", "NumCompaniesWorked", "TotalWorkingYears",
+    "WorkLifeBalance", "YearsAtCompany", "YearsSinceLastPromotion",
+]
+
+
+def _kernel_fit(spark, folder, name):
+    def make():
+        table = materialise(_xy(workforce.profile(spark, folder)).select("row_id", "label", *KERNEL_FEATURES), "xy")
+        return table, models.fit_model(models.assemble(table, KERNEL_FEATURES), name), explain.feature_means(table, KERNEL_FEATURES)
+
+    return kept(spark, folder, ("kernel", name), make)
+
+
+def _kernel(name: str) -> Query:
+    """Whether the weighted coalitions' fit equals the Shapley values by definition, for each row and feature."""
+
+    def run(spark, folder):
+        table, model, means = _kernel_fit(spark, folder, name)
+        ground = np.array([means[f] for f in KERNEL_FEATURES])
+        fit = _shown(explain.kernel_attribution(table, model, KERNEL_FEATURES, ground))
+        defined = _shown(explain.kernel_attribution(table, model, KERNEL_FEATURES, ground, plan=explain.shapley_shares(len(KERNEL_FEATURES))))
+        both = fit.join(defined.select("row_id", "feature", F.col("shap").alias("defined")), ["row_id", "feature"])
+        return both.select("row_id", "feature", F.col("value").cast("double").alias("value"), (F.abs(F.col("shap") - F.col("defined")) < 1e-6).alias("equal"))
+
+    return run
+
+
+QUERIES["x4_kernel_logistic"] = _kernel(models.LOGISTIC)
+QUERIES["x4_kernel_forest"] = _kernel(models.FOREST)
+QUERIES["x4_kernel_boosted"] = _kernel(models.BOOSTED)
+
+
+def _sampled(spark: SparkSession, folder: str):
+    table, model, means = _kernel_fit(spark, folder, models.LOGISTIC)
+    explained = explain.sampled_attribution(table, model, KERNEL_FEATURES, means)
+    return models.score(model, table, KERNEL_FEATURES), explained
+
+
+@query("x4_sampled_additivity")
+def _(spark, folder):
+    scored, explained = _sampled(spark, folder)
     return _additive(explained, scored.select("row_id", "score"), F.col("score"))
 
 
-@on_profile("x4_sampled_attribution")
-def _(people):
-    return _sampled(people)[1].select("row_id", "base_value", F.explode("contributions").alias("c")).select(
-        "row_id", "base_value", "c.feature", "c.value", "c.shap"
-    )
+@query("x4_sampled_attribution")
+def _(spark, folder):
+    return rounded(_shown(_sampled(spark, folder)[1]))
 
 
 on_profile("x5_global_importance")(lambda people: explain.global_importance(_explained(people)))
@@ -868,8 +1055,7 @@ def _(people):
 
 @on_raw("l3_predicted_and_explained")
 def _(raw):
-    small = models.Settings(**{**vars(SMALL), "names": (models.LOGISTIC,)})
-    study = lifecycle.run_study(raw, small)
+    study = lifecycle.run_study(raw)
     return lifecycle.predict_and_explain(study, study.prepared.cleaned).select("row_id", "score", "prediction", "risk", "explanation")
 
 

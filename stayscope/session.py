@@ -20,6 +20,7 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "stayscope"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.unix.domain.socket.enabled", "true")  # passes of a few milliseconds wait 50 on TCP
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
