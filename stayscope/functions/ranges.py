@@ -111,24 +111,33 @@ def exact_quantiles(
     Otherwise the values at the wanted positions are selected range by range, so no task holds
     or sorts a whole group.
     """
+    return quantiles_of_counts(value_counts(df, value, by), probs, by, rows_per_range)
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``_v`` (a number) and ``_n``: how often each value occurs, written. The one read of ``df``."""
     by = list(by)
-    probs = [float(p) for p in probs]
-    counted = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    return materialise(
+        df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")),
+        "value-counts",
     )
-    distinct = df.agg(about_distinct(F.col(value))).first()[0]
+
+
+def quantiles_of_counts(
+    counted: DataFrame, probs: Sequence[float], by: Sequence[str] = (), rows_per_range: int = SINGLE_RANGE_ROWS
+) -> DataFrame:
+    """``by``, ``quantiles`` from ``value_counts``."""
+    by, probs = list(by), [float(p) for p in probs]
+    distinct = counted.agg(about_distinct(F.col("_v"))).first()[0]
     if distinct <= rows_per_range:
         return counted.groupBy(*by).agg(
             F.percentile("_v", F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("quantiles")
         )
-    return _selected_quantiles(counted, by, probs, range_cuts(df, value, rows_per_range, distinct))
+    return _selected_quantiles(counted, by, probs, range_cuts(counted, "_v", rows_per_range, distinct))
 
 
 def _selected_quantiles(counted: DataFrame, by: list[str], probs: list[float], cuts: Sequence[float]) -> DataFrame:
-    ranged = with_range(materialise(counted, "counts"), "_v", cuts)
+    ranged = with_range(counted, "_v", cuts)
     ends = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_rows"))
     group = Window.partitionBy(*by)
     starts = ends.select(

@@ -21,6 +21,7 @@ from stayscope.schema import HR, Roles
 from stayscope.session import materialise
 
 KEEP_EXTRA_SHARE = 0.5
+REPEATED_DIGESTS = 1_000_000
 CLIP_PROBS = (0.01, 0.99)
 
 
@@ -87,15 +88,32 @@ def is_row_key(prepared: DataFrame, key: str = "row_id") -> bool:
     return spread.where(F.col(key).isNull() | (F.col("_low") != F.col("_high"))).limit(1).count() == 0
 
 
-def drop_duplicate_rows(df: DataFrame, row_id: str | None = "row_id") -> DataFrame:
+def drop_duplicate_rows(df: DataFrame, row_id: str | None = "row_id", most: int = REPEATED_DIGESTS) -> DataFrame:
     """Keep one row per combination of attributes, with the least key.
 
-    The key is a min aggregate, so equal rows are combined before the shuffle and a combination
-    that fills a third of the table still reaches its reducer as one row per map task.
+    Digests of 128 bits are exchanged instead of rows: they are counted, and only rows whose digest repeats are
+    grouped; the others stay where they are. The table of repeated digests is broadcast as long as it has at most ``most`` rows of
+    16 bytes. Beyond that, and on streams, all rows are grouped. Either way the key is a min aggregate, so a
+    combination that fills a third of the table reaches its reducer as one row per map task.
     """
     if row_id is None or row_id not in df.columns:
         return df.dropDuplicates()
     attributes = [c for c in df.columns if c != row_id]
+    if df.isStreaming or not attributes:
+        return _least_key(df, attributes, row_id)
+    marked = df.withColumns({"_one": F.xxhash64(*attributes), "_two": F.xxhash64(F.lit(1), *attributes)})
+    repeated = materialise(marked.groupBy("_one", "_two").count().where("count > 1").select("_one", "_two"), "repeated")
+    digests = repeated.count()
+    if digests == 0:
+        return df
+    if digests > most:
+        return _least_key(df, attributes, row_id)
+    alone = marked.join(F.broadcast(repeated), ["_one", "_two"], "left_anti").select(*df.columns)
+    copied = marked.join(F.broadcast(repeated), ["_one", "_two"], "left_semi").select(*df.columns)
+    return alone.unionByName(_least_key(copied, attributes, row_id))
+
+
+def _least_key(df: DataFrame, attributes: list[str], row_id: str) -> DataFrame:
     return df.groupBy(*attributes).agg(F.min(row_id).alias(row_id)).select(*df.columns)
 
 

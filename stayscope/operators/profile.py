@@ -19,6 +19,7 @@ CURRENCY_SHARE = 0.3
 CURRENCY_SAMPLE = 50
 MISSING_WARNING_PCT = 20.0
 MIN_ROWS = 10
+HEAD_ROWS = 20_000
 MIN_COLUMNS = 2
 
 
@@ -188,9 +189,33 @@ def find_label(df: DataFrame, profile: dict[str, ColumnProfile] | None = None, r
 # Identifier, constant and row-index columns ---------------------------------------------------
 
 
-def all_unique(df: DataFrame, names: list[str]) -> list[str]:
-    """The columns among ``names`` in which no value repeats; map-side combined per value."""
-    return [c for c in names if df.groupBy(F.col(quoted(c))).count().where("count > 1").limit(1).count() == 0]
+def repeating(df: DataFrame, names: list[str]) -> set[str]:
+    """The columns among ``names`` in which a value occurs twice, in one exchange whatever their number.
+
+    Values are compared by 128 bits of hash, combined in the tasks.
+    """
+    cells = [
+        F.struct(F.lit(i).alias("column"), F.xxhash64(F.col(quoted(c))).alias("one"), F.xxhash64(F.lit(i), F.col(quoted(c))).alias("two"))
+        for i, c in enumerate(names)
+    ]
+    if not cells:
+        return set()
+    counted = df.select(F.explode(F.array(*cells)).alias("cell")).groupBy("cell.column", "cell.one", "cell.two").count()
+    return {names[row["column"]] for row in counted.where("count > 1").select("column").distinct().collect()}
+
+
+def all_unique(df: DataFrame, names: list[str], head: int = HEAD_ROWS) -> list[str]:
+    """The columns among ``names`` in which no value repeats. A bounded look at some rows rules out most others first."""
+    early = repeating(df.limit(head), names)
+    left = [c for c in names if c not in early]
+    late = repeating(df, left)
+    return [c for c in left if c not in late]
+
+
+def first_unique(df: DataFrame, names: list[str], head: int = HEAD_ROWS) -> str | None:
+    """The first column among ``names`` in which no value repeats; later ones are not looked at as a whole."""
+    early = repeating(df.limit(head), names)
+    return next((c for c in names if c not in early and not repeating(df, [c])), None)
 
 
 def droppable_columns(
@@ -228,7 +253,7 @@ def best_identifier(df: DataFrame, profile: dict[str, ColumnProfile] | None = No
         return named
     profile = profile or profile_table(df)
     likely = [p.name for p in profile.values() if p.is_number and p.nulls == 0 and p.about_distinct >= 0.8 * p.rows]
-    return next(iter(all_unique(df, likely)), None)
+    return first_unique(df, likely)
 
 
 def currency_by_sample(
@@ -270,9 +295,14 @@ def validate(
 
 
 def summarise(df: DataFrame, profile: dict[str, ColumnProfile] | None = None, roles: Roles = HR) -> DataFrame:
-    """One row per column: type, share missing, identifier / currency / label marks, warning."""
+    """One row per column: type, share missing, identifier / currency / label marks, warning.
+
+    Warns if no column can serve as the label.
+    """
     profile = profile or profile_table(df)
     label = find_label(df, profile, roles)
+    if label is None:
+        warnings.warn(f"no label column found; name one {roles.label!r} or give one yes / no values", stacklevel=2)
     spark = df.sparkSession
     rows = [
         (p.name, p.dtype, p.rows, p.nulls, looks_like_identifier(p.name), p.is_currency, p.name == label)

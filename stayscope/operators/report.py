@@ -111,6 +111,12 @@ def preview(df: DataFrame, key: str, n: int = PREVIEW_ROWS) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
+def preview_total(df: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
+    """``shown`` and ``total``: the caption of a preview."""
+    total = F.count(F.lit(1))
+    return df.agg(F.least(total, F.lit(n)).cast("bigint").alias("shown"), total.alias("total"))
+
+
 def lookup(raw: DataFrame, cleaned: DataFrame, ids: DataFrame, key: str, row_id: str = "row_id") -> DataFrame:
     """The cleaned record for each asked id.
 

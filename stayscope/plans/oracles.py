@@ -6,7 +6,8 @@ from itertools import combinations
 from math import factorial
 
 from stayscope.plans.queries import (
-    FOLDS, KERNEL_FEATURES, LINEAR_INTERCEPT, LINEAR_WEIGHTS, METERS, MODEL_NAMES, NEIGHBOUR_FEATURES, SMALL_TREE, SMALL_TREE_FEATURES,
+    FOLDS, KERNEL_FEATURES, LINEAR_INTERCEPT, LINEAR_WEIGHTS, METERS, MODEL_NAMES, NEIGHBOUR_FEATURES, SHEET_KEYS, SHEET_MEASURES,
+    SMALL_TREE, SMALL_TREE_FEATURES,
 )
 from stayscope.schema import POSITIVE_TEXTS, SCORING_BOUNDS, SCORING_CHOICES
 from stayscope.sources import generator as gen
@@ -218,16 +219,12 @@ LEAVERS = (
     "FROM profile WHERE Attrition = 'Yes'"
 )
 profile_sql("s4_risk_list_csv", LEAVERS)
-profile_sql("s5_report_sheets", """
-SELECT 'Executive Summary' AS sheet, CAST(8 AS BIGINT) AS rows
-UNION ALL SELECT 'Department Analysis', count(DISTINCT Department) FROM profile
-UNION ALL SELECT 'Job Role Analysis', count(DISTINCT JobRole) FROM profile
-UNION ALL SELECT 'High Risk Employees', count(*) FROM profile WHERE Attrition = 'Yes'
-UNION ALL SELECT 'Model Performance', CAST(3 AS BIGINT)""")
 profile_sql("s6_saved_model", f"""SELECT model, EmployeeID AS row_id, true AS same
 FROM profile, (VALUES {', '.join(f"('{name}')" for name in MODEL_NAMES)}) m(model)""")
 profile_sql("s7_row_preview", f"SELECT * REPLACE ({r('MonthlyIncome')} AS MonthlyIncome) FROM profile ORDER BY EmployeeID LIMIT 100")
 
+profile_sql("s7_preview_total", "SELECT least(count(*), 100) AS shown, count(*) AS total FROM profile")
+
 # Schema repair and profiling ----------------------------------------------------------------------
 
 RAW_COLUMNS = {
@@ -237,6 +234,12 @@ RAW_COLUMNS = {
 RENAMED = """EmpID, EmployeeCount, Over18, Campus, employee_age AS Age, churned AS Attrition, dept AS Department,
 job_title AS JobRole, joblevel AS JobLevel, Salary AS MonthlyIncome, over_time AS OverTime, tenure AS YearsAtCompany,
 badge_score, free_text"""
+table_sql("p1_column_keys", f"""SELECT c AS "column", trim(regexp_replace(lower(c), '[^a-z0-9]+', '_', 'g'), '_') AS key
+FROM (VALUES {', '.join(f"('{c}')" for c in RAW_COLUMNS)}) v(c)""")
+raw_sql("p7_column_types", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+    ELSE typeof({c}) END AS type FROM (SELECT * FROM profile_raw LIMIT 1)""" for c in RAW_COLUMNS))
+table_sql("p7_no_label_warning", "SELECT * FROM (VALUES ('whole', false), ('without label', true)) v(variant, warned)")
 raw_sql("p2_alias_mapping", f"SELECT {RENAMED} FROM profile_raw")
 raw_sql("p3_two_valued_columns", "SELECT column FROM (" + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(DISTINCT lower(CAST({c} AS VARCHAR))) AS k,
@@ -328,6 +331,17 @@ clean_sql("c12_cleaning_report", "SELECT step, entries, total FROM (" + " UNION
 
 # Features, codes, scaling ----------------------------------------------------------------------------
 
+table_sql("e6_not_fitted_guard", "SELECT true AS raised")
+_NAMES = [
+    "Age", "BusinessTravel", "Department", "DistanceFromHome", "EnvironmentSatisfaction", "Gender", "JobLevel", "JobRole", "JobSatisfaction",
+    "MonthlyIncome", "NumCompaniesWorked", "OverTime", "RelationshipSatisfaction", "TotalWorkingYears", "WorkLifeBalance", "YearsAtCompany",
+    "YearsSinceLastPromotion", "IncomeToLevelRatio", "PromotionLag", "IsTenured", "BurnoutRisk", "OverallSatisfaction", "CareerMobility",
+    "LoyaltyIndex", "DistanceOvertimeRisk",
+]
+table_sql("e8_feature_names", "SELECT CAST(i AS INT) AS position, feature FROM (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(_NAMES)) + ") v(i, feature)")
+profile_sql("q4_column_pick", "SELECT OverTime, EmployeeID, Age FROM profile")
+
 INCOME_RATIO = """coalesce(MonthlyIncome / nullif(quantile_cont(MonthlyIncome, 0.5) OVER (PARTITION BY JobLevel), 0), 1.0::DOUBLE)"""
 ROW_SQL = {
     "PromotionLag": "YearsSinceLastPromotion::DOUBLE / (YearsAtCompany + 1)",
@@ -764,5 +778,27 @@ profile_sql("r2_department_analysis", f"""SELECT Department, count(Attrition) AS
 profile_sql("r3_role_analysis", f"""SELECT JobRole, count(Attrition) AS total, {YES} AS leavers, {_RATE2} AS rate_pct
 FROM profile GROUP BY JobRole ORDER BY rate_pct DESC, JobRole""")
 profile_sql("r4_leavers", LEAVERS)
-scored_sql("r5_riskiest", f"""SELECT EmployeeID, Department, JobRole, Age, {r('MonthlyIncome')} AS MonthlyIncome, YearsAtCompany, OverTime, Attrition, risk_pct
-FROM profile JOIN (SELECT row_id, {r('score * 100', 1)} AS risk_pct FROM scored ORDER BY risk_pct DESC, row_id LIMIT 50) ON EmployeeID = row_id""")
+RISKIEST = f"""SELECT EmployeeID, Department, JobRole, Age, {r('MonthlyIncome')} AS MonthlyIncome, YearsAtCompany, OverTime, Attrition, risk_pct
+FROM profile JOIN (SELECT row_id, {r('score * 100', 1)} AS risk_pct FROM scored ORDER BY risk_pct DESC, row_id LIMIT 50) ON EmployeeID = row_id"""
+scored_sql("r5_riskiest", RISKIEST)
+scored_sql("s4_scored_risk_list_csv", RISKIEST)
+
+
+def _cells(sheet: str, source: str) -> str:
+    item = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in SHEET_KEYS[sheet])
+    return " UNION ALL ".join(
+        f"""SELECT '{sheet}' AS sheet, {item} AS item, '{m}' AS measure, {r(f'CAST("{m}" AS DOUBLE)', 4)} AS value FROM ({source})""" for m in SHEET_MEASURES[sheet]
+    )
+
+
+def _select(name: str) -> str:
+    """The part of a twin after its common table expressions."""
+    return ORACLES[name].removeprefix(f"WITH {PROFILE}").removeprefix("\n")
+
+
+_SHEETS = {
+    "Executive Summary": _select("r1_executive_summary"), "Department Analysis": _select("r2_department_analysis"),
+    "Job Role Analysis": _select("r3_role_analysis"), "High Risk Employees": LEAVERS, "Model Performance": "SELECT * FROM metrics",
+    "Feature Importance": "SELECT feature, avg(abs(shap)) AS importance FROM shap GROUP BY feature",
+}
+ORACLES["s5_report_sheets"] = f"WITH {SHAP}, {METRICS.replace('ranked', 'ranked_scores')}\n" + " UNION ALL ".join(_cells(sheet, source) for sheet, source in _SHEETS.items())

@@ -6,6 +6,7 @@ differ in the last digits.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -22,6 +23,7 @@ from stayscope.operators import (
 from stayscope.operators.neighbours import nearest
 from stayscope.plans import lifecycle, workforce
 from stayscope.plans.preparation import Preparation
+from stayscope.schema import column_key
 from stayscope.session import lookup_table, materialise, scratch_path
 from stayscope.sources import generator, tables
 
@@ -109,19 +111,45 @@ def _(spark, folder):
     return tables.read_csv(spark, path, report.leavers(people).schema)
 
 
+@on_profile("s4_scored_risk_list_csv")
+def _(people):
+    spark = people.sparkSession
+    scores = workforce.scored(people).select(F.col("row_id").alias("EmployeeID"), "score")
+    path = scratch_path(spark, "csv")
+    tables.write_risk_list(people, path, scores)
+    return tables.read_csv(spark, path, report.riskiest(people, scores).schema)
+
+
+SHEET_KEYS = {
+    "Executive Summary": ["metric"], "Department Analysis": ["Department"], "Job Role Analysis": ["JobRole"],
+    "High Risk Employees": ["EmployeeID", "Department", "JobRole", "OverTime", "Attrition"], "Model Performance": ["Model"],
+    "Feature Importance": ["feature"],
+}
+SHEET_MEASURES = {
+    "Executive Summary": ["value"], "Department Analysis": ["total", "leavers", "avg_income", "rate_pct"],
+    "Job Role Analysis": ["total", "leavers", "rate_pct"], "High Risk Employees": ["Age", "MonthlyIncome", "YearsAtCompany"],
+    "Model Performance": ["Accuracy", "Precision", "Recall", "F1-Score", "ROC-AUC", "CV AUC (mean)", "CV AUC (std)"],
+    "Feature Importance": ["importance"],
+}
+
+
 @query("s5_report_sheets")
 def _(spark, folder):
+    """All six sheets as a reader finds them, one row per cell."""
     people = workforce.profile(spark, folder)
     scored = metrics.metrics_table(metrics.evaluate(_model_scores(people)))
-    paths = tables.write_report(people, scratch_path(spark, "report"), scored)
-    counted = [
-        spark.read.parquet(path).agg(F.lit(sheet).alias("sheet"), F.count(F.lit(1)).alias("rows"))
-        for sheet, path in paths.items()
-    ]
-    out = counted[0]
-    for sheet in counted[1:]:
-        out = out.unionByName(sheet)
-    return out
+    importance = explain.global_importance(_explained(people)).withColumnRenamed("mean_abs_shap", "importance")
+    path = scratch_path(spark, "report")
+    tables.write_report(people, path, scored, importance)
+    cells = []
+    for sheet, table in tables.read_report(spark, path).items():
+        item = F.concat_ws("|", *[F.col(c).cast("string") for c in SHEET_KEYS[sheet]])
+        measures = [F.struct(F.lit(m).alias("measure"), F.col(f"`{m}`").cast("double").alias("value")) for m in SHEET_MEASURES[sheet]]
+        cells.append(table.select(F.lit(sheet).alias("sheet"), item.alias("item"), F.explode(F.array(*measures)).alias("m")).select("sheet", "item", "m.*"))
+    out = cells[0]
+    for one in cells[1:]:
+        out = out.unionByName(one)
+    return rounded(out, 4)
 
 
 @query("s6_saved_model")
@@ -144,9 +172,16 @@ def _(people):
     return report.preview(people, "EmployeeID")
 
 
+on_profile("s7_preview_total")(report.preview_total)
+
 # Schema repair and profiling ---------------------------------------------------------------------
 
 
+@on_raw("p1_column_keys")
+def _(raw):
+    return raw.sparkSession.createDataFrame([(c, column_key(c)) for c in raw.columns], "column string, key string")
+
+
 @on_raw("p2_alias_mapping")
 def _(raw):
     return profiling.rename_spellings(raw)
@@ -191,6 +226,23 @@ def _(raw):
     )
 
 
+@on_raw("p7_column_types")
+def _(raw):
+    return profiling.summarise(raw).select("column", "type")
+
+
+@on_raw("p7_no_label_warning")
+def _(raw):
+    """The summary of a table without a label column warns; that of the whole table does not."""
+    rows = []
+    for name, table in (("whole", raw), ("without label", raw.drop("churned", "over_time", "EmployeeCount", "Over18"))):
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            profiling.summarise(table)
+        rows.append((name, any("no label column" in str(w.message) for w in said)))
+    return raw.sparkSession.createDataFrame(rows, "variant string, warned boolean")
+
+
 @on_raw("p8_currency_share")
 def _(raw):
     texts = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -390,6 +442,24 @@ def _(people):
     return encode.align(people.drop("Age", "Gender"), ["Department", "Age", "JobLevel", "MonthlyRate"], ("EmployeeID",))
 
 
+@on_profile("e6_not_fitted_guard")
+def _(people):
+    try:
+        encode.apply_encoding(_keyed(people), None)
+        raised = False
+    except encode.NotFittedError:
+        raised = True
+    return people.sparkSession.createDataFrame([(raised,)], "raised boolean")
+
+
+@on_profile("e8_feature_names")
+def _(people):
+    names = features.feature_columns(encode.extract_label(_keyed(features.engineer(people))))
+    return people.sparkSession.createDataFrame(
+        [(i, c) for i, c in enumerate(c for c in names if c != "label")], "position int, feature string"
+    )
+
+
 @on_raw("e7_prepared_features")
 def _(raw):
     return Preparation().fit_transform(raw).features
@@ -417,6 +487,12 @@ def _(raw):
     )
 
 
+@on_profile("q4_column_pick")
+def _(people):
+    """The wanted columns that the table has, in the wanted order."""
+    return people.select(*report.present(people, ("OverTime", "EmployeeID", "StockOptionLevel", "Age")))
+
+
 @on_profile("j1_department_join")
 def _(people):
     stats = rates.label_rate_by(people, ["Department"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -48,10 +49,41 @@ def write_report(
     df: DataFrame, folder: str, metrics: DataFrame | None = None, importance: DataFrame | None = None,
     generated_at: str | None = None, file_format: str = "parquet",
 ) -> dict[str, str]:
-    """Write every report sheet below ``folder``; returns sheet name to path."""
+    """Write every report sheet below ``folder``; returns sheet name to path.
+
+    A report appears whole or not at all: the sheets go to a folder of this attempt, and the manifest, one small file that
+    names them, is written last. Readers follow the newest manifest, so a failure on the way leaves the
+    report before it as it was.
+    """
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    attempt = f"{folder}/attempt-{uuid.uuid4().hex}"
     paths = {}
     for name, sheet in report_tables(df, metrics, importance, generated_at).items():
         slug = re.sub(r"[^a-z0-9]+", "_", name.lower())
-        paths[name] = f"{folder.rstrip('/')}/{slug}"
+        paths[name] = f"{attempt}/{slug}"
         sheet.write.format(file_format).option("header", True).save(paths[name])
+    earlier = _manifest(spark, folder)
+    number = 1 if earlier is None else (earlier.agg(F.max("report")).first()[0] or 0) + 1
+    rows = [(number, place, name, path, file_format) for place, (name, path) in enumerate(paths.items())]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
     return paths
+
+
+MANIFEST = "report bigint, place int, sheet string, path string, format string"
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(MANIFEST).parquet(path.toString())
+
+
+def read_report(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The sheets of the newest whole report below ``folder``, in order; none if no report was finished."""
+    manifest = _manifest(spark, folder)
+    if manifest is None:
+        return {}
+    newest = manifest.agg(F.max("report")).first()[0]
+    rows = manifest.where(F.col("report") == newest).orderBy("place").collect()
+    return {row["sheet"]: spark.read.format(row["format"]).option("header", True).load(row["path"]) for row in rows}
