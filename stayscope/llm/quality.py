@@ -139,7 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     marks = marks.filter("label in (0, 1) and _key is not null").groupBy("_key").agg(F.min("label").alias("label"), F.max("label").alias("most"))
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     marks = marks.filter("label = most").drop("most")
-    counts = slot_counts(texts.join(marks, "_key").select("text", "label")).toPandas()
+    # the same join at every size: left to itself it is a broadcast for few labels and a sort-merge join beyond
+    counts = slot_counts(texts.join(marks.hint("merge"), "_key").select("text", "label")).toPandas()
     rows = counts[counts.slot == -1]
     good, bad = (int(rows.good.sum()), int(rows.bad.sum()))
     if not good or not bad:
