@@ -143,4 +143,4 @@ def one_per_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     kept = rows.groupBy(group).agg(
         F.min(F.struct(F.col(f"`{id_column}`").isNull().alias("a"), F.col(f"`{id_column}`").alias("b"), F.col(number).alias("c"))).alias("m")
     ).select(F.col("m.c").alias(number))
-    return numbered.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return numbered.join(kept.hint("merge"), number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
