@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayscope.llm import bpe, decontaminate, quality, secrets, simhash
-from stayscope.llm.common import fold, table
+from stayscope.llm.common import fold, small_batches, table
 from stayscope.session import materialise
 
 
@@ -30,6 +30,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints linked at two bits or fewer: that with the smallest id."""
+    small_batches(spark)
     return simhash.one_per_group(docs, words=3, distance=2)
 
 
@@ -40,11 +41,13 @@ def cut_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by a mark."""
+    small_batches(spark)
     return secrets.redact(docs, length_column=_length_column(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, and the digests of the ids and of the bytes that they decode to."""
+    small_batches(spark)
     vocabulary = bpe.public_vocabulary()
     return bpe.decode(bpe.encode(docs, vocabulary), vocabulary, keep=("doc_id", "ids"), digests=True)
 

@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayscope.llm.common import slices
 
-CHUNKS = 300_000
+#: Bytes of chunks and ids that a worker keeps, Python's own cost included.
+KEPT_BYTES = 24 << 20
+ENTRY_BYTES = 200
 BATCH = 20_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"[^\S \n]")
@@ -69,9 +71,19 @@ def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:
     return Vocabulary.load(public_tokenizers.path(name), public_tokenizers.PATTERN)
 
 
+@lru_cache(2)
+def token_bytes(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes of each id; all that decoding needs."""
+    ranks = read_ranks(list(vocabulary.lines))
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 @lru_cache(2)
 def codec(vocabulary: Vocabulary):
-    """The tokenizer and the bytes of each id, built once in a worker."""
+    """The tokenizer and the length of each id's bytes, built once in a worker that encodes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
@@ -83,8 +95,9 @@ def codec(vocabulary: Vocabulary):
         for cut in range(1, len(token)):
             left, right = token[:cut], token[cut:]
             if left in ranks and right in ranks:
-                pairs.append((rank, ranks[left], ranks[right], shown[left], shown[right]))
-    merges = [(left, right) for *_, left, right in sorted(pairs)]
+                pairs.append((rank, ranks[left], ranks[right]))
+    table = token_bytes(vocabulary)
+    merges = [(shown[table[left]], shown[table[right]]) for _, left, right in sorted(pairs)]
     model = models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True, cache_capacity=50_000)
     tokenizer = Tokenizer(model)
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([
@@ -92,10 +105,7 @@ def codec(vocabulary: Vocabulary):
         pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
     ])
     tokenizer.encode_special_tokens = True
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return tokenizer, table, np.array([len(t) for t in table], np.int64)
+    return tokenizer, np.array([len(t) for t in table], np.int64)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -111,8 +121,9 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
     tokenizer, kept = codec(vocabulary)[0], _chunk_ids(vocabulary)
     cut = [chunks_of(t) for t in texts]
     new = set().union(*cut).difference(kept)
-    if len(kept) + len(new) > CHUNKS:
+    if kept.bytes > KEPT_BYTES:
         kept.clear()
+        kept.bytes = 0
         new = set().union(*cut)
     letters, model, other = _byte_translation(), tokenizer.model, []
     pieces: dict[str, bytes] = {}
@@ -130,6 +141,7 @@ def encode_texts(texts: list[str], vocabulary: Vocabulary) -> list[np.ndarray]:
     for at in range(0, len(other), BATCH):
         part = other[at: at + BATCH]
         kept.update(zip(part, [_packed(e.ids) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+    kept.bytes += sum(ENTRY_BYTES + len(chunk) + len(kept[chunk]) for chunk in new)
     return [np.frombuffer(b"".join(map(kept.__getitem__, chunks)), np.int32) for chunks in cut]
 
 
@@ -142,9 +154,15 @@ def _byte_translation() -> dict[int, str]:
     return dict(enumerate(byte_characters()))
 
 
+class _Kept(dict):
+    """Packed ids by chunk, and about how many bytes they fill."""
+
+    bytes = 0
+
+
 @lru_cache(2)
-def _chunk_ids(vocabulary: Vocabulary) -> dict[str, bytes]:
-    return {}
+def _chunk_ids(vocabulary: Vocabulary) -> _Kept:
+    return _Kept()
 
 
 def offsets(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +193,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        sizes = codec(vocabulary)[2]
+        sizes = codec(vocabulary)[1]
         for part in slices(batches, "_text", 2 << 20):
             texts = [t or "" for t in part.column("_text").to_pylist()]
             ids = encode_texts(texts, vocabulary)
@@ -200,7 +218,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tupl
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(shared.value)[1]
+        table = token_bytes(shared.value)
         names = list(map(str, range(len(table))))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -149,7 +149,7 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, tiny, odd, none):
 
 def test_split_characters_decode_to_replacements():
     vocabulary = bpe.public_vocabulary()
-    table = bpe.codec(vocabulary)[1]
+    table = bpe.token_bytes(vocabulary)
     ids = bpe.encode_texts(["🫠"], vocabulary)[0]
     assert len(ids) > 1 and bpe.decode_bytes(ids, table) == "🫠".encode()
     assert bpe.decode_bytes(ids[:1], table).decode("utf-8", "replace") == "�"
