@@ -35,8 +35,14 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return [w for w in _LETTERS.findall(text.lower()) if w[0].isalpha()]
+    """Runs of letters, lower-cased. Numbers that are not digits (a fraction, a Roman numeral sign) end a run."""
+    out: list[str] = []
+    for run in _LETTERS.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
 
 
 def grams_of(word: str, order: int) -> list[str]:
