@@ -235,7 +235,9 @@ def read_packages(packages: DataFrame, column: str = "package") -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return packages.select(F.col(f"`{column}`").alias("package")).repartition("package").mapInArrow(run, RECORD).select(*names)
+    uris = packages.select(F.col(f"`{column}`").alias("package"))
+    # names are tiny: without a count, run-time merging of partitions would leave all packages to one task
+    return uris.repartition(max(1, uris.count()), "package").mapInArrow(run, RECORD).select(*names)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, same_from: int = SAME_FROM) -> DataFrame:
