@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stayscope.llm.common import slices
 
 #: Bytes of chunks and ids that a worker keeps, Python's own cost included.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 64 << 20
 ENTRY_BYTES = 200
 BATCH = 20_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")

@@ -306,3 +306,46 @@ def test_variants_of_awkward_rows(odd, none):
     assert variants.group_variants(none).count() == 0
     got = rows_of(variants.group_variants(odd), "word", "form", "root", "n", "n_near", "form_n")
     assert sorted(got, key=repr) == sorted(brute_variants(rows_of(odd, "doc_id", "text")), key=repr)
+
+
+# ---- mends of earlier operators
+
+
+def test_number_signs_end_a_run_of_letters():
+    from stayscope.llm import language
+
+    assert language.words_of("½cup of x²y, Ⅷth 3rd naïve") == ["cup", "of", "x", "y", "th", "rd", "naïve"]
+
+
+def test_a_text_that_begins_with_a_fraction_has_a_language(spark):
+    from stayscope.llm import language
+
+    docs = spark.createDataFrame([(1, "a cup of tea", "en"), (2, "une tasse de thé", "fr")] * 5, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    asked = spark.createDataFrame([(1, "½cup", None), (2, "½ 3", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(asked, model, keep=("doc_id",)).collect()}
+    assert got[1] in ("en", "fr") and got[2] == "und"
+
+
+def test_ends_outside_the_listed_words_are_counted(spark, monkeypatch):
+    """Texts so long that their ends are rarer than the listed words."""
+    from stayscope.llm import mixing
+
+    monkeypatch.setattr(mixing, "VOCABULARY", 2)
+    texts = ["one two " * 40 + "three", "one two " * 30 + "four four"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = collections.Counter(w for t in texts for w in [*t.split(), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    for r in mixing.score(docs, F.lit(True)).collect():
+        tokens = [*texts[r.doc_id].split(), "\n"]
+        assert r.n_known == r.n_tokens == len(tokens) and r.train_tokens == n
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
+
+
+def test_packages_are_read_by_many_tasks(spark):
+    from stayscope.llm import archive
+
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 50) for i in range(60)], "page_id long, url string, html string")
+    packages = archive.archive_pages(pages.repartition(6, "page_id"))
+    read = archive.read_packages(packages)
+    assert packages.count() > 1 and read.rdd.getNumPartitions() == packages.count() and read.count() == 60
