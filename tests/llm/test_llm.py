@@ -436,6 +436,61 @@ def test_vector_search_recall_and_ties(spark):
     assert neighbours.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def exact_neighbours(rows, queries, k):
+    """Each query's (id, score), best first, among the rows of its length with another id."""
+    out = {}
+    for q in queries:
+        scores = {}
+        for i, v in rows:
+            for own, w in rows:
+                if own == q and i != q and len(v) == len(w):
+                    scores[i] = max(scores.get(i, -math.inf), float(np.dot(v, w)))
+        out[q] = sorted(scores.items(), key=lambda p: (-p[1], p[0]))[:k]
+    return out
+
+
+def test_vector_search_by_length_and_by_several_vectors_of_a_key(spark):
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.integers(-9, 9, 4 + i % 2).astype(float).tolist()) for i in range(120)]
+    rows += [(0, [1.0, 2.0, 3.0, 4.0]), (0, [1.0, 0.0, 3.0, 4.0, 5.0]), (500, [7.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(frame, F.col("vec_id") % 10 == 0, k=5, recall=1.0, list_rows=1_000)
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {q: e for q, e in exact_neighbours(rows, range(0, 120, 10), 5).items() if e}
+
+
+def test_vector_search_in_rounds_equals_one_list(spark):
+    draw = np.random.default_rng(6)
+    points = draw.normal(size=(1500, 6)).astype(np.float32)
+    points[700:1200] = points[700]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<float>")
+    one = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, k=7, list_rows=10_000).collect()
+    many = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, k=7, recall=1.0, list_rows=20).collect()
+    exact = {(r.query_id, r["rank"], r.vec_id) for r in one}
+    assert len(exact) == 75 * 7 and len(exact & {(r.query_id, r["rank"], r.vec_id) for r in many}) >= 0.98 * len(exact)
+
+
+def test_lists_prune_where_vectors_form_clusters():
+    draw = np.random.default_rng(7)
+    points = np.repeat(draw.normal(size=(100, 32)), 60, axis=0) + 0.2 * draw.normal(size=(6000, 32))
+    radius = float(np.linalg.norm(points, axis=1).max())
+    index = neighbours.build_index(points, len(points), radius).measured(points, 20)
+    lists = index.lists(points)
+    assert max(map(len, lists)) > 1 and all(len(set(row)) == len(row) <= neighbours.REPLICAS for row in lists)
+    members = np.bincount([c for row in lists for c in row], minlength=len(index.centroids))
+    asked = range(0, len(points), 60)
+    probes = {q: index.probe(points[q]) for q in asked}
+    assert sum(members[p].sum() for p in probes.values()) < 0.15 * len(points) * len(probes)
+    hits = 0
+    for q, read in probes.items():
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        hits += sum(bool(set(lists[j]) & set(read)) for j in np.argsort(-scores)[:20])
+    assert hits >= 0.93 * 20 * len(probes)
+
+
 def test_pipeline_stages(spark, odd, none):
     for frame in (odd, none):
         docs = frame
