@@ -5,14 +5,17 @@ streaming a document's words through it gives, at each word, the longest match w
 match of ``window`` words or more is an occurrence of a test window; an item of fewer words is one
 window of its own.
 
-The automaton is broadcast. Its size is checked first: items are dealt into blocks of about
-``BLOCK_CHARS`` characters, and the documents pass one block after the other, carrying what they hit so
-far, so the broadcast is bounded however large the benchmark is. Documents are never shuffled.
+Equal items are made distinct and long ones cut into pieces of ``PIECE_WORDS`` words that overlap by a window less a word, so no
+window is lost. Pieces are dealt into blocks of about ``BLOCK_CHARS`` characters. Tasks build a block's automaton and write it to a
+table in the shared folder. The driver then holds and broadcasts one automaton at a time, and the documents pass one block after the
+other, carrying what they hit so far, so driver and broadcast are bounded however large the benchmark or an item is. Documents are
+never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +29,7 @@ from stayscope.session import materialise
 
 WINDOW = 10
 BLOCK_CHARS = 1 << 20
+PIECE_WORDS = 2_048
 STATE = "_hits array<bigint>, _items array<string>, _n_words bigint, _longest bigint"
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _TABLE = bytes(
@@ -154,25 +158,48 @@ def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Automat
     return out
 
 
-def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> Iterator[Automaton]:
-    """Automata of the items, each of about BLOCK_CHARS characters. A null id counts as the empty id."""
+def pieces_of(words: list[bytes], window: int) -> list[list[bytes]]:
+    """Pieces of at most PIECE_WORDS words (a window, if that is more) that hold all windows of the words; none without words."""
+    step = max(1, PIECE_WORDS - window + 1)
+    last = max(1, len(words) - window + 1) if words else 0
+    return [words[at: at + step + window - 1] for at in range(0, last, step)]
+
+
+def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """A written table (block, automaton) with the automata of the items, their fields pickled. A null id counts as the empty id."""
     items = benchmark.select(
-        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").cast("string").alias("words")
-    ).filter("words is not null")
-    chars = items.agg(F.sum(F.length("words"))).first()[0] or 0
-    count = max(1, math.ceil(chars / BLOCK_CHARS))
-    for block in range(count):
-        part = items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == block)
-        yield build([(r.item, words_of(r.words.encode())) for r in part.collect()], window)
+        F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").cast("string").alias("text")
+    ).filter("text is not null").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            held = [
+                (name, b" ".join(piece)) for name, value in zip(part.column("item").to_pylist(), utf8(part.column("text")))
+                for piece in pieces_of(words_of(value), window)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name for name, _ in held], pa.string()), pa.array([piece for _, piece in held], pa.binary())], names=["item", "words"]
+            )
+
+    pieces = materialise(items.mapInArrow(cut, "item string, words binary").distinct(), "items")
+    count = max(1, math.ceil((pieces.agg(F.sum(F.length("words"))).first()[0] or 0) / BLOCK_CHARS))
+
+    def one(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        named = zip(rows.column("item").to_pylist(), rows.column("words").to_pylist())
+        built = build([(name, words.split()) for name, words in named], window)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "automaton": pa.array([pickle.dumps(vars(built))], pa.binary())})
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(count)).cast("bigint"))
+    return materialise(dealt.groupBy("block").applyInArrow(one, "block bigint, automaton binary"), "automata")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               window: int = WINDOW) -> DataFrame:
+               window: int = WINDOW, built: DataFrame | None = None) -> DataFrame:
     """``docs`` plus ``_hits`` (numbers of the hit words, from 0), ``_items`` (sorted ids), ``_n_words``, ``_longest``.
 
-    ``_longest`` is the longest match that reaches the shortest window, else 0. Null and empty
+    ``_longest`` is the longest match with a piece of an item that reaches the shortest window, else 0. Null and empty
     texts have no words and no hits; repeated rows stay repeated; an empty benchmark hits nothing.
-    Other columns pass through, whatever their names.
+    Other columns pass through, whatever their names. ``built`` is the table of ``automata`` where it was made before.
     """
     spark, given = docs.sparkSession, docs.columns
     inner = [f"_c{i}" for i in range(len(given))]
@@ -182,9 +209,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         "_n_words": F.lit(0).cast("bigint"), "_longest": F.lit(0).cast("bigint"),
     })
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in out.dtypes[: len(inner)]), STATE])
-    automata = list(blocks_of(benchmark, item_id, item_text, window))
-    for number, automaton in enumerate(automata):
-        shared = spark.sparkContext.broadcast(automaton)
+    built = automata(benchmark, item_id, item_text, window) if built is None else built
+    blocks = sorted(r.block for r in built.select("block").collect()) or [None]  # a number per block
+    for number, block in enumerate(blocks):
+        held = build([], window) if block is None else Automaton(**pickle.loads(built.filter(F.col("block") == block).first().automaton))
+        shared = spark.sparkContext.broadcast(held)
+        del held
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
@@ -205,8 +235,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 )
 
         out = out.mapInArrow(run, schema)
-        if number < len(automata) - 1:
+        if number < len(blocks) - 1:
             out = materialise(out, "decontaminate")
+            shared.destroy()
     return out.toDF(*given, "_hits", "_items", "_n_words", "_longest")
 
 
@@ -237,9 +268,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     number = given.index(text)
     cut = F.pandas_udf(lambda texts, hits: texts.combine(hits, lambda t, h: cut_words(t, list(h))), "string")
 
+    built = automata(benchmark, window=window)
+
     def scanned(part: DataFrame) -> DataFrame:
         names = [f"_c{i}" for i in range(len(given))]
-        found = find_items(part, benchmark, text, window=window).toDF(*names, "_hits", "_items", "_n", "_longest")
+        found = find_items(part, benchmark, text, window=window, built=built).toDF(*names, "_hits", "_items", "_n", "_longest")
         value, hit = F.col(names[number]), F.size("_hits") > 0
         new = F.when(hit, cut(value, F.col("_hits"))).otherwise(value)
         columns = []

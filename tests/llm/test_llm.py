@@ -264,6 +264,42 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert sorted(map(str, decontaminate.find_items(docs, items).drop("_longest").collect())) == whole
 
 
+def brute_hits(docs, items, window):
+    """{doc: (hit words, items)} by comparing every run of every document with every window."""
+    names = collections.defaultdict(set)
+    for name, text in items:
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        size = min(window, len(found))
+        for k in range(len(found) - size + 1) if found else ():
+            names[tuple(found[k: k + size])].add(name)
+    out = {}
+    for doc, text in docs:
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        hits, which = set(), set()
+        for size in {len(w) for w in names}:
+            for k in range(len(found) - size + 1):
+                if (w := tuple(found[k: k + size])) in names:
+                    hits |= set(range(k, k + size))
+                    which |= names[w]
+        out[doc] = (sorted(hits), sorted(which))
+    return out
+
+
+def test_huge_and_repeated_items_are_cut_and_met_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 16)
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4_000)
+    huge = prose(600, 21).split()
+    items = [("huge", " ".join(huge))] + [("copy", "One two, three four")] * 300 + [("copy", prose(30, 22)), ("none", None), ("only", prose(9, 23))]
+    docs = [(i, " ".join(["left", *huge[at: at + n], "right"])) for i, (at, n) in enumerate([(0, 10), (7, 9), (3, 40), (590, 10), (0, 600), (100, 25)])]
+    docs += [(10, "x one two three four y"), (11, prose(9, 23)), (12, prose(30, 22)[5:]), (13, None)]
+    found = decontaminate.find_items(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string").repartition(5)
+    ).collect()
+    assert {r.doc_id: (r["_hits"], r["_items"]) for r in found} == brute_hits(docs, items, 10)
+    pieces = decontaminate.automata(spark.createDataFrame(items, "item_id string, text string"))
+    assert pieces.count() > 1 and pieces.select("block").distinct().count() == pieces.count()
+
+
 def test_archive_round_trip(spark, none):
     page = "<html>" + "ü" * 600 + "</html>"
     rows = [(1, "http://a/\r\nx", page), (2, None, page), (3, "http://c", "small"), (4, "http://d", "small"), (5, "e", None), (None, "f", page), (2, None, page)]
