@@ -194,12 +194,13 @@ def automata(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-               window: int = WINDOW, built: DataFrame | None = None) -> DataFrame:
+               window: int = WINDOW, built: DataFrame | None = None, cut: bool = False) -> DataFrame:
     """``docs`` plus ``_hits`` (numbers of the hit words, from 0), ``_items`` (sorted ids), ``_n_words``, ``_longest``.
 
     ``_longest`` is the longest match with a piece of an item that reaches the shortest window, else 0. Null and empty
     texts have no words and no hits; repeated rows stay repeated; an empty benchmark hits nothing.
     Other columns pass through, whatever their names. ``built`` is the table of ``automata`` where it was made before.
+    With ``cut`` the pass of the last block also takes the hit words out of the texts, as ``cut_words`` does.
     """
     spark, given = docs.sparkSession, docs.columns
     inner = [f"_c{i}" for i in range(len(given))]
@@ -215,8 +216,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         held = build([], window) if block is None else Automaton(**pickle.loads(built.filter(F.col("block") == block).first().automaton))
         shared = spark.sparkContext.broadcast(held)
         del held
+        cutting = cut and number == len(blocks) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, cutting=cutting) -> Iterator[pa.RecordBatch]:
             automaton = shared.value
             for part in slices(batches, at):
                 hits, items, sizes, longest = [], [], [], []
@@ -228,8 +230,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                     items.append(sorted(new_items.union(old_items)))
                     sizes.append(len(words))
                     longest.append(max(new_longest, old_longest))
+                columns, place = part.columns[: len(inner)], inner.index(at)
+                if cutting and any(map(len, hits)):
+                    texts = [cut_words(t, h.tolist()) for t, h in zip(columns[place].to_pylist(), hits)]
+                    columns[place] = pa.array(texts, columns[place].type)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(inner)], pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
+                    [*columns, pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())),
                      pa.array(sizes, pa.int64()), pa.array(longest, pa.int64())],
                     names=[*inner, "_hits", "_items", "_n_words", "_longest"],
                 )
@@ -266,22 +272,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     """
     given = docs.columns
     number = given.index(text)
-    cut = F.pandas_udf(lambda texts, hits: texts.combine(hits, lambda t, h: cut_words(t, list(h))), "string")
-
     built = automata(benchmark, window=window)
 
     def scanned(part: DataFrame) -> DataFrame:
         names = [f"_c{i}" for i in range(len(given))]
-        found = find_items(part, benchmark, text, window=window, built=built).toDF(*names, "_hits", "_items", "_n", "_longest")
-        value, hit = F.col(names[number]), F.size("_hits") > 0
-        new = F.when(hit, cut(value, F.col("_hits"))).otherwise(value)
-        columns = []
+        found = find_items(part, benchmark, text, window=window, built=built, cut=True).toDF(*names, "_hits", "_items", "_n", "_longest")
+        hit, columns = F.size("_hits") > 0, []
         for i, name in enumerate(given):
             column = F.col(names[i])
-            if i == number:
-                column = new
-            elif name == length_column:
-                column = F.when(hit, F.length(new)).otherwise(column).cast(part.schema[i].dataType)
+            if name == length_column:
+                column = F.when(hit, F.length(names[number])).otherwise(column).cast(part.schema[i].dataType)
             columns.append(column.alias(name))
         kept = found.filter(~hit | (F.size("_hits") <= coverage * F.col("_n")))
         return materialise(kept.select(*columns, hit.alias("_cut")), "decontaminated")
