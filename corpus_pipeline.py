@@ -48,8 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, and the digests of the ids and of the bytes that they decode to."""
     small_batches(spark)
-    vocabulary = bpe.public_vocabulary()
-    return bpe.decode(bpe.encode(docs, vocabulary), vocabulary, keep=("doc_id", "ids"), digests=True)
+    return bpe.round_trip(docs, bpe.public_vocabulary())
 
 
 STAGES = [

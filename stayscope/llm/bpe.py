@@ -206,6 +206,40 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tu
     return kept.mapInArrow(run, schema)
 
 
+def _digests(lists: list[np.ndarray], raw: list[bytes], names: list[str]) -> list[pa.Array]:
+    """``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of ids and the bytes that they decode to."""
+    return [
+        pa.array([len(v) for v in lists], pa.int64()),
+        pa.array([hashlib.sha256(",".join([names[i] for i in v.tolist()]).encode()).hexdigest() for v in lists], pa.string()),
+        pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
+    ]
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, ``ids``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the encoded and decoded texts.
+
+    What ``decode`` with ``digests`` gives for the rows of ``encode``, in one pass: chained, they would take two workers a
+    task, and as workers are pooled each of them would come to hold a tokenizer and a cache. Odd rows as in ``encode``.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
+    extra = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = ", ".join([
+        *(f"`{c}` {kind}" for c, kind in kept.dtypes[:-1]), "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    ])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        table = token_bytes(vocabulary)
+        names = list(map(str, range(len(table))))
+        for part in slices(batches, "_text", 2 << 20):
+            ids = encode_texts([t or "" for t in part.column("_text").to_pylist()], vocabulary)
+            columns = [pa.array(ids, pa.list_(pa.int32())), *_digests(ids, [decode_bytes(v, table) for v in ids], names)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], *extra])
+
+    return kept.mapInArrow(run, schema)
+
+
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
     """The ``keep`` columns, ``raw`` (the decoded bytes) and ``decoded`` (as text, split characters replaced).
 
@@ -226,11 +260,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tupl
                 lists = [np.asarray(v if v is not None else [], np.int64) for v in part.column("_ids").to_numpy(zero_copy_only=False)]
                 raw = [decode_bytes(v, table) for v in lists]
                 if digests:
-                    columns = [
-                        pa.array([len(v) for v in lists], pa.int64()),
-                        pa.array([hashlib.sha256(",".join([names[i] for i in v.tolist()]).encode()).hexdigest() for v in lists]),
-                        pa.array([hashlib.sha256(r).hexdigest() for r in raw]),
-                    ]
+                    columns = _digests(lists, raw, names)
                     fields = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 else:
                     columns = [pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw])]

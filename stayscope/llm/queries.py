@@ -82,9 +82,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_byte_bpe")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    vocabulary = bpe.public_vocabulary()
-    ids = bpe.encode(table(spark, folder, "documents"), vocabulary)
-    return bpe.decode(ids, vocabulary, digests=True)
+    return bpe.round_trip(table(spark, folder, "documents"), bpe.public_vocabulary()).drop("ids")
 
 
 @query("op1_vector_search")

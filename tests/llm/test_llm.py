@@ -144,7 +144,11 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, tiny, odd, none):
                 assert text[: r.char_start[i]] == text.encode()[:start].decode("utf-8", "ignore")
         for r in bpe.decode(ids.select("doc_id", "text", "ids"), vocabulary, keep=("text",)).collect():
             assert (r.raw or b"").decode() == r.decoded == (r.text or "")
-    assert bpe.encode(none, vocabulary).count() == 0
+        apart = bpe.decode(bpe.encode(frame, vocabulary), vocabulary, keep=("doc_id", "ids"), digests=True)
+        together = bpe.round_trip(frame, vocabulary)
+        assert together.columns == apart.columns
+        assert sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    assert bpe.encode(none, vocabulary).count() == bpe.round_trip(none, vocabulary).count() == 0
 
 
 def test_split_characters_decode_to_replacements():
