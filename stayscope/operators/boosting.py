@@ -2,8 +2,8 @@
 
 Spark ML draws columns anew for every node. Here a tree sees one draw: its rows and columns are fixed before it grows.
 Features are binned once; for each level of a tree the tasks add up gradient histograms of their rows, the sums are
-merged on the way to the driver, and only nodes x columns x bins numbers arrive there. Rows stay in packed blocks
-in the shared folder and are kept by the executors between passes; a lost executor reads them again.
+merged and searched node by node in the executors, and only each node's best cut reaches the driver. Rows stay in packed
+blocks in the shared folder and are kept by the executors between passes; a lost executor reads them again.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from stayscope.session import materialise
 
 BLOCK_ROWS = 65_536
 BINS = 64
-#: Trees after which the rows' margins are written anew; later trees are applied on the fly until then.
+#: Trees after which the rows' margins are written anew; until then the executors keep those that the last tree moved.
 REBASE = 20
+#: Up to so many partitions send their histograms to the driver: a pass then needs no exchange.
+DIRECT = 2
 NODES = T.StructType([
     T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()), T.StructField("feature", T.IntegerType()),
     T.StructField("threshold", T.DoubleType()), T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
@@ -203,31 +205,37 @@ class BoostedTreesClassifier:
         blocks = materialise(_blocks(table.coalesce(max(1, -(-table.count() // BLOCK_ROWS))), cuts), "boosting-blocks")
         model = BoostedTrees([], width, self.depth)
         held = _held(blocks)
+        before = None
         draw, based = np.random.default_rng(self.seed), 0
         for number in range(self.rounds):
             drawn = sorted(draw.choice(width, max(1, round(self.columns * width)), replace=False).tolist())
-            model.trees.append(self._grow(held, model.trees[based:], number, drawn, cuts))
-            if number + 1 - based == REBASE and number + 1 < self.rounds:
+            model.trees.append(self._grow(held, number, drawn, cuts))
+            if before is not None:  # the margins it led to have been read by now
+                before.unpersist()
+            if number + 1 == self.rounds:
+                break
+            if number + 1 - based == REBASE:
                 parts = held.getNumPartitions()
                 blocks = materialise(_moved(blocks, model.trees[based:], self.depth), "boosting-blocks").coalesce(parts)
                 held.unpersist()
-                held, based = _held(blocks), number + 1
+                before, held, based = None, _held(blocks), number + 1
+            else:
+                before, held = held, _after(held, model.trees[-1], self.depth)
         held.unpersist()
         return model
 
-    def _grow(self, held: RDD, recent: list[Tree], number: int, drawn: list[int], cuts: list[np.ndarray]) -> Tree:
+    def _grow(self, held: RDD, number: int, drawn: list[int], cuts: list[np.ndarray]) -> Tree:
         tree = Tree(drawn)
         # the drawn columns' bins lie side by side: column j has those from ends[j] on
         ends = np.cumsum([0, *(len(cuts[feature]) + 1 for feature in drawn)])
         open_ = [tree.add(0.0, 0.0)]
         for level in range(self.depth):
-            sums = self._histograms(held, recent, tree, open_, number, level, ends)
+            found = self._cuts_of(held, tree, open_, number, level, ends)
             opened = []
             for at, node in enumerate(open_):
-                total = sums[at, : ends[1]].sum(axis=0)
+                total, gain, cell, lower = found[at]
                 if level == 0:
                     tree.value[node], tree.cover[node] = self._leaf(*total), float(total[1])
-                gain, cell, lower = self._best(sums[at], total, ends)
                 if gain <= 1e-12:
                     continue
                 children = [tree.add(self._leaf(*side), float(side[1])) for side in (lower, total - lower)]
@@ -260,18 +268,30 @@ class BoostedTreesClassifier:
         cell = int(gain.argmax())
         return float(gain[cell]), cell, below[cell]
 
-    def _histograms(
-        self, held: RDD, recent: list[Tree], tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray
-    ) -> np.ndarray:
-        """Gradient and curvature by open node and bin, over the drawn rows of all blocks."""
+    def _cuts_of(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> dict[int, tuple]:
+        """By place among the open nodes: their sums, and their best cut, over the drawn rows of all blocks."""
+        parts = self._histograms(held, tree, open_, number, level, ends)
+
+        def search(sums: np.ndarray) -> tuple:
+            total = sums[: ends[1]].sum(axis=0)
+            return total, *self._best(sums, total, ends)
+
+        if held.getNumPartitions() <= DIRECT:
+            return dict(enumerate(map(search, parts.reduce(np.add))))
+        # one histogram a node, merged where it is searched; a few nodes a task, as starting tasks takes longer than searching
+        merged = parts.flatMap(enumerate).reduceByKey(np.add, -(-len(open_) // 8))
+        return merged.mapValues(search).collectAsMap()
+
+    def _histograms(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> RDD:
+        """Per partition, gradient and curvature by open node and bin over the drawn rows of its blocks."""
         slot = np.full(len(tree.value), -1)
         slot[open_] = np.arange(len(open_))
-        nodes, cells, drawn, depth, sample = len(open_), int(ends[-1]), tree.drawn, self.depth, self.sample
+        nodes, cells, drawn, sample = len(open_), int(ends[-1]), tree.drawn, self.sample
 
         def add_up(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
             sums = np.zeros((nodes, cells, 2))
             for bins, label, weight, draws, margin in blocks:
-                p = 1.0 / (1.0 + np.exp(-margin - _sum_of(recent, bins, depth)))
+                p = 1.0 / (1.0 + np.exp(-margin))
                 at = slot[tree.places(bins, tree.bin, level)]
                 rows = np.flatnonzero((at >= 0) & (_noise(draws, number) < sample))
                 cell = (at[rows] * cells + ends[:-1, None] + bins[drawn][:, rows]).ravel()
@@ -279,10 +299,7 @@ class BoostedTreesClassifier:
                     sums[:, :, k] += np.bincount(cell, np.tile(amount[rows], len(drawn)), nodes * cells).reshape(nodes, cells)
             yield sums
 
-        parts = held.mapPartitions(add_up)
-        if held.getNumPartitions() > 32:  # merge on the executors first
-            return parts.treeReduce(np.add, depth=3)
-        return parts.reduce(np.add)
+        return held.mapPartitions(add_up)
 
 
 def _sum_of(trees: list[Tree], bins: np.ndarray, depth: int) -> np.ndarray:
@@ -341,6 +358,16 @@ def _held(blocks: DataFrame) -> RDD:
     return blocks.rdd.map(_unpacked).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _after(held: RDD, tree: Tree, depth: int) -> RDD:
+    """Kept blocks with the margins after one more tree, kept as well."""
+
+    def move(block: tuple) -> tuple:
+        *kept, margin = block
+        return *kept, margin + _sum_of([tree], block[0], depth)
+
+    return held.map(move).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _moved(blocks: DataFrame, trees: list[Tree], depth: int) -> DataFrame:
     """Blocks with the margins after ``trees``."""
 

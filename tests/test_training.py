@@ -209,3 +209,17 @@ def test_cancelling_stops_running_jobs_of_the_group(spark):
     began = time.time()
     results, errors = ML.side_by_side(spark, {("a", 1): slow, ("a", 2): fails, ("b", 1): lambda: spark.range(7).count()}, 3)
     assert time.time() - began < 20 and results == {("b", 1): 7} and list(errors) == ["a"]
+
+
+def test_histograms_of_many_partitions_stay_off_the_driver(spark, data, model, monkeypatch):
+    """Each node's histogram is merged and searched in the executors: no sum of all partitions is fetched."""
+    from pyspark import RDD
+
+    def fetch(*_):
+        raise AssertionError("histograms were sent to the driver")
+
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(RDD, "reduce", fetch)
+    monkeypatch.setattr(RDD, "treeReduce", fetch)
+    again = BoostedTreesClassifier(rounds=5, depth=3, step=0.2).fit(table(spark, parts=7)[2])
+    assert np.allclose(again.margins(data[0]), BoostedTrees(model.trees[:5], 6, 3).margins(data[0]), atol=1e-9)
