@@ -18,6 +18,8 @@ from stayscope.operators.boosting import BoostedTrees
 from stayscope.session import scratch_path
 
 BLOCK_CELLS = 1 << 21
+#: Leaves x rows that look their cases up at a time.
+CASE_CELLS = 1 << 16
 
 
 @dataclass
@@ -42,29 +44,60 @@ class LeafGroup:
     def add(self, x: np.ndarray, phi: np.ndarray) -> None:
         """Add the attributions of these leaves for the rows ``x`` to ``phi``.
 
-        The Shapley weights of a product game are an integral over t in [0, 1] of the other features' factors
-        share * (1 - t) + met * t. It is a polynomial of degree d - 1, so Gauss-Legendre quadrature with half
-        as many points is exact: the work is leaves x d^2 for any depth, in blocks of bounded size.
+        They depend only on which of a leaf's features a row meets. Where that leaves fewer cases than there are rows,
+        each case is computed once and rows look theirs up.
         """
         d = self.features.shape[1]
-        points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
-        step = max(1, BLOCK_CELLS // (len(x) * d))
+        cases = 1 << d if d < 32 and 1 << d <= len(x) else 0
+        step = max(1, BLOCK_CELLS // ((cases or len(x)) * d))
         for at in range(0, len(self.value), step):
-            used, share = self.features[at: at + step], self.share[at: at + step]
-            seen = x[:, used]
-            met = ((seen > self.low[at: at + step]) & (seen <= self.high[at: at + step])).astype(float)
-            total = np.zeros_like(met)
-            for t, weight in zip((points + 1) / 2, weights / 2):
-                factor = share * (1 - t) + met * t
-                before, after = np.ones_like(factor), np.ones_like(factor)
-                before[..., 1:] = np.cumprod(factor[..., :-1], axis=-1)
-                after[..., :-1] = np.cumprod(factor[..., :0:-1], axis=-1)[..., ::-1]
-                total += weight * before * after
-            gain = ((met - share) * total * self.value[at: at + step, None]).reshape(len(x), -1)
-            flat = used.ravel()
+            some = slice(at, at + step)
+            if cases:
+                self._add_by_case(x, phi, some)
+                continue
+            seen = x[:, self.features[some]]
+            met = ((seen > self.low[some]) & (seen <= self.high[some])).astype(float)
+            gain = (_gains(self.share[some], met) * self.value[some, None]).reshape(len(x), -1)
+            flat = self.features[some].ravel()
             for feature in np.unique(flat):
                 phi[:, feature] += gain[:, flat == feature].sum(axis=1)
 
+    def _add_by_case(self, x: np.ndarray, phi: np.ndarray, some: slice) -> None:
+        used, low, high, value = self.features[some], self.low[some], self.high[some], self.value[some]
+        leaves, d = used.shape
+        met = (np.arange(1 << d)[:, None, None] >> np.arange(d) & 1).astype(float)
+        # by place on the path: leaf and case to gain, and leaf to feature
+        gains = np.ascontiguousarray((_gains(self.share[some], np.repeat(met, leaves, axis=1)) * value[:, None]).transpose(2, 1, 0)).reshape(d, -1)
+        owner = (np.arange(x.shape[1])[:, None, None] == used.T).astype(float)
+        rows = max(1, CASE_CELLS // leaves)
+        for start in range(0, len(x), rows):
+            columns = np.ascontiguousarray(x[start: start + rows].T)
+            bits = np.zeros((leaves, columns.shape[1]), np.uint32)
+            for j in range(d):
+                seen = columns[used[:, j]]
+                bits |= ((seen > low[:, j, None]) & (seen <= high[:, j, None])).astype(np.uint32) << np.uint32(j)
+            case = (np.arange(leaves) << d)[:, None] + bits
+            for j in range(d):
+                phi[start: start + rows] += (owner[:, j] @ gains[j].take(case)).T
+
+
+def _gains(share: np.ndarray, met: np.ndarray) -> np.ndarray:
+    """Shapley values of the product games: leaves x features of shares, cases x leaves x features of what is met.
+
+    The weights of a product game are an integral over t in [0, 1] of the other features' factors
+    share * (1 - t) + met * t. It is a polynomial of degree d - 1, so Gauss-Legendre quadrature with half
+    as many points is exact: the work is leaves x d^2 for any depth, in blocks of bounded size.
+    """
+    points, weights = np.polynomial.legendre.leggauss((share.shape[-1] + 1) // 2)
+    total = np.zeros_like(met)
+    for t, weight in zip((points + 1) / 2, weights / 2):
+        factor = share * (1 - t) + met * t
+        before, after = np.ones_like(factor), np.ones_like(factor)
+        before[..., 1:] = np.cumprod(factor[..., :-1], axis=-1)
+        after[..., :-1] = np.cumprod(factor[..., :0:-1], axis=-1)[..., ::-1]
+        total += weight * before * after
+    return (met - share) * total
+
 
 @dataclass
 class TreeTables:
@@ -72,6 +105,7 @@ class TreeTables:
 
     groups: list[LeafGroup]
     base_value: float
+    constant: float = 0.0  # what every row is paid: the start of boosting and trees of a single leaf
 
     def attribute(self, x: np.ndarray, width: int) -> np.ndarray:
         phi = np.zeros((len(x), width))
@@ -167,9 +201,10 @@ def tree_tables(model: Model | BoostedTrees, spark: SparkSession) -> TreeTables:
     """Flatten a forest (probability of class 1) or boosted trees (log-odds of class 1)."""
     trees, scale, boosted = _node_rows(model, spark)
     groups: list[LeafGroup] = []
-    base = model.base if boosted else 0.0
+    base = constant = model.base if boosted else 0.0
     for number in sorted(trees):
         leaves = _leaves(trees[number], scale, boosted)
+        constant += sum(leaf.value for leaf in leaves if not leaf.features)
         base += sum(leaf.value * float(np.prod(leaf.share)) for leaf in leaves)
         groups += _grouped(leaves)
-    return TreeTables(groups, base)
+    return TreeTables(groups, base, constant)
