@@ -6,12 +6,14 @@ the model itself cannot be loaded.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 from stayscope.operators.boosting import BoostedTrees
 from stayscope.operators.treeshap import forest_nodes
-from stayscope.session import lookup_table
+from stayscope.session import LOOKUP_ROWS, materialise
 
 
 def node_table(model: Model | BoostedTrees, spark: SparkSession) -> DataFrame:
@@ -28,21 +30,43 @@ def node_table(model: Model | BoostedTrees, spark: SparkSession) -> DataFrame:
     )
 
 
+def with_levels(nodes: DataFrame) -> DataFrame:
+    """The node table with ``level``, the steps from the root; a tree at a time. Written."""
+
+    def number(tree: pd.DataFrame) -> pd.DataFrame:
+        below = dict(zip(tree["node"], zip(tree["left"], tree["right"])))
+        levels, here = {0: 0}, [0]
+        while here:
+            here = [child for node in here for child in below[node] if child >= 0]
+            levels.update(dict.fromkeys(here, max(levels.values()) + 1))
+        return tree.assign(level=tree["node"].map(levels).astype("int32"))
+
+    schema = T.StructType([*nodes.schema.fields, T.StructField("level", T.IntegerType())])
+    return materialise(nodes.groupBy("tree").applyInPandas(number, schema), "levels")
+
+
 def walk(df: DataFrame, features: list[str], nodes: DataFrame, depth: int, key: str = "row_id") -> DataFrame:
     """(key, total): the sum of the values of the leaves that a row reaches. ``key`` tells the rows apart.
 
-    Every row starts at the root of every tree; each level is an equality join with the nodes, which are as large as
-    the model. Only the sums per row are exchanged, combined before.
+    Every row starts at the root of every tree; each level is an equality join with the nodes of that level, so that all
+    joins together hold the model once. Only the sums per row are exchanged, combined before.
     """
-    nodes = lookup_table(nodes.withColumnsRenamed({c: f"_{c}" for c in nodes.columns}))
-    at_node = (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node"))
+    nodes = with_levels(nodes)
     x = F.array(*[F.col(f).cast("double") for f in features])
-    trees = nodes.agg(F.max("_tree")).first()[0]
+    sizes = {row["level"]: row["n"] for row in nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    trees = nodes.agg(F.max("tree")).first()[0]
     here = df.select(key, x.alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees)))).withColumn("node", F.lit(0))
-    for _ in range(depth):
+    here = here.withColumn("paid", F.lit(None).cast("double"))
+    for level in range(depth + 1):
+        at_level = nodes.where(F.col("level") == level).select([F.col(c).alias(f"_{c}") for c in nodes.columns if c != "level"])
+        at_level = F.broadcast(at_level) if sizes.get(level, 0) <= LOOKUP_ROWS else at_level
+        here = here.join(at_level, (F.col("tree") == F.col("_tree")) & (F.col("node") == F.col("_node")), "left")
         below = F.when(F.col("x")[F.col("_feature")] <= F.col("_threshold"), F.col("_left")).otherwise(F.col("_right"))
-        here = here.join(nodes, at_node).select(key, "x", "tree", F.when(F.col("_left") < 0, F.col("node")).otherwise(below).alias("node"))
-    return here.join(nodes, at_node).groupBy(key).agg(F.sum("_value").alias("total"))
+        # a row that is paid has no node any more
+        here = here.select(
+            key, "x", "tree", F.when(F.col("_left") >= 0, below).alias("node"), F.when(F.col("_left") < 0, F.col("_value")).otherwise(F.col("paid")).alias("paid")
+        )
+    return here.groupBy(key).agg(F.sum("paid").alias("total"))
 
 
 def walked_scores(df: DataFrame, features: list[str], model: Model | BoostedTrees, key: str = "row_id") -> DataFrame:

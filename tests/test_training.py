@@ -223,3 +223,18 @@ def test_histograms_of_many_partitions_stay_off_the_driver(spark, data, model, m
     monkeypatch.setattr(RDD, "treeReduce", fetch)
     again = BoostedTreesClassifier(rounds=5, depth=3, step=0.2).fit(table(spark, parts=7)[2])
     assert np.allclose(again.margins(data[0]), BoostedTrees(model.trees[:5], 6, 3).margins(data[0]), atol=1e-9)
+
+
+def test_a_walk_holds_the_model_once(data):
+    """Each level is joined to its own nodes only: the joins' sides together are the node table."""
+    df = data[2]
+    model = ML.fit_model(df, ML.FOREST, ML.Settings(forest_trees=9, forest_depth=5))
+    nodes = treewalk.node_table(model, df.sparkSession)
+    walked = treewalk.walk(df, NAMES, nodes, 5)
+    assert walked.count() == 400
+    plan = walked._jdf.queryExecution().optimizedPlan().toString()
+    sides = [line for line in plan.splitlines() if "level" in line and "Filter" in line]
+    assert len(sides) == 6 and len({line[line.index("(level"):] for line in sides}) == 6
+    levels = treewalk.with_levels(nodes)
+    assert levels.count() == nodes.count() == sum(tree.numNodes for tree in model.trees)
+    assert levels.agg(F.max("level")).first()[0] == max(tree.depth for tree in model.trees)
