@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 
 from stayscope.functions.expr import fixed_text, nearest_decimal
 from stayscope.functions.hashing import digest
+from stayscope.operators.coalition import Scores, coalition_scores
 from stayscope.operators.treeshap import TreeTables, tree_tables
 
 BACKGROUND_ROWS = 100
+#: Rows whose coalitions are scored at a time.
+COALITION_ROWS = 1024
 FORCEFUL, WATCHFUL = 0.7, 0.4
 RISK, PROTECTIVE = "risk", "protective"
 
@@ -215,13 +218,17 @@ def kernel_attribution(
     """Attributions of P(class 1) for any model with ``transform``, by weighted coalitions of features.
 
     ``reference`` holds the background: a row per point, a column per feature (a bounded sample). A coalition's score is the mean over the
-    background. Every row becomes coalitions x background points, made in its task and scored in one ``transform``; their weighted
+    background. For the linear model and tree ensembles a row's coalitions are scored together in its task (``coalition_scores``). For
+    other models every row becomes coalitions x background points, made in its task and scored in one ``transform``; their weighted
     scores are summed before anything is exchanged. With all coalitions (11 features or fewer by default) the result is exact.
     ``key`` and ``keep`` tell the rows apart.
     """
     d, plan = len(features), plan or coalitions(len(features), budget, seed)
     ground = np.atleast_2d(np.asarray(reference, float))
     rows = df.select(key, *keep, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
+    scores = coalition_scores(model, df.sparkSession, plan.masks, ground)
+    if scores is not None:
+        return _attributed(rows, scores, plan, features, key, overrides, keep)
     schema = T.StructType([
         *rows.schema.fields, T.StructField("_mixed", T.ArrayType(T.DoubleType())), T.StructField("_share", T.ArrayType(T.DoubleType())),
         T.StructField("_base", T.DoubleType()),
@@ -239,9 +246,35 @@ def kernel_attribution(
 
     points = rows.mapInPandas(mix, schema).withColumn("features", array_to_vector("_mixed"))
     scored = model.transform(points).withColumn("_p", vector_to_array("probability")[1])
-    totals = scored.groupBy(key, *keep).agg(
-        *[F.first(F.col("_x")[i]).alias(f"_x{i}") for i in range(d)], F.sum(F.col("_p") * F.col("_base")).alias("base_value"),
-        *[F.sum(F.col("_p") * F.col("_share")[i]).alias(f"_s{i}") for i in range(d)],
+    weighed = [F.col("_p") * F.col("_share")[i] for i in range(d)]
+    return _summed(scored, F.col("_p") * F.col("_base"), weighed, features, key, overrides, keep)
+
+
+def _attributed(
+    rows: DataFrame, scores: Scores, plan: Coalitions, features: list[str], key: str, overrides: dict[str, str] | None, keep: tuple[str, ...],
+) -> DataFrame:
+    """Attributions of rows with ``_x``, whose coalitions' scores ``scores`` gives."""
+    shares, empty = plan.shares, ~plan.masks.any(axis=1)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_phi", T.ArrayType(T.DoubleType())), T.StructField("_base", T.DoubleType())])
+
+    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), COALITION_ROWS):
+                part = batch.iloc[start: start + COALITION_ROWS]
+                p = scores(np.stack(part["_x"].to_numpy()))
+                yield part.assign(_phi=list(p @ shares), _base=p[:, empty].sum(axis=1))
+
+    points = rows.mapInPandas(attribute, schema)
+    return _summed(points, F.col("_base"), [F.col("_phi")[i] for i in range(len(features))], features, key, overrides, keep)
+
+
+def _summed(
+    points: DataFrame, base: Column, shaps: list[Column], features: list[str], key: str, overrides: dict[str, str] | None, keep: tuple[str, ...],
+) -> DataFrame:
+    d = len(features)
+    totals = points.groupBy(key, *keep).agg(
+        *[F.first(F.col("_x")[i]).alias(f"_x{i}") for i in range(d)], F.sum(base).alias("base_value"),
+        *[F.sum(shap).alias(f"_s{i}") for i, shap in enumerate(shaps)],
     )
     return totals.select(
         key, *keep, "base_value",
