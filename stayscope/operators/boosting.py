@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -278,9 +280,15 @@ class BoostedTreesClassifier:
 
         if held.getNumPartitions() <= DIRECT:
             return dict(enumerate(map(search, parts.reduce(np.add))))
-        # one histogram a node, merged where it is searched; a few nodes a task, as starting tasks takes longer than searching
-        merged = parts.flatMap(enumerate).reduceByKey(np.add, -(-len(open_) // 8))
-        return merged.mapValues(search).collectAsMap()
+
+        def merge(sums: Iterable[tuple[int, np.ndarray]]) -> tuple:
+            return search(reduce(np.add, [one for _, one in sorted(sums, key=itemgetter(0))]))
+
+        # one histogram a node, merged in the partitions' order where it is searched; a few nodes a task, as starting tasks takes longer
+        keyed = parts.mapPartitionsWithIndex(
+            lambda number, part: ((node, (number, one)) for sums in part for node, one in enumerate(sums))
+        )
+        return keyed.groupByKey(-(-len(open_) // 8)).mapValues(merge).collectAsMap()
 
     def _histograms(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> RDD:
         """Per partition, gradient and curvature by open node and bin over the drawn rows of its blocks."""
@@ -290,8 +298,8 @@ class BoostedTreesClassifier:
 
         def add_up(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
             sums = np.zeros((nodes, cells, 2))
-            for bins, label, weight, draws, margin in blocks:
-                p = 1.0 / (1.0 + np.exp(-margin))
+            for bins, label, weight, draws, margin, since in blocks:
+                p = 1.0 / (1.0 + np.exp(-margin - since))
                 at = slot[tree.places(bins, tree.bin, level)]
                 rows = np.flatnonzero((at >= 0) & (_noise(draws, number) < sample))
                 cell = (at[rows] * cells + ends[:-1, None] + bins[drawn][:, rows]).ravel()
@@ -354,16 +362,21 @@ def _unpacked(block: Row | dict) -> tuple:
 
 
 def _held(blocks: DataFrame) -> RDD:
-    """Unpacked blocks, kept by the executors; what is lost is read from the written table again."""
-    return blocks.rdd.map(_unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+    """Unpacked blocks with a sum of later trees, kept by the executors; what is lost is read from the written table again."""
+
+    def start(block: Row) -> tuple:
+        unpacked = _unpacked(block)
+        return *unpacked, np.zeros(len(unpacked[-1]))
+
+    return blocks.rdd.map(start).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _after(held: RDD, tree: Tree, depth: int) -> RDD:
-    """Kept blocks with the margins after one more tree, kept as well."""
+    """Kept blocks after one more tree, kept as well. Sums since the margins were written stay apart, so digits are as if summed anew."""
 
     def move(block: tuple) -> tuple:
-        *kept, margin = block
-        return *kept, margin + _sum_of([tree], block[0], depth)
+        *kept, since = block
+        return *kept, since + _sum_of([tree], block[0], depth)
 
     return held.map(move).persist(StorageLevel.MEMORY_AND_DISK)
 
