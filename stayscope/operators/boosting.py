@@ -3,14 +3,15 @@
 Spark ML draws columns anew for every node. Here a tree sees one draw: its rows and columns are fixed before it grows.
 Features are binned once; for each level of a tree the tasks add up gradient histograms of their rows, the sums are
 merged and searched node by node in the executors, and only each node's best cut reaches the driver. Rows stay in packed
-blocks in the shared folder and are kept by the executors between passes; a lost executor reads them again.
+blocks in the shared folder and are kept by the executors between passes; a lost executor reads them again. A table of one
+block, ``BLOCK_ROWS`` rows at most, grows all its trees in the task that holds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from operator import itemgetter
 
 import numpy as np
@@ -58,16 +59,18 @@ class Tree:
             column.append(start)
         return len(self.value) - 1
 
-    def places(self, columns: np.ndarray, cuts: list, levels: int) -> np.ndarray:
-        """The node of each row after ``levels`` steps; ``columns`` has a row per feature, ``cuts`` what they are compared with."""
-        feature, left, right, cut = (np.array(v) for v in (self.feature, self.left, self.right, cuts))
-        node, rows = np.zeros(columns.shape[1], np.int64), np.arange(columns.shape[1])
-        for _ in range(levels):
-            inner = left[node] >= 0
-            if not inner.any():
-                break
-            lower = columns[np.maximum(feature[node], 0), rows] <= cut[node]
-            node = np.where(inner, np.where(lower, left[node], right[node]), node)
+    def places(self, columns: np.ndarray, cuts: list, levels: int, rows: np.ndarray | None = None) -> np.ndarray:
+        """The node of each row (or of ``rows``) after ``levels`` steps; ``columns`` has a row per feature, ``cuts`` what they are
+        compared with. A leaf leads to itself, and a right child follows its left one."""
+        left, feature = np.array(self.left), np.array(self.feature)
+        leaf, flat, width = left < 0, columns.ravel(), columns.shape[1]
+        most = np.iinfo(columns.dtype).max if columns.dtype.kind == "u" else np.inf
+        left, first = np.where(leaf, np.arange(len(left)), left), np.where(leaf, 0, feature) * width
+        cut = np.where(leaf, most, cuts).astype(columns.dtype)
+        rows = np.arange(width) if rows is None else rows
+        node = np.zeros(len(rows), np.int64)
+        for _ in range(levels if not leaf.all() else 0):
+            node = left[node] + (flat[first[node] + rows] > cut[node])
         return node
 
 
@@ -204,14 +207,20 @@ class BoostedTreesClassifier:
         width = table.select(F.size("x")).first()[0]
         cuts = _cut_values(table, width)
         # no more tasks than blocks: passes over small tables are mostly the cost of starting tasks
-        blocks = materialise(_blocks(table.coalesce(max(1, -(-table.count() // BLOCK_ROWS))), cuts), "boosting-blocks")
+        rows = table.count()
+        blocks = materialise(_blocks(table.coalesce(max(1, -(-rows // BLOCK_ROWS))), cuts), "boosting-blocks")
         model = BoostedTrees([], width, self.depth)
+        generator, based = np.random.default_rng(self.seed), 0
+        draws = [sorted(generator.choice(width, max(1, round(self.columns * width)), replace=False).tolist()) for _ in range(self.rounds)]
         held = _held(blocks)
+        if rows <= BLOCK_ROWS:  # one block: its levels need not be asked for one by one
+            model.trees += held.coalesce(1).mapPartitions(lambda part: self._grow_all(list(part), draws, cuts)).collect()
+            held.unpersist()
+            return model
         before = None
-        draw, based = np.random.default_rng(self.seed), 0
-        for number in range(self.rounds):
-            drawn = sorted(draw.choice(width, max(1, round(self.columns * width)), replace=False).tolist())
-            model.trees.append(self._grow(held, number, drawn, cuts))
+        for number, drawn in enumerate(draws):
+            found = partial(self._cuts_of, held)
+            model.trees.append(self._grow(found, number, drawn, cuts))
             if before is not None:  # the margins it led to have been read by now
                 before.unpersist()
             if number + 1 == self.rounds:
@@ -226,13 +235,28 @@ class BoostedTreesClassifier:
         held.unpersist()
         return model
 
-    def _grow(self, held: RDD, number: int, drawn: list[int], cuts: list[np.ndarray]) -> Tree:
+    def _grow_all(self, blocks: list[tuple], draws: list[list[int]], cuts: list[np.ndarray]) -> Iterator[Tree]:
+        """All trees of a table of one block, in its task. Margins move as those of larger tables do, digit by digit."""
+
+        def found(tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> dict[int, tuple]:
+            return dict(enumerate(self._search(one, ends) for one in self._block_sums(blocks, tree, open_, number, level, ends)))
+
+        for number, drawn in enumerate(draws):
+            tree = self._grow(found, number, drawn, cuts)
+            yield tree
+            again = (number + 1) % REBASE == 0
+            blocks = [
+                (*kept, margin + moved, np.zeros(len(moved))) if again else (*kept, margin, moved)
+                for *kept, margin, moved in (_moved_block(block, tree, self.depth) for block in blocks)
+            ]
+
+    def _grow(self, found_of: Callable[..., dict[int, tuple]], number: int, drawn: list[int], cuts: list[np.ndarray]) -> Tree:
         tree = Tree(drawn)
         # the drawn columns' bins lie side by side: column j has those from ends[j] on
         ends = np.cumsum([0, *(len(cuts[feature]) + 1 for feature in drawn)])
         open_ = [tree.add(0.0, 0.0)]
         for level in range(self.depth):
-            found = self._cuts_of(held, tree, open_, number, level, ends)
+            found = found_of(tree, open_, number, level, ends)
             opened = []
             for at, node in enumerate(open_):
                 total, gain, cell, lower = found[at]
@@ -270,19 +294,20 @@ class BoostedTreesClassifier:
         cell = int(gain.argmax())
         return float(gain[cell]), cell, below[cell]
 
+    def _search(self, sums: np.ndarray, ends: np.ndarray) -> tuple:
+        """A node's sums and its best cut, from its histogram."""
+        total = sums[: ends[1]].sum(axis=0)
+        return total, *self._best(sums, total, ends)
+
     def _cuts_of(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> dict[int, tuple]:
         """By place among the open nodes: their sums, and their best cut, over the drawn rows of all blocks."""
         parts = self._histograms(held, tree, open_, number, level, ends)
 
-        def search(sums: np.ndarray) -> tuple:
-            total = sums[: ends[1]].sum(axis=0)
-            return total, *self._best(sums, total, ends)
-
         if held.getNumPartitions() <= DIRECT:
-            return dict(enumerate(map(search, parts.reduce(np.add))))
+            return dict(enumerate(self._search(one, ends) for one in parts.reduce(np.add)))
 
         def merge(sums: Iterable[tuple[int, np.ndarray]]) -> tuple:
-            return search(reduce(np.add, [one for _, one in sorted(sums, key=itemgetter(0))]))
+            return self._search(reduce(np.add, [one for _, one in sorted(sums, key=itemgetter(0))]), ends)
 
         # one histogram a node, merged in the partitions' order where it is searched; a few nodes a task, as starting tasks takes longer
         keyed = parts.mapPartitionsWithIndex(
@@ -291,24 +316,35 @@ class BoostedTreesClassifier:
         return keyed.groupByKey(-(-len(open_) // 8)).mapValues(merge).collectAsMap()
 
     def _histograms(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> RDD:
-        """Per partition, gradient and curvature by open node and bin over the drawn rows of its blocks."""
-        slot = np.full(len(tree.value), -1)
-        slot[open_] = np.arange(len(open_))
-        nodes, cells, drawn, sample = len(open_), int(ends[-1]), tree.drawn, self.sample
+        """Per partition, the histograms of its blocks."""
 
         def add_up(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
-            sums = np.zeros((nodes, cells, 2))
-            for bins, label, weight, draws, margin, since in blocks:
-                p = 1.0 / (1.0 + np.exp(-margin - since))
-                at = slot[tree.places(bins, tree.bin, level)]
-                rows = np.flatnonzero((at >= 0) & (_noise(draws, number) < sample))
-                cell = (at[rows] * cells + ends[:-1, None] + bins[drawn][:, rows]).ravel()
-                for k, amount in enumerate((weight * (p - label), weight * p * (1 - p))):
-                    sums[:, :, k] += np.bincount(cell, np.tile(amount[rows], len(drawn)), nodes * cells).reshape(nodes, cells)
-            yield sums
+            yield self._block_sums(blocks, tree, open_, number, level, ends)
 
         return held.mapPartitions(add_up)
 
+    def _block_sums(self, blocks: Iterable[tuple], tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> np.ndarray:
+        """Gradient and curvature by open node and bin over the drawn rows of blocks."""
+        slot = np.full(len(tree.value), -1)
+        slot[open_] = np.arange(len(open_))
+        sums = np.zeros((len(open_), int(ends[-1]), 2))
+        for block in blocks:
+            self._add_block(sums, block, tree, slot, number, level, ends)
+        return sums
+
+    def _add_block(self, sums: np.ndarray, block: tuple, tree: Tree, slot: np.ndarray, number: int, level: int, ends: np.ndarray) -> None:
+        """Add a block's drawn rows to the histograms, a column at a time so that what is added to stays in the cache."""
+        bins, label, weight, draws, margin, since = block
+        rows = np.flatnonzero(_noise(draws, number) < self.sample)
+        at = slot[tree.places(bins, tree.bin, level, rows)]
+        rows, at = rows[at >= 0], at[at >= 0]
+        p = 1.0 / (1.0 + np.exp(-margin[rows] - since[rows]))
+        amounts = weight[rows] * (p - label[rows]), weight[rows] * p * (1 - p)
+        for feature, start, end in zip(tree.drawn, ends[:-1], ends[1:]):
+            cell = at * (end - start) + bins[feature][rows]
+            for k, amount in enumerate(amounts):
+                sums[:, start:end, k] += np.bincount(cell, amount, len(sums) * (end - start)).reshape(len(sums), -1)
+
 
 def _sum_of(trees: list[Tree], bins: np.ndarray, depth: int) -> np.ndarray:
     total = np.zeros(bins.shape[1])
@@ -374,11 +410,12 @@ def _held(blocks: DataFrame) -> RDD:
 def _after(held: RDD, tree: Tree, depth: int) -> RDD:
     """Kept blocks after one more tree, kept as well. Sums since the margins were written stay apart, so digits are as if summed anew."""
 
-    def move(block: tuple) -> tuple:
-        *kept, since = block
-        return *kept, since + _sum_of([tree], block[0], depth)
+    return held.map(lambda block: _moved_block(block, tree, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+
 
-    return held.map(move).persist(StorageLevel.MEMORY_AND_DISK)
+def _moved_block(block: tuple, tree: Tree, depth: int) -> tuple:
+    *kept, since = block
+    return *kept, since + _sum_of([tree], block[0], depth)
 
 
 def _moved(blocks: DataFrame, trees: list[Tree], depth: int) -> DataFrame:

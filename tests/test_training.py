@@ -238,3 +238,34 @@ def test_a_walk_holds_the_model_once(data):
     levels = treewalk.with_levels(nodes)
     assert levels.count() == nodes.count() == sum(tree.numNodes for tree in model.trees)
     assert levels.agg(F.max("level")).first()[0] == max(tree.depth for tree in model.trees)
+
+
+def test_a_table_of_one_block_grows_in_one_pass_and_to_the_same_trees(spark, monkeypatch):
+    """Levels are not asked for one by one, and the trees are those of the passes over many blocks, beyond a rebasing too."""
+    df = table(spark)[2]
+    passes = []
+    monkeypatch.setattr(boosting.BoostedTreesClassifier, "_cuts_of", lambda *_: passes.append(1))
+    one = BoostedTreesClassifier(rounds=25, depth=3, step=0.2).fit(df)
+    assert not passes
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    many = BoostedTreesClassifier(rounds=25, depth=3, step=0.2).fit(df)
+    assert [(t.feature, t.threshold, t.left) for t in one.trees] == [(t.feature, t.threshold, t.left) for t in many.trees]
+    assert np.allclose(np.concatenate([t.value for t in one.trees]), np.concatenate([t.value for t in many.trees]), atol=1e-12)
+
+
+def test_places_of_chosen_rows_equal_a_walk_of_each_row(model):
+    """The node of a row follows from its own columns, for all rows and for chosen ones, and leaves keep theirs."""
+    bins = np.random.default_rng(5).integers(0, 64, (6, 500)).astype(np.uint8)
+    rows = np.arange(3, 500, 7)
+    for tree in model.trees[:5]:
+        for levels in (0, 2, 3):
+            expected = []
+            for row in range(500):
+                node = 0
+                for _ in range(levels):
+                    if tree.left[node] >= 0:
+                        node = (tree.left if bins[tree.feature[node], row] <= tree.bin[node] else tree.right)[node]
+                expected.append(node)
+            assert tree.places(bins, tree.bin, levels).tolist() == expected
+            assert tree.places(bins, tree.bin, levels, rows).tolist() == [expected[i] for i in rows]
