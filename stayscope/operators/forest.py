@@ -214,13 +214,34 @@ def _nearest_in_leaf(leaf: pd.DataFrame, key: str, k: int) -> pd.DataFrame:
     vecs, names = _matrix(leaf["vec"]), leaf[key].to_numpy()
     distances, others = [], []
     for start in range(0, len(leaf), CHUNK):
-        d2 = _squared(vecs[start: start + CHUNK], vecs)
-        rows = np.arange(len(d2))
-        d2[rows, start + rows] = np.inf
-        for row in d2:
-            limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= limit) & np.isfinite(row))
-            near = near[np.argsort(row[near], kind="stable")][:k]
-            distances.append(row[near])
-            others.append(names[near])
+        rows, places, d2 = _near_pairs(vecs, start, k)
+        ends = np.searchsorted(rows, np.arange(1, min(CHUNK, len(leaf) - start)))
+        distances += np.split(d2, ends)
+        others += np.split(names[places], ends)
     return pd.DataFrame({key: names, "d2": distances, "others": others})
+
+
+def _near_pairs(vecs: np.ndarray, start: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, squared distance) of the k nearest others of a chunk of rows, by row, distance and place.
+
+    A matrix product rules out what is too far whatever its rounding; the distances of the rest are summed one dimension at a time.
+    """
+    asked = vecs[start: start + CHUNK]
+    norms = np.einsum("ij,ij->i", vecs, vecs)
+    if np.isfinite(norms).all():
+        rough = norms[start: start + CHUNK, None] + norms - 2 * (asked @ vecs.T)
+        spare = 1e-15 * (vecs.shape[1] + 8) * 16 * norms.max(initial=0.0) + np.finfo(float).tiny
+    else:
+        rough, spare = _squared(asked, vecs), 0.0
+    own = np.arange(len(asked))
+    rough[own, start + own] = np.inf
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1: k] if len(vecs) > k else np.inf
+    rows, places = np.nonzero((rough <= limit + spare) & np.isfinite(rough))
+    d2 = np.zeros(len(rows))
+    for dim in range(vecs.shape[1]):
+        gap = asked[rows, dim] - vecs[places, dim]
+        d2 += gap * gap
+    order = np.lexsort((places, d2, rows))
+    rows, places, d2 = rows[order], places[order], d2[order]
+    first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[first], places[first], d2[first]

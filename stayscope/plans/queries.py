@@ -710,7 +710,8 @@ def _(spark, folder):
     points = people.groupBy(F.array(*[F.col(c).cast("double") for c in used]).alias("vec")).agg(F.min("row_id").alias("row_id"))
     points = materialise(points.select("row_id", "vec"), "points")
     rows = points.count()
-    best = forest.forest_candidates(points, "row_id", 5, leaf_rows=max(64, rows // 64))
+    # leaves that grow with the table would make the work quadratic
+    best = forest.forest_candidates(points, "row_id", 5, leaf_rows=min(forest.LEAF_ROWS, max(64, rows // 64)))
     truth = forest.true_distances(points, "row_id", 5)
     counts = best.join(F.broadcast(truth.drop("n")), "row_id", "left").agg(  # a row per probe
         F.count("within").alias("probes"), F.count(F.lit(1)).alias("points"), F.sum(F.size("best")).alias("found")

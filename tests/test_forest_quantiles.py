@@ -3,12 +3,15 @@
 import warnings
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stayscope.functions.ranges import column_quantiles
 from stayscope.operators import forest
+from stayscope.operators.neighbours import _squared
 from stayscope.operators.oversample import smote
+from stayscope.plans.queries import QUERIES
 from stayscope.session import materialise
 
 DIMS = 28
@@ -144,3 +147,39 @@ def test_quantiles_of_an_empty_table(spark):
     df = spark.createDataFrame([], "a double, b int")
     assert column_quantiles(df, ["a", "b"], [0.5]) == {"a": None, "b": None}
     assert column_quantiles(df, [], [0.5]) == {}
+
+
+def test_leaves_of_the_registered_recall_do_not_grow_with_the_table(spark, monkeypatch):
+    """Leaves that are a share of the table make the work quadratic."""
+
+    class Asked(Exception):
+        pass
+
+    def candidates(points, key, k, leaf_rows):
+        raise Asked(leaf_rows)
+
+    monkeypatch.setattr(forest, "LEAF_ROWS", 40)
+    monkeypatch.setattr(forest, "forest_candidates", candidates)
+    with pytest.raises(Asked) as found:
+        QUERIES["m2_neighbour_recall"](spark, "/root/testdata/sf0.001")
+    assert found.value.args == (40,)
+
+
+@pytest.mark.parametrize("shape", ["ties", "far", "large", "few", "odd"])
+def test_nearest_in_a_leaf_equals_all_distances(shape):
+    """The matrix product rules out nothing that belongs to the nearest, whatever the size of the numbers."""
+    rng = np.random.default_rng(3)
+    vecs = {
+        "ties": rng.integers(0, 3, (600, 4)).astype(float), "far": 1e8 + rng.normal(size=(500, 5)), "large": 1e160 * rng.normal(size=(40, 3)),
+        "few": rng.normal(size=(4, 2)), "odd": np.where(rng.random((300, 3)) < 0.01, np.nan, rng.normal(size=(300, 3))),
+    }[shape]
+    keys = rng.permutation(len(vecs))
+    got = forest._nearest_in_leaf(pd.DataFrame({"k": keys, "vec": list(vecs)}), "k", 5)
+    with np.errstate(over="ignore"):
+        d2 = _squared(vecs, vecs)[np.argsort(keys)][:, np.argsort(keys)]
+    np.fill_diagonal(d2, np.inf)
+    for at, (near, others) in enumerate(zip(got["d2"], got["others"])):
+        finite = np.flatnonzero(np.isfinite(d2[at]))
+        best = finite[np.argsort(d2[at][finite], kind="stable")][:5]
+        if len(finite) >= 5 or len(vecs) <= 5:
+            assert others.tolist() == best.tolist() and np.array_equal(near, d2[at][best])
