@@ -15,7 +15,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,18 @@ KNOWN = 50_000
 GRAMS = 50_000
 LEAST = 2
 FLUSH = 300_000
-CACHE = 200_000
+PART = 2 << 20
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased. Numbers that are not digits (a fraction, a Roman numeral sign) end a run."""
+    runs = _LETTERS.findall(text.lower())
+    if "".join(runs).isalpha():
+        return runs
     out: list[str] = []
-    for run in _LETTERS.findall(text.lower()):
+    for run in runs:
         if run.isalpha():
             out.append(run)
         else:
@@ -50,6 +54,25 @@ def grams_of(word: str, order: int) -> list[str]:
     return [marked[i: i + order] for i in range(len(marked) - order + 1)]
 
 
+def gram_counts(words: dict[str, int]) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    """Per order its distinct n-grams and how often they occur in ``words``, which have a number of occurrences each.
+
+    A gram is numbered by its shorter one's number and its last character, for all places of all words at once.
+    """
+    marked = "".join(f"^{word}$" for word in words)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(marked))  # characters from a place to the end of its word
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), sizes)
+    alphabet, character = np.unique(np.frombuffer(marked.encode("utf-32-le"), np.uint32), return_inverse=True)
+    number, places = np.zeros(len(marked), np.int64), np.arange(len(marked))
+    for order in range(1, ORDER + 1):
+        inside = left[places] >= order
+        places, number = places[inside], number[inside]
+        _, first, number = np.unique(number * len(alphabet) + character[places + order - 1], return_index=True, return_inverse=True)
+        counts = np.bincount(number, times[places], len(first)).astype(np.int64)
+        yield order, [marked[at: at + order] for at in places[first].tolist()], counts
+
+
 def term_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, kind, term, n): words (kind 0) and n-grams (kind = order) of all texts."""
     kept = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
@@ -57,16 +80,11 @@ def term_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(words: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
             for name, counts in words.items():
-                for kind in range(ORDER + 1):
-                    terms: Counter = counts
-                    if kind:
-                        terms = Counter()
-                        for word, n in counts.items():
-                            for gram in grams_of(word, kind):
-                                terms[gram] += n
+                whole = (0, list(counts), np.fromiter(counts.values(), np.int64, len(counts)))
+                for kind, terms, times in (whole, *gram_counts(counts)):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([name] * len(terms), pa.string()), pa.array(np.full(len(terms), kind, np.int32)),
-                        pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64()),
+                        pa.array(terms, pa.string()), pa.array(times),
                     ], names=["lang", "kind", "term", "n"])
 
         held: dict[str, Counter] = {}
@@ -90,35 +108,40 @@ class LanguageModel:
     grams: dict[str, int]
     word_logs: np.ndarray
     gram_logs: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Log frequencies by the longest order of n-grams that is known, zeros if none is."""
-        if (known := self.cache.get(word)) is None:
-            known = np.zeros(len(self.languages))
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """A row per word: log frequencies by the longest order of n-grams that is known, zeros if none is."""
+        ids, sizes = [], []
+        for word in words:
+            found: list[int] = []
             for order in range(ORDER, 0, -1):
-                if ids := [i for g in grams_of(word, order) if (i := self.grams.get(g)) is not None]:
-                    known = self.gram_logs[ids].mean(axis=0)
+                if found := [i for g in grams_of(word, order) if (i := self.grams.get(g)) is not None]:
                     break
-            if len(self.cache) < CACHE:
-                self.cache[word] = known
-        return known
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its share; ties go to the first by name."""
-        words = words_of(text) if text else []
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
+            ids += found
+            sizes.append(len(found))
+        out, flat, many = np.zeros((len(words), len(self.languages)), np.float32), np.array(ids, np.int64), np.array(sizes, np.int64)
+        starts = np.cumsum(many) - many
+        for place in range(max(sizes, default=0)):  # all words add their next gram
+            rows = np.flatnonzero(many > place)
+            out[rows] += self.gram_logs[flat[starts[rows] + place]]
+        return out / np.maximum(many, 1)[:, None].astype(np.float32)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its share; ties go to the first by name."""
+        counted = [Counter(words_of(text)) if text and self.languages else None for text in texts]
+        rare = list(dict.fromkeys(word for words in counted if words for word in words if word not in self.words))
+        places, logs = {word: i for i, word in enumerate(rare)}, self.unseen(rare)
+        return [self._likeliest(words, places, logs) if words else (UNKNOWN, 0.0) for words in counted]
+
+    def _likeliest(self, words: Counter, places: dict[str, int], logs: np.ndarray) -> tuple[str, float]:
+        ids = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        times, known = np.fromiter(words.values(), np.int64, len(words)), ids >= 0
         total = np.zeros(len(self.languages))
-        ids, times = [], []
-        for word, n in Counter(words).items():
-            if (i := self.words.get(word)) is not None:
-                ids.append(i)
-                times.append(n)
-            else:
-                total += n * self.unseen(word)
-        if ids:
-            total += np.array(times) @ self.word_logs[ids]
+        if not known.all():
+            rows = [places[word] for word, there in zip(words, known.tolist()) if not there]
+            total += (times[~known].astype(np.float32)[:, None] * logs[rows]).sum(axis=0, dtype=np.float64)
+        if known.any():
+            total += times[known] @ self.word_logs[ids[known]]
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.languages[best], float(share[best] / share.sum())
@@ -170,8 +193,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in slices(batches, "_text"):
-            found = [model.predict(value) for value in part.column("_text").to_pylist()]
+        for part in slices(batches, "_text", PART):
+            found = model.predict(part.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*part.schema.names[:-1], "lang_pred", "score"],
