@@ -554,3 +554,35 @@ def test_fold_is_the_checksum(spark):
 
     rows = spark.createDataFrame([(i,) for i in (0, 7, 123456, None)], "doc_id bigint").select("doc_id", fold(F.col("doc_id"), 5).alias("f")).collect()
     assert [r.f for r in rows] == [zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 for r in rows]
+
+
+def test_gram_counts_equal_a_count_word_by_word():
+    words = {"a": 3, "tree": 2, "Straße".lower(): 5, "\U00010400x": 1, "eee": 4}
+    for order, grams, counts in language.gram_counts(words):
+        expected: dict[str, int] = {}
+        for word, n in words.items():
+            for gram in language.grams_of(word, order):
+                expected[gram] = expected.get(gram, 0) + n
+        assert dict(zip(grams, counts.tolist())) == expected
+    assert [len(grams) for _, grams, _ in language.gram_counts({})] == [0] * language.ORDER
+
+
+def test_unseen_words_of_a_batch_back_off_one_by_one():
+    """Many words at once give what a word alone gives: the mean over the grams of the longest order that has any."""
+    logs = np.array([[-1, -2], [-3, -5], [-0.5, -7], [-0.1, -0.2]], np.float32)
+    model = language.LanguageModel(["x", "y"], {}, {"^abc": 0, "abc$": 1, "zz": 2, "q": 3}, np.zeros((0, 2), np.float32), logs)
+    words = ["abc", "zzz", "q", "", "ü", "abcd"]
+    expected = [logs[:2].mean(axis=0), logs[[2, 2]].mean(axis=0), logs[3], [0, 0], [0, 0], logs[0]]
+    assert np.allclose(model.unseen(words), expected) and model.unseen([]).shape == (0, 2)
+    texts = ["abc zzz zzz", None, "", "12", "q"]
+    assert model.predict(texts) == [model.predict([text])[0] for text in texts]
+
+
+def test_decisions_of_every_depth_are_mixed():
+    """Words far down the tree have all their decisions predicted in context: none is left to a fixed probability."""
+    words_, counts = [b"%d" % i for i in range(1_000)] + [mixing.END, mixing.ESCAPE], [2] * 1_002
+    coder = mixing.Coder.fit(words_, counts, np.ones(256, int))
+    symbols, context, is_byte, *_ = coder.symbols([b"7 999 500"])
+    slots, bit, gate, long = coder.decisions(symbols, context, is_byte)
+    whole = np.diff(mixing.huffman(np.array(counts))[0])
+    assert long.tolist() == whole[symbols].tolist() and long.min() > 8 and slots.shape == (3, int(long.sum()))
