@@ -3,21 +3,22 @@
 Spark ML draws columns anew for every node. Here a tree sees one draw: its rows and columns are fixed before it grows.
 Features are binned once; for each level of a tree the tasks add up gradient histograms of their rows, the sums are
 merged and searched node by node in the executors, and only each node's best cut reaches the driver. Rows stay in packed
-blocks in the shared folder and are kept by the executors between passes; a lost executor reads them again. A table of one
-block, ``BLOCK_ROWS`` rows at most, grows all its trees in the task that holds it.
+blocks in the shared folder and are kept by the executors between passes; a lost executor reads them again. Fits that are
+made together share each pass. A table of one block, ``BLOCK_ROWS`` rows at most, grows all its trees in the task that holds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from functools import partial, reduce
+from functools import reduce
 from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
@@ -201,48 +202,18 @@ class BoostedTreesClassifier:
         return self.sample
 
     def fit(self, df: DataFrame) -> BoostedTrees:
-        table = materialise(df.select(
-            vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight")
-        ), "boosting-rows")
-        width = table.select(F.size("x")).first()[0]
-        cuts = _cut_values(table, width)
-        # no more tasks than blocks: passes over small tables are mostly the cost of starting tasks
-        rows = table.count()
-        blocks = materialise(_blocks(table.coalesce(max(1, -(-rows // BLOCK_ROWS))), cuts), "boosting-blocks")
-        model = BoostedTrees([], width, self.depth)
-        generator, based = np.random.default_rng(self.seed), 0
-        draws = [sorted(generator.choice(width, max(1, round(self.columns * width)), replace=False).tolist()) for _ in range(self.rounds)]
-        held = _held(blocks)
-        if rows <= BLOCK_ROWS:  # one block: its levels need not be asked for one by one
-            model.trees += held.coalesce(1).mapPartitions(lambda part: self._grow_all(list(part), draws, cuts)).collect()
-            held.unpersist()
-            return model
-        before = None
-        for number, drawn in enumerate(draws):
-            found = partial(self._cuts_of, held)
-            model.trees.append(self._grow(found, number, drawn, cuts))
-            if before is not None:  # the margins it led to have been read by now
-                before.unpersist()
-            if number + 1 == self.rounds:
-                break
-            if number + 1 - based == REBASE:
-                parts = held.getNumPartitions()
-                blocks = materialise(_moved(blocks, model.trees[based:], self.depth), "boosting-blocks").coalesce(parts)
-                held.unpersist()
-                before, held, based = None, _held(blocks), number + 1
-            else:
-                before, held = held, _after(held, model.trees[-1], self.depth)
-        held.unpersist()
-        return model
+        return fit_together([(self, df)])[0]
 
     def _grow_all(self, blocks: list[tuple], draws: list[list[int]], cuts: list[np.ndarray]) -> Iterator[Tree]:
         """All trees of a table of one block, in its task. Margins move as those of larger tables do, digit by digit."""
-
-        def found(tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> dict[int, tuple]:
-            return dict(enumerate(self._search(one, ends) for one in self._block_sums(blocks, tree, open_, number, level, ends)))
-
         for number, drawn in enumerate(draws):
-            tree = self._grow(found, number, drawn, cuts)
+            growth, found = self._growth(number, drawn, cuts), None
+            try:
+                while True:
+                    asked = growth.send(found)
+                    found = dict(enumerate(self._search(one, asked.ends) for one in self._block_sums(blocks, asked)))
+            except StopIteration as grown:
+                tree = grown.value
             yield tree
             again = (number + 1) % REBASE == 0
             blocks = [
@@ -250,13 +221,14 @@ class BoostedTreesClassifier:
                 for *kept, margin, moved in (_moved_block(block, tree, self.depth) for block in blocks)
             ]
 
-    def _grow(self, found_of: Callable[..., dict[int, tuple]], number: int, drawn: list[int], cuts: list[np.ndarray]) -> Tree:
+    def _growth(self, number: int, drawn: list[int], cuts: list[np.ndarray]) -> Generator[Level, dict[int, tuple], Tree]:
+        """A tree; yields each level whose open nodes' best cuts it needs, and is sent them by place among the nodes."""
         tree = Tree(drawn)
         # the drawn columns' bins lie side by side: column j has those from ends[j] on
         ends = np.cumsum([0, *(len(cuts[feature]) + 1 for feature in drawn)])
         open_ = [tree.add(0.0, 0.0)]
         for level in range(self.depth):
-            found = found_of(tree, open_, number, level, ends)
+            found = yield Level(tree, open_, number, level, ends)
             opened = []
             for at, node in enumerate(open_):
                 total, gain, cell, lower = found[at]
@@ -299,53 +271,174 @@ class BoostedTreesClassifier:
         total = sums[: ends[1]].sum(axis=0)
         return total, *self._best(sums, total, ends)
 
-    def _cuts_of(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> dict[int, tuple]:
-        """By place among the open nodes: their sums, and their best cut, over the drawn rows of all blocks."""
-        parts = self._histograms(held, tree, open_, number, level, ends)
-
-        if held.getNumPartitions() <= DIRECT:
-            return dict(enumerate(self._search(one, ends) for one in parts.reduce(np.add)))
-
-        def merge(sums: Iterable[tuple[int, np.ndarray]]) -> tuple:
-            return self._search(reduce(np.add, [one for _, one in sorted(sums, key=itemgetter(0))]), ends)
-
-        # one histogram a node, merged in the partitions' order where it is searched; a few nodes a task, as starting tasks takes longer
-        keyed = parts.mapPartitionsWithIndex(
-            lambda number, part: ((node, (number, one)) for sums in part for node, one in enumerate(sums))
-        )
-        return keyed.groupByKey(-(-len(open_) // 8)).mapValues(merge).collectAsMap()
-
-    def _histograms(self, held: RDD, tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> RDD:
-        """Per partition, the histograms of its blocks."""
-
-        def add_up(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
-            yield self._block_sums(blocks, tree, open_, number, level, ends)
+    @staticmethod
+    def _cuts_of(held: RDD, asked: dict[int, Asked]) -> dict[int, dict[int, tuple]]:
+        """By fit, by place among its open nodes: their sums, and their best cut, over the drawn rows of all its blocks."""
+        parts = held.mapPartitions(lambda blocks: [_part_sums(blocks, asked)])
 
-        return held.mapPartitions(add_up)
+        def search(fit: int, one: np.ndarray) -> tuple:
+            return asked[fit].classifier._search(one, asked[fit].level.ends)
 
-    def _block_sums(self, blocks: Iterable[tuple], tree: Tree, open_: list[int], number: int, level: int, ends: np.ndarray) -> np.ndarray:
+        if held.getNumPartitions() <= DIRECT:
+            sums = parts.reduce(lambda a, b: a | {fit: a[fit] + one if fit in a else one for fit, one in b.items()})
+            return {fit: dict(enumerate(search(fit, one) for one in all_)) for fit, all_ in sums.items()}
+
+        nodes = [(fit, at) for fit, one in asked.items() for at in range(len(one.level.open))]
+        first = {fit: nodes.index((fit, 0)) for fit in asked}
+
+        def merge(key: int, sums: Iterable[tuple[int, np.ndarray]]) -> tuple:
+            return search(nodes[key][0], reduce(np.add, [one for _, one in sorted(sums, key=itemgetter(0))]))
+
+        # one histogram a node, merged in the partitions' order where it is searched; some nodes a task, as starting tasks takes longer
+        keyed = parts.mapPartitionsWithIndex(lambda number, part: (
+            (first[fit] + at, (number, one)) for sums in part for fit, all_ in sums.items() for at, one in enumerate(all_)
+        ))
+        found: dict[int, dict[int, tuple]] = {fit: {} for fit in asked}
+        for key, best in keyed.groupByKey(-(-len(nodes) // (8 if len(asked) == 1 else 32))).map(lambda x: (x[0], merge(*x))).collect():
+            fit, at = nodes[key]
+            found[fit][at] = best
+        return found
+
+    def _block_sums(self, blocks: Iterable[tuple], asked: Level) -> np.ndarray:
         """Gradient and curvature by open node and bin over the drawn rows of blocks."""
-        slot = np.full(len(tree.value), -1)
-        slot[open_] = np.arange(len(open_))
-        sums = np.zeros((len(open_), int(ends[-1]), 2))
+        slot = np.full(len(asked.tree.value), -1)
+        slot[asked.open] = np.arange(len(asked.open))
+        sums = np.zeros((len(asked.open), int(asked.ends[-1]), 2))
         for block in blocks:
-            self._add_block(sums, block, tree, slot, number, level, ends)
+            self._add_block(sums, block, asked, slot)
         return sums
 
-    def _add_block(self, sums: np.ndarray, block: tuple, tree: Tree, slot: np.ndarray, number: int, level: int, ends: np.ndarray) -> None:
+    def _add_block(self, sums: np.ndarray, block: tuple, asked: Level, slot: np.ndarray) -> None:
         """Add a block's drawn rows to the histograms, a column at a time so that what is added to stays in the cache."""
         bins, label, weight, draws, margin, since = block
-        rows = np.flatnonzero(_noise(draws, number) < self.sample)
-        at = slot[tree.places(bins, tree.bin, level, rows)]
+        rows = np.flatnonzero(_noise(draws, asked.number) < self.sample)
+        at = slot[asked.tree.places(bins, asked.tree.bin, asked.level, rows)]
         rows, at = rows[at >= 0], at[at >= 0]
         p = 1.0 / (1.0 + np.exp(-margin[rows] - since[rows]))
         amounts = weight[rows] * (p - label[rows]), weight[rows] * p * (1 - p)
-        for feature, start, end in zip(tree.drawn, ends[:-1], ends[1:]):
+        for feature, start, end in zip(asked.tree.drawn, asked.ends[:-1], asked.ends[1:]):
             cell = at * (end - start) + bins[feature][rows]
             for k, amount in enumerate(amounts):
                 sums[:, start:end, k] += np.bincount(cell, amount, len(sums) * (end - start)).reshape(len(sums), -1)
 
 
+@dataclass(frozen=True)
+class Level:
+    """What a growing tree asks of the rows: the best cuts of its open nodes."""
+
+    tree: Tree
+    open: list[int]
+    number: int
+    level: int
+    ends: np.ndarray
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A level of one of the fits that grow together."""
+
+    classifier: BoostedTreesClassifier
+    level: Level
+
+
+@dataclass(frozen=True)
+class _Fit:
+    """A fit that is under way."""
+
+    classifier: BoostedTreesClassifier
+    cuts: list[np.ndarray]
+    rows: int
+    blocks: DataFrame
+    draws: list[list[int]]
+    model: BoostedTrees
+
+    @staticmethod
+    def begin(classifier: BoostedTreesClassifier, df: DataFrame) -> _Fit:
+        table = materialise(df.select(
+            vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight")
+        ), "boosting-rows")
+        width = table.select(F.size("x")).first()[0]
+        cuts = _cut_values(table, width)
+        # no more tasks than blocks: passes over small tables are mostly the cost of starting tasks
+        rows = table.count()
+        blocks = materialise(_blocks(table.coalesce(max(1, -(-rows // BLOCK_ROWS))), cuts), "boosting-blocks")
+        generator = np.random.default_rng(classifier.seed)
+        drawn = max(1, round(classifier.columns * width))
+        draws = [sorted(generator.choice(width, drawn, replace=False).tolist()) for _ in range(classifier.rounds)]
+        return _Fit(classifier, cuts, rows, blocks, draws, BoostedTrees([], width, classifier.depth))
+
+
+def fit_together(work: list[tuple[BoostedTreesClassifier, DataFrame]]) -> list[BoostedTrees]:
+    """Fit each classifier to its table. A pass serves a level of all fits, so that its tasks are started once; each
+    fit's trees are those it grows alone, but for the last digits of sums."""
+    spark = work[0][1].sparkSession
+    with ThreadPoolExecutor(max_workers=len(work)) as pool:
+        fits = [begun.result() for begun in [pool.submit(inheritable_thread_target(spark)(_Fit.begin), *one) for one in work]]
+    small = {at: fit for at, fit in enumerate(fits) if fit.rows <= BLOCK_ROWS}
+    if small:  # one block each: their levels need not be asked for one by one
+        # a task a table
+        kept = spark.sparkContext.union([_held(_numbered({at: fit}).coalesce(1)) for at, fit in small.items()])
+        plan = {at: (fit.classifier, fit.draws, fit.cuts) for at, fit in small.items()}
+
+        def grow_all(part: Iterable[tuple[int, tuple]]) -> Iterator[tuple[int, Tree]]:
+            blocks = list(part)
+            for at in {at for at, _ in blocks}:
+                classifier, draws, cuts = plan[at]
+                yield from ((at, tree) for tree in classifier._grow_all([block for _, block in blocks], draws, cuts))
+
+        for at, tree in kept.mapPartitions(grow_all).collect():
+            fits[at].model.trees.append(tree)
+    large = {at: fit for at, fit in enumerate(fits) if at not in small}
+    if large:
+        _grow_in_passes(spark, large)
+    return [fit.model for fit in fits]
+
+
+def _grow_in_passes(spark: SparkSession, fits: dict[int, _Fit]) -> None:
+    """Grow the fits' trees side by side: a pass a level, for all of them."""
+    blocks = _numbered(fits)
+    # more tasks than cores would only be started for nothing
+    parts = min(blocks.rdd.getNumPartitions(), max(DIRECT + 1, spark.sparkContext.defaultParallelism))
+    held, before = _held(blocks.coalesce(parts)).persist(StorageLevel.MEMORY_AND_DISK), None
+    based = 0
+    rounds = max(len(fit.draws) for fit in fits.values())
+    for number in range(rounds):
+        growing = {at: fit.classifier._growth(number, fit.draws[number], fit.cuts) for at, fit in fits.items() if number < len(fit.draws)}
+        grown, found = set(growing), dict.fromkeys(growing)
+        while growing:
+            asked = {}
+            for at, growth in list(growing.items()):
+                try:
+                    asked[at] = Asked(fits[at].classifier, growth.send(found[at]))
+                except StopIteration as end:
+                    fits[at].model.trees.append(end.value)
+                    del growing[at]
+            if asked:
+                found = BoostedTreesClassifier._cuts_of(held, asked)
+        if before is not None:  # the margins it led to have been read by now
+            before.unpersist()
+        if number + 1 == rounds:
+            break
+        if number + 1 - based == REBASE:
+            later = {at: (fit.model.trees[based:], fit.classifier.depth) for at, fit in fits.items()}
+            blocks = materialise(_moved(blocks, later), "boosting-blocks")
+            held.unpersist()
+            before, held, based = None, _held(blocks.coalesce(parts)).persist(StorageLevel.MEMORY_AND_DISK), number + 1
+        else:
+            before, held = held, _after(held, {at: (fits[at].model.trees[-1], fits[at].classifier.depth) for at in grown})
+    held.unpersist()
+
+
+def _part_sums(blocks: Iterable[tuple[int, tuple]], asked: dict[int, Asked]) -> dict[int, np.ndarray]:
+    """The histograms of a partition's blocks, by fit."""
+    sums: dict[int, np.ndarray] = {}
+    for fit, block in blocks:
+        if fit in asked:
+            one = asked[fit].classifier._block_sums([block], asked[fit].level)
+            sums[fit] = sums[fit] + one if fit in sums else one
+    return sums
+
+
 def _sum_of(trees: list[Tree], bins: np.ndarray, depth: int) -> np.ndarray:
     total = np.zeros(bins.shape[1])
     for tree in trees:
@@ -397,20 +490,24 @@ def _unpacked(block: Row | dict) -> tuple:
     return np.frombuffer(block["bins"], np.uint8).reshape(-1, len(label)), label, weight, np.frombuffer(block["draws"], np.int64), margin
 
 
+def _numbered(fits: dict[int, _Fit]) -> DataFrame:
+    """The blocks of all fits, with the fit's number."""
+    return reduce(DataFrame.unionByName, [fit.blocks.withColumn("fit", F.lit(at)) for at, fit in fits.items()])
+
+
 def _held(blocks: DataFrame) -> RDD:
-    """Unpacked blocks with a sum of later trees, kept by the executors; what is lost is read from the written table again."""
+    """Unpacked blocks by fit, with a sum of later trees; what is lost is read from the written table again."""
 
     def start(block: Row) -> tuple:
         unpacked = _unpacked(block)
-        return *unpacked, np.zeros(len(unpacked[-1]))
-
-    return blocks.rdd.map(start).persist(StorageLevel.MEMORY_AND_DISK)
+        return block["fit"], (*unpacked, np.zeros(len(unpacked[-1])))
 
+    return blocks.rdd.map(start)
 
-def _after(held: RDD, tree: Tree, depth: int) -> RDD:
-    """Kept blocks after one more tree, kept as well. Sums since the margins were written stay apart, so digits are as if summed anew."""
 
-    return held.map(lambda block: _moved_block(block, tree, depth)).persist(StorageLevel.MEMORY_AND_DISK)
+def _after(held: RDD, last: dict[int, tuple[Tree, int]]) -> RDD:
+    """Kept blocks after one more tree of each fit, kept as well. Sums since the margins were written stay apart, so digits are as if summed anew."""
+    return held.map(lambda kept: (kept[0], _moved_block(kept[1], *last[kept[0]]) if kept[0] in last else kept[1])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _moved_block(block: tuple, tree: Tree, depth: int) -> tuple:
@@ -418,17 +515,17 @@ def _moved_block(block: tuple, tree: Tree, depth: int) -> tuple:
     return *kept, since + _sum_of([tree], block[0], depth)
 
 
-def _moved(blocks: DataFrame, trees: list[Tree], depth: int) -> DataFrame:
-    """Blocks with the margins after ``trees``."""
+def _moved(blocks: DataFrame, later: dict[int, tuple[list[Tree], int]]) -> DataFrame:
+    """Blocks with the margins after more trees."""
 
     def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.to_pylist():
                 bins, *_, margin = _unpacked(block)
-                block["margin"] = (margin + _sum_of(trees, bins, depth)).tobytes()
+                block["margin"] = (margin + _sum_of(later[block["fit"]][0], bins, later[block["fit"]][1])).tobytes()
                 yield pa.RecordBatch.from_pylist([block], schema=batch.schema)
 
-    return blocks.mapInArrow(move, _BLOCK)
+    return blocks.mapInArrow(move, f"{_BLOCK}, fit int")
 
 
 def log_loss(score: Column, label: Column, weight: Column) -> Column:

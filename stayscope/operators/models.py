@@ -20,7 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stayscope.operators.boosting import BoostedTrees, BoostedTreesClassifier
+from stayscope.operators.boosting import BoostedTrees, BoostedTreesClassifier, fit_together
 from stayscope.operators.metrics import evaluate, metrics_table, roc_auc, roc_curve
 from stayscope.operators.oversample import smote
 from stayscope.operators.split import class_weights, stratified_folds
@@ -89,12 +89,18 @@ def weighted(df: DataFrame, name: str, settings: Settings = Settings()) -> DataF
     return class_weights(df)
 
 
-def fit_model(df: DataFrame, name: str, settings: Settings = Settings()) -> Model | BoostedTrees:
-    """Fit one classifier on an assembled table."""
+def _ready(df: DataFrame, name: str, settings: Settings) -> tuple:
+    """The estimator of an assembled table and its weighted rows."""
     ready = weighted(df, name, settings).select("features", "label", "weight")
     total = ready.agg(F.sum("weight")).first()[0]
     shared_dir(df.sparkSession)
-    return estimator(name, total, settings).fit(ready)
+    return estimator(name, total, settings), ready
+
+
+def fit_model(df: DataFrame, name: str, settings: Settings = Settings()) -> Model | BoostedTrees:
+    """Fit one classifier on an assembled table."""
+    chosen, ready = _ready(df, name, settings)
+    return chosen.fit(ready)
 
 
 def score(model: Model, df: DataFrame, features: list[str] | None = None) -> DataFrame:
@@ -162,11 +168,25 @@ def folded_table(df: DataFrame, settings: Settings = Settings(), key: str = "row
 
 def score_fold(folded: DataFrame, fold: int, name: str, settings: Settings = Settings(), key: str = "row_id") -> DataFrame:
     """Written scores of one fold by a model that was fitted on the others."""
-    model = fit_model(folded.where(F.col("fold") != fold), name, settings)
+    return _fold_scores(fit_model(folded.where(F.col("fold") != fold), name, settings), folded, fold, name, key)
+
+
+def _fold_scores(model: Model | BoostedTrees, folded: DataFrame, fold: int, name: str, key: str) -> DataFrame:
     scored = score(model, folded.where(F.col("fold") == fold)).select(F.lit(name).alias("model"), key, "fold", "label", "score")
     return materialise(scored, "fold-scores")
 
 
+def score_folds_together(
+    folded: DataFrame, settings: Settings = Settings(), key: str = "row_id", also: DataFrame | None = None
+) -> dict[object, object]:
+    """Written scores of every fold by boosted trees that share their passes; "model" is fitted on ``also``, if given, beside them."""
+    rows: dict[object, DataFrame] = {fold: folded.where(F.col("fold") != fold) for fold in range(settings.folds)}
+    if also is not None:
+        rows["model"] = also
+    fits = dict(zip(rows, fit_together([_ready(df, BOOSTED, settings) for df in rows.values()])))
+    return {piece: model if piece == "model" else _fold_scores(model, folded, piece, BOOSTED, key) for piece, model in fits.items()}
+
+
 def fold_aucs(scored: DataFrame) -> DataFrame:
     """(model, fold, roc_auc) of written fold scores."""
     return roc_auc(scored, ["model", "fold"])
@@ -177,10 +197,13 @@ def cross_validate(
 ) -> tuple[float, float]:
     """Mean and population deviation of the AUC over stratified folds of an assembled table. Folds train side by side."""
     folded = folded_table(df, settings, key)
-    work = {(name, fold): partial(score_fold, folded, fold, name, settings, key) for fold in range(settings.folds)}
-    scored, errors = side_by_side(df.sparkSession, work, settings.parallel)
-    if errors:
-        raise errors[name]
+    if name == BOOSTED:
+        scored = score_folds_together(folded, settings, key)
+    else:
+        work = {(name, fold): partial(score_fold, folded, fold, name, settings, key) for fold in range(settings.folds)}
+        scored, errors = side_by_side(df.sparkSession, work, settings.parallel)
+        if errors:
+            raise errors[name]
     aucs = fold_aucs(materialise(reduce(DataFrame.unionByName, scored.values()), "folds"))
     row = aucs.agg(F.avg("roc_auc"), F.stddev_pop("roc_auc")).first()
     return row[0], row[1]
@@ -215,7 +238,7 @@ def train_all(
 ) -> Trained:
     """Fit every classifier on the (balanced) training rows and compare them on the test rows.
 
-    Models and folds train side by side. Cross-validation uses the training rows as they are. A model that fails
+    Models and folds train side by side, those of boosted trees in shared passes. Cross-validation uses the training rows as they are. A model that fails
     is logged and left out, its other jobs are cancelled; if all fail, one of the errors is raised.
     """
     plain = assemble(materialise(train.select(key, "label", *features), "train"), features)
@@ -227,9 +250,13 @@ def train_all(
     work: dict[tuple[str, object], Callable[[], object]] = {}
     # the slowest first, so that the others fill the gaps
     for name in reversed(settings.names):
+        if name == BOOSTED:
+            work[name, "together"] = partial(score_folds_together, folded, settings, key, balanced)
+            continue
         work[name, "model"] = partial(fit_model, balanced, name, settings)
         work |= {(name, fold): partial(score_fold, folded, fold, name, settings, key) for fold in range(settings.folds)}
     results, errors = side_by_side(train.sparkSession, work, settings.parallel)
+    results |= {(BOOSTED, piece): made for piece, made in results.pop((BOOSTED, "together"), {}).items()}
     failures, error = {name: str(problem) for name, problem in errors.items()}, next(iter(errors.values()), None)
     models = {name: results[name, "model"] for name in settings.names if name not in errors}
     scored = [

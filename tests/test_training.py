@@ -269,3 +269,33 @@ def test_places_of_chosen_rows_equal_a_walk_of_each_row(model):
                 expected.append(node)
             assert tree.places(bins, tree.bin, levels).tolist() == expected
             assert tree.places(bins, tree.bin, levels, rows).tolist() == [expected[i] for i in rows]
+
+
+def test_fits_that_grow_together_share_each_pass_and_equal_those_alone(spark, monkeypatch):
+    """As many passes as the deepest fit needs, for tables of one block and of many, rounds that differ, and beyond a rebasing."""
+    tables = [table(spark, n=n, seed=seed)[2] for n, seed in ((400, 7), (350, 2), (80, 3))]
+    classifiers = [BoostedTreesClassifier(rounds=rounds, depth=depth, step=0.2) for rounds, depth in ((9, 3), (6, 2), (7, 3))]
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(boosting, "REBASE", 4)
+    alone = [classifier.fit(df) for classifier, df in zip(classifiers, tables)]
+    passes, cuts_of = [], BoostedTreesClassifier._cuts_of
+    monkeypatch.setattr(BoostedTreesClassifier, "_cuts_of", staticmethod(lambda *asked: passes.append(1) or cuts_of(*asked)))
+    together = boosting.fit_together(list(zip(classifiers, tables)))
+    assert len(passes) == 9 * 3 and [len(model.trees) for model in together] == [9, 6, 7]
+    for one, other in zip(alone, together):
+        assert [(t.feature, t.threshold, t.left) for t in one.trees] == [(t.feature, t.threshold, t.left) for t in other.trees]
+        assert np.allclose(np.concatenate([t.value for t in one.trees]), np.concatenate([t.value for t in other.trees]), atol=1e-12)
+
+
+def test_the_folds_of_boosted_trees_are_fitted_together(data, monkeypatch):
+    """The comparison's boosted fits are one call, so that they share their passes; the fold's scores are those of a fit alone."""
+    calls, real = [], ML.fit_together
+    monkeypatch.setattr(ML, "fit_together", lambda work: calls.append(len(work)) or real(work))
+    settings = ML.Settings(names=(ML.BOOSTED,), boosted_rounds=5, boosted_depth=2, folds=3)
+    df = data[2].drop("weight", "features")
+    trained = ML.train_all(df, df, NAMES, settings, use_smote=False)
+    assert calls == [4] and trained.fold_scores.count() == 400 and not trained.failures
+    folded = ML.folded_table(ML.assemble(df, NAMES), settings)
+    alone = {r.row_id: r.score for r in ML.score_fold(folded, 1, ML.BOOSTED, settings).collect()}
+    got = {r.row_id: r.score for r in trained.fold_scores.where("fold = 1").collect()}
+    assert alone.keys() == got.keys() and all(abs(got[i] - alone[i]) < 1e-12 for i in alone)
