@@ -586,3 +586,63 @@ def test_decisions_of_every_depth_are_mixed():
     slots, bit, gate, long = coder.decisions(symbols, context, is_byte)
     whole = np.diff(mixing.huffman(np.array(counts))[0])
     assert long.tolist() == whole[symbols].tolist() and long.min() > 8 and slots.shape == (3, int(long.sum()))
+
+
+def test_blocks_of_many_texts_equal_a_plain_walk(monkeypatch):
+    """Scores of texts that are walked side by side, against one decision block after the other by the definition."""
+    draw = random.Random(11)
+    words_ = [b"w%d" % i for i in range(60)]
+    coder = mixing.Coder.fit([*words_, mixing.END, mixing.ESCAPE], [61 - i for i in range(60)] + [9, 5], np.ones(256, int))
+    zeros, ones = (np.random.default_rng(seed).integers(0, 9, mixing.SLOTS).astype(np.float32) for seed in (1, 2))
+    mixer = mixing.Mixer.of(coder, zeros, ones)
+    # spelling looks three symbols back, so two listed words come first
+    texts = [b" ".join([*words_[:2], *draw.choices([*words_, b"unseen", b"q"], k=k)]) for k in (0, 1, 40, 300, 7, 130, 900)]
+    monkeypatch.setattr(mixing, "RUN", 64)
+    monkeypatch.setattr(mixing, "ABREAST", 2)
+    got = np.concatenate([one[0] for one in mixer.log2_together([texts[:3], texts[3:4], texts[4:]])])
+
+    def plain(text):
+        symbols, context, is_byte, *_ = coder.symbols([text])
+        slots, bit, gate, _ = coder.decisions(symbols, context, is_byte)
+        total = np.concatenate((zeros + ones, [1e9] * len(coder.numbers), [0] * 256))[slots]
+        p = np.concatenate(((ones + 0.2) / (zeros + ones + 0.4), coder.even, [0.5] * 256))[slots]
+        logit = np.where(total > 0, np.clip(np.rint(16 * np.log(p / (1 - p))), -128, 127) / 16, 0)
+        level = np.minimum(2 * np.log2(total + 1), 15).astype(int)
+        weights, refine, logs = np.full((3, 4, 16), 0.4), np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), (4, 1)), 0.0
+        for at in range(0, len(bit), mixing.BLOCK):
+            part = range(at, min(at + mixing.BLOCK, len(bit)))
+            pull, hits, ups, met = np.zeros((3, 4, 16)), np.zeros((3, 4, 16)), np.zeros((4, 33)), np.zeros((4, 33))
+            for i in part:
+                g, cells = gate[i], [(k, gate[i], level[k, i]) for k in range(3)]
+                mixed = min(max(sum(weights[c] * logit[k, i] for k, c in enumerate(cells)), -12), 12)
+                squashed, place = 1 / (1 + math.exp(-mixed)), (min(max(mixed, -8), 8) + 8) * 2
+                left = min(int(place), 31)
+                mapped = refine[g, left] + (refine[g, left + 1] - refine[g, left]) * (place - left)
+                p = min(max((mapped + squashed) / 2, 1e-6), 1 - 1e-6)
+                logs += math.log2(p if bit[i] else 1 - p)
+                for k, c in enumerate(cells):
+                    pull[c] += (bit[i] - squashed) * logit[k, i]
+                    hits[c] += 1
+                ups[g, round(place)] += bit[i]
+                met[g, round(place)] += 1
+            if len(part) == mixing.BLOCK:
+                weights += mixing.RATE * pull / np.sqrt(hits + 1)
+                refine += (ups - met * refine) * mixing.MAP_RATE / (1 + mixing.MAP_RATE * met)
+        return logs
+
+    assert list(got) == pytest.approx([plain(text) for text in texts], rel=1e-9)
+
+
+def test_groups_fitted_side_by_side_learn_as_alone(spark, monkeypatch):
+    """A task's groups are walked together; the state is the mean of those that each group learns by itself."""
+    draw = random.Random(12)
+    rows = [(" ".join(draw.choices("abc", (1 + i % 7, 4, 1), k=60)),) for i in range(900)]
+    mixer, none = small_mixer(), np.zeros(mixing.SLOTS, np.float32)
+    monkeypatch.setattr(mixing, "GROUP", 10_000)
+    frame = spark.createDataFrame(rows, "text string")
+    found = []
+    for side in (1, 4):
+        monkeypatch.setattr(mixing, "SIDE", side)
+        found.append(mixing.fit_state(frame, mixer, none, none, 54_900))
+    assert np.allclose(found[0].weights, found[1].weights, rtol=1e-12) and np.allclose(found[0].refine, found[1].refine, rtol=1e-12)
+    assert not np.allclose(found[0].weights, mixing.State.start().weights)
