@@ -299,3 +299,16 @@ def test_the_folds_of_boosted_trees_are_fitted_together(data, monkeypatch):
     alone = {r.row_id: r.score for r in ML.score_fold(folded, 1, ML.BOOSTED, settings).collect()}
     got = {r.row_id: r.score for r in trained.fold_scores.where("fold = 1").collect()}
     assert alone.keys() == got.keys() and all(abs(got[i] - alone[i]) < 1e-12 for i in alone)
+
+
+def test_scores_are_compared_without_a_broadcast(spark, tmp_path):
+    """Tables that the optimiser takes for small are not sent through the driver."""
+    from stayscope.plans.queries import same_scores
+
+    rows = [(i, i / 7) for i in range(50)] + [(3, 3 / 7), (None, 0.5)]
+    spark.createDataFrame(rows, "row_id bigint, before double").write.parquet(f"{tmp_path}/before")
+    spark.createDataFrame([(i, x + (i == 9)) for i, x in rows[:-1]], "row_id bigint, after double").write.parquet(f"{tmp_path}/after")
+    same = same_scores(spark.read.parquet(f"{tmp_path}/before"), spark.read.parquet(f"{tmp_path}/after"))
+    found = same.collect()
+    assert "Broadcast" not in same._jdf.queryExecution().executedPlan().toString()
+    assert len(found) == 53 and [r.row_id for r in found if not r.same] == [9]
