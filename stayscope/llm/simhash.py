@@ -94,7 +94,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     variants = [(-2, lower), (-1, upper), *enumerate(wildcards(upper))]
     indexed = distinct.select(bits, index(variants).alias("e")).select("_bits", "e.kind", "e.key")
     shared = indexed.groupBy("kind", "key").agg(F.count("*").alias("n")).filter("n > 1").select("kind", "key")
-    hits = indexed.join(shared, ["kind", "key"])
+    # the index has 34 rows a fingerprint, but is sized as the table before the explode: neither side may be broadcast by that size
+    hits = indexed.join(shared.hint("merge"), ["kind", "key"])
     equal = hits.filter("kind < 0").select(
         "kind", "key", "_bits", F.explode(F.when(F.col("kind") == -1, neighbours(lower)).otherwise(neighbours(upper))).alias("rest"),
         F.lit(-1).alias("bit"),
@@ -125,7 +126,7 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     rooted = distinct.join(groups, "_bits", "left").withColumn("_root", F.coalesce("_root", "_bits"))
     smallest = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = materialise(rooted.join(smallest, "_root").select("_bits", "component_id"), "named")
-    return rows.join(named, "_bits").select(
+    return rows.join(named.hint("merge"), "_bits").select(
         *[F.col(f"`{c}`") for c in columns], F.lpad(F.lower(F.hex("_bits")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -90,6 +90,13 @@ def brute_components(texts, distance=2):
     return sorted(((n, f"{p:016x}", least.get(root(i))) for i, ((n, _), p) in enumerate(zip(texts, prints))), key=str)
 
 
+def test_simhash_index_is_not_broadcast(spark):
+    """Its size after the explode is not known to the planner, which takes it for a small table."""
+    edges = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("_bits")))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_equals_brute_force(spark, tiny, odd):
     short = odd.filter("length(text) < 50000 or text is null")
     for frame in (tiny, short):
