@@ -137,3 +137,17 @@ def test_generator(spark):
 
 def test_present_keeps_the_wanted_order(people):
     assert R.present(people, ("OverTime", "Nope", "Age")) == ["OverTime", "Age"]
+
+
+def test_kernel_comparison_joins_rows_without_a_broadcast(spark):
+    """The size of 10 rows a person is not known to the planner before they are listed."""
+    from stayscope.plans.queries import _compared_attributions
+
+    def made(*shaps):
+        rows = [(row, [(name, 1.5, shap) for name, shap in zip("ab", pair)]) for row, pair in zip((1, 2, None), shaps)]
+        return spark.createDataFrame(rows, "row_id bigint, contributions array<struct<feature:string,value:double,shap:double>>")
+
+    compared = _compared_attributions(made((0.1, 0.2), (0.3, 0.4), (0.5, 0.6)), made((0.1, 0.2), (0.3, 0.5), (0.5, 0.6)), ["a", "b"])
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, compared.collect())) == [(1, "a", 1.5, True), (1, "b", 1.5, True), (2, "a", 1.5, True), (2, "b", 1.5, False)]
