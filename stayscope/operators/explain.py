@@ -26,6 +26,8 @@ from stayscope.operators.treeshap import TreeTables, tree_tables
 BACKGROUND_ROWS = 100
 #: Rows whose coalitions are scored at a time.
 COALITION_ROWS = 1024
+#: Values whose tree attributions are computed at a time: what is computed once for many rows is then shared by enough of them.
+ATTRIBUTED_CELLS = 1 << 21
 FORCEFUL, WATCHFUL = 0.7, 0.4
 RISK, PROTECTIVE = "risk", "protective"
 
@@ -84,7 +86,7 @@ def tree_attribution(
     df: DataFrame, model: Model, features: list[str], key: str = "row_id",
     overrides: dict[str, str] | None = None, tables: TreeTables | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Path-dependent tree attributions, one batch of rows at a time.
+    """Path-dependent tree attributions, a bounded number of rows at a time.
 
     The unit is probability for a forest and log-odds for boosted trees.
     The flattened trees shipped to the tasks are as large as the model, not the data.
@@ -94,11 +96,22 @@ def tree_attribution(
     rows = df.select(key, *keep, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
     schema = T.StructType(rows.schema.fields + [T.StructField("_phi", T.ArrayType(T.DoubleType()))])
 
+    def attributed(waiting: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        phi = tables.attribute(np.concatenate([np.stack(batch["_x"].to_numpy()) for batch in waiting]), width)
+        for batch, part in zip(waiting, np.split(phi, np.cumsum([len(batch) for batch in waiting])[:-1])):
+            yield batch.assign(_phi=list(part))
+
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, rows = [], 0
         for batch in batches:
             if len(batch):
-                phi = tables.attribute(np.stack(batch["_x"].to_numpy()), width)
-                yield batch.assign(_phi=list(phi))
+                waiting.append(batch)
+                rows += len(batch)
+            if rows * width >= ATTRIBUTED_CELLS:
+                yield from attributed(waiting)
+                waiting, rows = [], 0
+        if waiting:
+            yield from attributed(waiting)
 
     out = rows.mapInPandas(attribute, schema)
     return out.select(

@@ -1013,7 +1013,8 @@ def _(people):
 def _additive(explained: DataFrame, scored: DataFrame, margin) -> DataFrame:
     """Whether base value and attributions add up to the model's output, per row."""
     total = F.aggregate("contributions", F.col("base_value"), lambda sum_, c: sum_ + c["shap"])
-    return explained.join(scored, "row_id").select("row_id", (F.abs(total - margin) < 1e-6).alias("additive"))
+    totals = explained.select("row_id", total.alias("_total"))  # the join moves sums, not contributions
+    return totals.join(scored, "row_id").select("row_id", (F.abs(F.col("_total") - margin) < 1e-6).alias("additive"))
 
 
 def _tree_additive(name: str) -> Query:
