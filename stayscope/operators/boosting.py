@@ -4,7 +4,8 @@ Spark ML draws columns anew for every node. Here a tree sees one draw: its rows
 Features are binned once; for each level of a tree the tasks add up gradient histograms of their rows, the sums are
 merged and searched node by node in the executors, and only each node's best cut reaches the driver. Rows stay in packed
 blocks in the shared folder and are kept by the executors between passes; a lost executor reads them again. Fits that are
-made together share each pass. A table of one block, ``BLOCK_ROWS`` rows at most, grows all its trees in the task that holds it.
+made together share each pass. A table that one task holds, ``BLOCK_ROWS`` rows and ``BLOCK_BYTES`` at most, grows all its trees in that
+task: there a pass costs more in starting tasks and handing blocks over than in adding.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import types as T
 
 from stayscope.session import materialise
 
-BLOCK_ROWS = 65_536
+#: What a task holds to grow all trees of a fit; a row has a byte a feature and five numbers.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 128 << 20
+#: Rows that are packed and added up at a time.
+PACKED_ROWS = 65_536
 BINS = 64
 #: Trees after which the rows' margins are written anew; until then the executors keep those that the last tree moved.
 REBASE = 20
@@ -205,7 +209,7 @@ class BoostedTreesClassifier:
         return fit_together([(self, df)])[0]
 
     def _grow_all(self, blocks: list[tuple], draws: list[list[int]], cuts: list[np.ndarray]) -> Iterator[Tree]:
-        """All trees of a table of one block, in its task. Margins move as those of larger tables do, digit by digit."""
+        """All trees of a table that its task holds. Margins move as those of larger tables do, digit by digit."""
         for number, drawn in enumerate(draws):
             growth, found = self._growth(number, drawn, cuts), None
             try:
@@ -360,8 +364,8 @@ class _Fit:
         width = table.select(F.size("x")).first()[0]
         cuts = _cut_values(table, width)
         # no more tasks than blocks: passes over small tables are mostly the cost of starting tasks
-        rows = table.count()
-        blocks = materialise(_blocks(table.coalesce(max(1, -(-rows // BLOCK_ROWS))), cuts), "boosting-blocks")
+        rows, size = table.count(), min(PACKED_ROWS, BLOCK_ROWS)
+        blocks = materialise(_blocks(table.coalesce(max(1, -(-rows // size))), cuts, size), "boosting-blocks")
         generator = np.random.default_rng(classifier.seed)
         drawn = max(1, round(classifier.columns * width))
         draws = [sorted(generator.choice(width, drawn, replace=False).tolist()) for _ in range(classifier.rounds)]
@@ -374,8 +378,8 @@ def fit_together(work: list[tuple[BoostedTreesClassifier, DataFrame]]) -> list[B
     spark = work[0][1].sparkSession
     with ThreadPoolExecutor(max_workers=len(work)) as pool:
         fits = [begun.result() for begun in [pool.submit(inheritable_thread_target(spark)(_Fit.begin), *one) for one in work]]
-    small = {at: fit for at, fit in enumerate(fits) if fit.rows <= BLOCK_ROWS}
-    if small:  # one block each: their levels need not be asked for one by one
+    small = {at: fit for at, fit in enumerate(fits) if fit.rows <= BLOCK_ROWS and fit.rows * (fit.model.n_features + 40) <= BLOCK_BYTES}
+    if small:  # a task each: their levels need not be asked for one by one
         # a task a table
         kept = spark.sparkContext.union([_held(_numbered({at: fit}).coalesce(1)) for at, fit in small.items()])
         plan = {at: (fit.classifier, fit.draws, fit.cuts) for at, fit in small.items()}
@@ -459,15 +463,15 @@ _BLOCK = "bins binary, label binary, weight binary, draws binary, margin binary"
 _BLOCK_NAMES = ["bins", "label", "weight", "draws", "margin"]
 
 
-def _blocks(table: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """Rows packed by column in blocks of bounded size."""
+def _blocks(table: DataFrame, cuts: list[np.ndarray], size: int) -> DataFrame:
+    """Rows packed by column in blocks of about ``size`` rows."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rows = [], 0
         for batch in batches:
             kept.append(batch)
             rows += batch.num_rows
-            if rows >= BLOCK_ROWS:
+            if rows >= size:
                 yield _packed(pa.Table.from_batches(kept), cuts)
                 kept, rows = [], 0
         if rows:

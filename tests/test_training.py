@@ -254,6 +254,23 @@ def test_a_table_of_one_block_grows_in_one_pass_and_to_the_same_trees(spark, mon
     assert np.allclose(np.concatenate([t.value for t in one.trees]), np.concatenate([t.value for t in many.trees]), atol=1e-12)
 
 
+def test_a_table_of_several_packs_grows_in_its_task_up_to_a_size_in_bytes(spark, monkeypatch):
+    """Packing does not decide how trees grow: a table that one task holds needs no passes, a wide one is spread over tasks."""
+    df = table(spark)[2]
+    one = BoostedTreesClassifier(rounds=25, depth=3, step=0.2).fit(df)
+    passes, cuts_of = [], BoostedTreesClassifier._cuts_of
+    monkeypatch.setattr(BoostedTreesClassifier, "_cuts_of", staticmethod(lambda *asked: passes.append(1) or cuts_of(*asked)))
+    monkeypatch.setattr(boosting, "PACKED_ROWS", 100)
+    several = BoostedTreesClassifier(rounds=25, depth=3, step=0.2).fit(df)
+    assert not passes
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", 400 * (6 + 40) - 1)
+    spread = BoostedTreesClassifier(rounds=25, depth=3, step=0.2).fit(df)
+    assert passes
+    for other in (several, spread):
+        assert [(t.feature, t.threshold, t.left) for t in one.trees] == [(t.feature, t.threshold, t.left) for t in other.trees]
+        assert np.allclose(np.concatenate([t.value for t in one.trees]), np.concatenate([t.value for t in other.trees]), atol=1e-12)
+
+
 def test_places_of_chosen_rows_equal_a_walk_of_each_row(model):
     """The node of a row follows from its own columns, for all rows and for chosen ones, and leaves keep theirs."""
     bins = np.random.default_rng(5).integers(0, 64, (6, 500)).astype(np.uint8)
